@@ -58,8 +58,18 @@ def raw(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFra
     return load_folder(spark, sf_dir, names)
 
 
+_SHOPS: dict[tuple[str, str], Database] = {}
+
+
 def shop(spark: SparkSession, sf_dir: str) -> Database:
-    """The eight related tables with amounts in hundredths."""
+    """The eight related tables with amounts in hundredths; only file footers are read here, once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SHOPS:
+        _SHOPS[key] = _declared_shop(spark, sf_dir)
+    return _SHOPS[key]
+
+
+def _declared_shop(spark: SparkSession, sf_dir: str) -> Database:
     tables = {}
     for name, frame in raw(spark, sf_dir, SHOP).items():
         exact = HUNDREDTHS.get(name, {})

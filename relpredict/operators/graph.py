@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relpredict.functions.states import State, has_hot_group, running_merge
@@ -159,13 +159,21 @@ def _sample_children(
         (ntz(ALWAYS) if timeless else _time_of(db, link.child)).alias("_at"),
         F.col(key).alias("_next"),
     ).where(F.col("_node").isNotNull() & F.col("_at").isNotNull())
+    if timeless:
+        return _sample_timeless(asked, children, k, mode, random_seed)
     needed = asked.select("_node", F.col("seed_time").alias("_at")).distinct()
     # number the children of the nodes in question; requests sort behind the children they can see
     mine = children.join(needed.select("_node").distinct(), "_node", "left_semi")
+    limit = None
+    if has_hot_group(mine.select("_node").unionAll(needed.select("_node")), "_node", hot_rows):
+        limit = hot_rows
+        if mode == "recent":
+            # no request takes more than k rows of one moment, so a crowded moment needs only those
+            moment = Window.partitionBy("_node", "_at").orderBy(F.desc("_next"))
+            mine = mine.withColumn("_place", F.row_number().over(moment)).where(F.col("_place") <= k).drop("_place")
     events = mine.withColumns({"_ask": F.lit(0), "_count": F.lit(1)}).unionByName(
         needed.withColumns({"_ask": F.lit(1), "_count": F.lit(0)}), allowMissingColumns=True
     )
-    limit = hot_rows if has_hot_group(events.select("_node"), "_node", hot_rows) else None
     numbered = running_merge(events, [State("add", "_count")], "_node", ["_at", "_ask", "_next"], "_at", limit)
     ranked = numbered.where("_ask = 0").select(
         "_node", F.col("_count").alias("_number"), "_next", F.col("_at").alias("time")
@@ -176,8 +184,22 @@ def _sample_children(
     requests = asked.join(seen, ["_node", "seed_time"], "inner")
     wanted = _recent_numbers(k) if mode == "recent" else _drawn_numbers(k, random_seed, link.child_column)
     picked = requests.withColumn("_number", F.explode(wanted)).join(ranked, ["_node", "_number"], "inner")
-    time = F.lit(None).cast(NO_TIME) if timeless else F.col("time")
-    return picked.select("seed_id", "seed_time", "_node", "_next", time.alias("time"))
+    return picked.select("seed_id", "seed_time", "_node", "_next", "time")
+
+
+def _sample_timeless(
+    asked: DataFrame, children: DataFrame, k: int, mode: str, random_seed: int
+) -> DataFrame:
+    """Every request of a node sees the same children, so k of them are picked once per node.
+
+    The rank limit is applied on the map side as well, so a crowded node sends k rows per task.
+    """
+    order = F.desc("_next") if mode == "recent" else F.xxhash64("_next", F.lit(random_seed))
+    place = F.row_number().over(Window.partitionBy("_node").orderBy(order, "_next"))
+    picked = children.withColumn("_place", place).where(F.col("_place") <= k).select("_node", "_next")
+    return asked.join(picked, "_node", "inner").select(
+        "seed_id", "seed_time", "_node", "_next", F.lit(None).cast(NO_TIME).alias("time")
+    )
 
 
 def _recent_numbers(k: int) -> Column:
