@@ -54,11 +54,16 @@ CUT = "TIMESTAMP '2000-01-01'"
 CUTS = "(VALUES (TIMESTAMP '1999-01-01'), (TIMESTAMP '2000-01-01'), (TIMESTAMP '2000-07-01')) AS a(cutoff)"
 
 
-def raw(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
-    return load_folder(spark, sf_dir, names)
+_OPENED: dict[tuple[str, str, str], DataFrame] = {}
+_SHOPS: dict[tuple[str, str], Database] = {}
 
 
-_SHOPS: dict[tuple[str, str], Database] = {}
+def raw(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables as they are. Opening one reads its file footer, so that happens once per session."""
+    app = spark.sparkContext.applicationId
+    missing = [n for n in names if (app, sf_dir, n) not in _OPENED]
+    _OPENED.update({(app, sf_dir, n): frame for n, frame in load_folder(spark, sf_dir, missing).items()})
+    return {n: _OPENED[app, sf_dir, n] for n in names}
 
 
 def shop(spark: SparkSession, sf_dir: str) -> Database:

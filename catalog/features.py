@@ -262,6 +262,14 @@ QUERIES = {name: _single(name) for name in SINGLE} | {
     "surrogate_key": _surrogate,
 }
 
+LINE_COLUMNS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax"
+    " l_returnflag l_linestatus l_shipdate"
+).split()
+LINE_TEXT = " || '|' || ".join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in LINE_COLUMNS
+)
+
 _LOOKUP = f"""SELECT o_custkey AS id, CAST(SUM({cents('p_retailprice')}) AS DOUBLE) / COUNT(*) AS mean_p,
   CAST(MAX({cents('p_retailprice')}) AS DOUBLE) AS max_p, COUNT(DISTINCT p_brand) AS brands"""
 
@@ -296,6 +304,9 @@ SELECT c_custkey AS entity_id, a.cutoff, n_name AS nation__n_name, r_name AS nat
   COALESCE(brands, 0) AS num_unique__orders_lineitem__part__p_brand, {cents('c_acctbal')} AS c_cents, c_mktsegment
 FROM customer CROSS JOIN {CUTS} LEFT JOIN nation ON n_nationkey = c_nationkey
 LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN ev ON id = c_custkey AND ev.cutoff = a.cutoff""",
+    "surrogate_key": f"""
+WITH hashed AS (SELECT *, sha256({LINE_TEXT}) AS h FROM lineitem)
+SELECT * EXCLUDE (h), h || '-' || row_number() OVER (PARTITION BY h) AS row_key FROM hashed""",
     "training_set": f"""
 WITH ev AS (SELECT o_custkey AS id, COUNT(*) AS n, CAST(SUM({O_CENTS}) AS DOUBLE) AS s FROM {ORDERS} GROUP BY 1),
 fu AS (SELECT o_custkey AS id, COUNT(*) AS v FROM orders

@@ -205,17 +205,25 @@ def conform(frame: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("en
 def surrogate_key(frame: DataFrame, name: str = "row_key") -> DataFrame:
     """A content key for a table without a primary key, without numbering the table globally.
 
-    Equal rows are told apart by their input partition and a running number within it, so even a
-    row that makes up a third of the table is numbered by many tasks.
+    The key is the digest of the row plus a running number among equal rows. Equal rows are
+    numbered per input partition and shifted by the counts of earlier partitions, so a row that
+    makes up a third of the table is numbered by many tasks, and the keys do not depend on how the
+    table was split.
     """
-    columns = F.struct(*[F.col(f"`{c}`") for c in frame.columns])
-    content = F.sha2(F.to_json(columns, {"ignoreNullFields": "false"}), 256)
-    same = Window.partitionBy("_hash", "_part").orderBy("_part")
-    return (
-        frame.withColumns({"_hash": content, "_part": F.spark_partition_id()})
-        .withColumn(name, F.concat_ws("-", "_hash", "_part", F.row_number().over(same)))
-        .drop("_hash", "_part")
+    pieces = []
+    for c in frame.columns:
+        text = F.col(f"`{c}`").cast("string")
+        pieces.append(F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-")))
+    hashed = frame.withColumns(
+        {"_hash": F.sha2(F.concat_ws("|", *pieces), 256), "_part": F.spark_partition_id()}
     )
+    counts = hashed.groupBy("_hash", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_hash", "_part", F.sum("_n").over(earlier).alias("_shift")).where("_shift > 0")
+    here = Window.partitionBy("_hash", "_part").orderBy("_part")
+    numbered = hashed.withColumn("_number", F.row_number().over(here)).join(shifts, ["_hash", "_part"], "left")
+    number = F.col("_number") + F.coalesce("_shift", F.lit(0))
+    return numbered.select(*frame.columns, F.concat_ws("-", "_hash", number.cast("string")).alias(name))
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -1,8 +1,7 @@
 """Profiling jobs: distinct counts, keys, foreign keys and roles found from the data itself.
 
-Exact distinct counts of all columns of a table come from one shuffle: every value is melted to
-``(column, value)`` and de-duplicated there, on the map side first, so a value that fills a third
-of a column costs next to nothing. Long strings travel as their SHA-256 digest.
+Exact counts come from grouping each column by its value, on the map side first, so a value that
+fills a third of a column is sent once per task. Long strings travel as their SHA-256 digest.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +35,14 @@ PROFILE_SCHEMA = (
 PROFILE_COLUMNS = [field.split()[0] for field in PROFILE_SCHEMA.split(", ")]
 
 
-def _as_text(column: Column) -> Column:
-    text = column.cast("string")
-    return F.when(F.length(text) > LONG_VALUE, F.sha2(text, 256)).otherwise(text)
+def _comparable(column: str, data_type: T.DataType) -> str:
+    """SQL for the value that is counted: the column itself, or the digest of a long string."""
+    name = f"`{column}`"
+    if type_class(data_type) == "other":
+        return f"IF({name} IS NOT NULL, true, NULL)"
+    if isinstance(data_type, T.StringType):
+        return f"IF(length({name}) > {LONG_VALUE}, sha2({name}, 256), {name})"
+    return name
 
 
 Fields = list[tuple[str, int, T.StructField]]
@@ -69,34 +73,21 @@ def _facts(tables: Mapping[str, DataFrame], fields: Fields) -> DataFrame:
 def profile(tables: Mapping[str, DataFrame], only: set[tuple[str, str]] | None = None) -> DataFrame:
     """``(table_name, position, column_name, type, type_class, n_rows, n_values, n_distinct)``.
 
-    One scan per table and one shuffle for all of them: row, value and distinct counts are read
-    off the same ``(column, value)`` groups. Nested and binary columns get no distinct count.
-    ``only`` restricts the profile to some ``(table, column)`` pairs.
+    Each column is read alone, which a columnar file gives for free, and grouped by its value; row,
+    value and distinct counts are read off the groups. Nested and binary columns get no distinct
+    count. ``only`` restricts the profile to some ``(table, column)`` pairs.
     """
     fields = _fields(tables, only)
-    parts = []
-    for name in dict.fromkeys(name for name, _, _ in fields):
-        cells = []
-        for i, (owner, _, f) in enumerate(fields):
-            if owner == name:
-                column = F.col(f"`{f.name}`")
-                nested = type_class(f.dataType) == "other"
-                text = F.when(column.isNotNull(), "present") if nested else _as_text(column)
-                cells.append(F.struct(F.lit(i).alias("_id"), text.alias("value")))
-        parts.append(tables[name].select(F.explode(F.array(*cells)).alias("cell")).select("cell.*"))
-    cells = parts[0]
-    for part in parts[1:]:
-        cells = cells.unionAll(part)
-    counts = (
-        cells.groupBy("_id", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("_id")
-        .agg(
-            F.sum("n").alias("n_rows"),
-            F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("n_values"),
-            F.count("value").alias("n_distinct"),
-        )
-    )
+    names = sorted(tables)
+    branches = [
+        f"SELECT {i} AS _id, sum(n) AS n_rows, sum(IF(value IS NOT NULL, n, 0)) AS n_values,"
+        f" count(value) AS n_distinct FROM (SELECT value, count(1) AS n FROM"
+        f" (SELECT {_comparable(f.name, f.dataType)} AS value FROM {{t{names.index(name)}}}) GROUP BY value)"
+        for i, (name, _, f) in enumerate(fields)
+    ]
+    session = next(iter(tables.values())).sparkSession
+    used = {f"t{names.index(name)}": tables[name] for name, _, _ in fields}
+    counts = session.sql(" UNION ALL ".join(branches), **used)
     zero = F.lit(0).cast("bigint")
     return (
         _facts(tables, fields)
@@ -188,62 +179,60 @@ def singular_column(name: Column) -> Column:
     )
 
 
-def key_candidates(profiled: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
-    """Unique, gap-free id columns with their preference: 0 when named after the table, else 1."""
+def with_primary_key(profiled: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
+    """Adds the ``primary_key`` of each row's table, null where there is none.
+
+    Candidates are unique, gap-free id columns. One named after the table wins, then the first by
+    position. The windows here run over the profile, which has one row per column of the schema.
+    """
     table, column = F.col("table_name"), F.col("column_name")
     named = (
         (column == "id")
         | (column == F.concat(table, F.lit("_id")))
         | (column == F.concat(singular_column(table), F.lit("_id")))
     )
-    unique = profiled.where(column.rlike(id_pattern) & (F.col("type_class") != "temporal") & is_unique())
-    return unique.withColumn("preference", F.when(named, 0).otherwise(1))
+    candidate = column.rlike(id_pattern) & (F.col("type_class") != "temporal") & is_unique()
+    rank = F.when(candidate, F.struct(F.when(named, 0).otherwise(1).alias("p"), "position", column.alias("c")))
+    return profiled.withColumn("primary_key", F.min(rank).over(Window.partitionBy("table_name"))["c"])
 
 
 def primary_keys(profiled: DataFrame, id_pattern: str = ID_PATTERN) -> DataFrame:
-    """``(table_name, primary_key)``: the preferred candidate, the first by position among equals."""
-    return (
-        key_candidates(profiled, id_pattern)
-        .groupBy("table_name")
-        .agg(F.min_by("column_name", F.struct("preference", "position")).alias("primary_key"))
-    )
-
+    """``(table_name, primary_key)`` of the tables that have one."""
+    keyed = with_primary_key(profiled, id_pattern)
+    return keyed.where(F.col("column_name") == F.col("primary_key")).select("table_name", "primary_key")
 
-def bare_name(column: Column, prefix_pattern: str | None) -> Column:
-    """A column name without its table prefix, e.g. ``o_custkey`` -> ``custkey``."""
-    return column if prefix_pattern is None else F.regexp_replace(column, prefix_pattern, "")
 
-
-def foreign_keys(
+def with_parent(
     profiled: DataFrame, id_pattern: str = ID_PATTERN, prefix_pattern: str | None = None
 ) -> DataFrame:
-    """``(child_table, child_column, parent_table, parent_column)`` by matching key names.
+    """Adds ``primary_key``, ``parent_table`` and ``parent_column``, null where a column is no foreign key.
 
-    The first table (by name) that owns a key name wins it. ``prefix_pattern`` strips table
-    prefixes from both sides before they are compared.
+    An id column that is not its table's key points to the table that owns a key of that name; the
+    first table by name wins it. ``prefix_pattern`` strips table prefixes before names are compared,
+    e.g. ``o_custkey`` and ``c_custkey``.
     """
-    owners = (
-        primary_keys(profiled, id_pattern)
-        .withColumn("bare", bare_name(F.col("primary_key"), prefix_pattern))
-        .groupBy("bare")
-        .agg(F.min(F.struct("table_name", "primary_key")).alias("owner"))
-        .select("bare", F.col("owner.table_name").alias("parent_table"), F.col("owner.primary_key").alias("parent_column"))
-    )
-    ids = (
-        profiled.where(F.col("column_name").rlike(id_pattern) & (F.col("type_class") != "temporal"))
-        .join(primary_keys(profiled, id_pattern), "table_name", "left")
-        .where(F.col("primary_key").isNull() | (F.col("column_name") != F.col("primary_key")))
-        .withColumn("bare", bare_name(F.col("column_name"), prefix_pattern))
+    table, column = F.col("table_name"), F.col("column_name")
+    keyed = with_primary_key(profiled, id_pattern)
+    bare = column if prefix_pattern is None else F.regexp_replace(column, prefix_pattern, "")
+    is_key = F.coalesce(column == F.col("primary_key"), F.lit(False))
+    owner = F.min(F.when(is_key, F.struct(table.alias("t"), column.alias("c")))).over(Window.partitionBy("_bare"))
+    owned = keyed.withColumn("_bare", bare).withColumn("_owner", owner)
+    points = (
+        column.rlike(id_pattern) & (F.col("type_class") != "temporal") & ~is_key & (F.col("_owner.t") != table)
     )
-    return (
-        ids.join(owners, "bare", "inner")
-        .where(F.col("table_name") != F.col("parent_table"))
-        .select(
-            F.col("table_name").alias("child_table"),
-            F.col("column_name").alias("child_column"),
-            "parent_table",
-            "parent_column",
-        )
+    return owned.withColumns(
+        {"parent_table": F.when(points, F.col("_owner.t")), "parent_column": F.when(points, F.col("_owner.c"))}
+    ).drop("_bare", "_owner")
+
+
+def foreign_keys(
+    profiled: DataFrame, id_pattern: str = ID_PATTERN, prefix_pattern: str | None = None
+) -> DataFrame:
+    """``(child_table, child_column, parent_table, parent_column)``."""
+    found = with_parent(profiled, id_pattern, prefix_pattern).where(F.col("parent_table").isNotNull())
+    return found.select(
+        F.col("table_name").alias("child_table"), F.col("column_name").alias("child_column"),
+        "parent_table", "parent_column",
     )
 
 
@@ -251,35 +240,23 @@ def column_roles(
     profiled: DataFrame, id_pattern: str = ID_PATTERN, prefix_pattern: str | None = None
 ) -> DataFrame:
     """``(table_name, column_name, role, is_time_index)`` for every profiled column."""
-    keys = primary_keys(profiled, id_pattern)
-    links = foreign_keys(profiled, id_pattern, prefix_pattern).select(
-        F.col("child_table").alias("table_name"), F.col("child_column").alias("column_name"), F.lit(True).alias("_fk")
-    )
-    first_time = (
-        profiled.where(F.col("type_class") == "temporal")
-        .groupBy("table_name")
-        .agg(F.min("position").alias("_first_time"))
-    )
+    temporal = F.col("type_class") == "temporal"
+    first_time = F.min(F.when(temporal, F.col("position"))).over(Window.partitionBy("table_name"))
     share = F.try_divide(F.col("n_distinct"), F.col("n_values"))
     role = (
-        F.when(F.col("type_class") == "temporal", "time")
+        F.when(temporal, "time")
         .when(F.col("column_name") == F.col("primary_key"), "pk")
-        .when(F.col("_fk"), "fk")
+        .when(F.col("parent_table").isNotNull(), "fk")
         .when(F.col("column_name").rlike(id_pattern), "text")
         .when(F.col("type_class") == "numeric", "numeric")
         .when((F.col("type_class") == "string") & (share <= CATEGORICAL_SHARE), "categorical")
         .otherwise("text")
     )
-    return (
-        profiled.join(keys, "table_name", "left")
-        .join(links, ["table_name", "column_name"], "left")
-        .join(first_time, "table_name", "left")
-        .select(
-            "table_name",
-            "column_name",
-            role.alias("role"),
-            F.coalesce(F.col("position") == F.col("_first_time"), F.lit(False)).cast("int").alias("is_time_index"),
-        )
+    return with_parent(profiled, id_pattern, prefix_pattern).select(
+        "table_name",
+        "column_name",
+        role.alias("role"),
+        F.coalesce(F.col("position") == first_time, F.lit(False)).cast("int").alias("is_time_index"),
     )
 
 
