@@ -37,7 +37,7 @@ def roc_auc(scored: DataFrame, score: str = "score", label: str = "label", slice
     # the edges are estimated on raw scores: no shuffle, and constant size whatever the data
     known = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     edges = known.agg(F.percentile_approx(F.col(score).cast("double"), shares, 10_000)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(edges)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(edges)) or [0.0]), float("inf")]
     sliced = Bucketizer(splits=splits, inputCol="score", outputCol="_slice").transform(counts)
     inside = Window.partitionBy("_slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     within = sliced.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
