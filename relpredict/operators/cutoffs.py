@@ -35,8 +35,10 @@ from relpredict.operators.features import (
     feature_frame,
     key_name,
     melt,
+    needs_join,
     synthesize_at,
     union_all,
+    visible,
 )
 from relpredict.plans.feature_plan import (
     Feature,
@@ -53,11 +55,17 @@ ANCHOR_LIMIT = 256  # longest anchor list that is compared inline
 
 @dataclass(frozen=True)
 class Cutoffs:
-    """The requested ``(entity_id, cutoff)`` rows and, when short and known, the anchor list."""
+    """The requested ``(entity_id, cutoff)`` rows, the last cutoff and, if short, the anchor list.
+
+    ``everyone`` says that the rows are all entities at all anchors. Nothing after ``latest`` can
+    be seen, so every scan is limited to it.
+    """
 
     rows: DataFrame
     anchors: tuple[dt.datetime, ...] | None
+    latest: dt.datetime | None
     hot_rows: int
+    everyone: bool = False
 
     def position(self, time: Column) -> Column:
         """The first anchor at or after a time (null if none), or the time itself."""
@@ -90,7 +98,8 @@ def synthesize_many(
         raise SchemaError(f"entity table {entity!r} has no primary key")
     if isinstance(cutoffs, DataFrame):
         asked = cutoffs.select("entity_id", F.col("cutoff").cast("timestamp_ntz")).distinct()
-        request = Cutoffs(asked, None, hot_rows)
+        latest = asked.agg(F.max("cutoff")).first()[0]
+        request = Cutoffs(asked, None, latest, hot_rows)
     else:
         anchors = tuple(sorted(set(cutoffs)))
         if any(_nesting(f) > 2 for f in features):
@@ -99,7 +108,8 @@ def synthesize_many(
             F.col(spec.primary_key).alias("entity_id"),
             F.explode(F.array(*[ntz(a) for a in anchors])).alias("cutoff"),
         )
-        request = Cutoffs(asked, anchors if len(anchors) <= ANCHOR_LIMIT else None, hot_rows)
+        inline = anchors if len(anchors) <= ANCHOR_LIMIT else None
+        request = Cutoffs(asked, inline, anchors[-1], hot_rows, everyone=inline is not None)
     return _features_of(db, entity, request, features).select(
         "entity_id", "cutoff", *[f.name for f in features]
     )
@@ -172,7 +182,10 @@ def _fixed_values(db: Database, entity: str, request: Cutoffs, fixed: Sequence[F
     keep = [spec.primary_key] + ([spec.time_index] if spec.time_index else [])
     rows = feature_frame(db, entity, [*fixed, *(c for n, c in clocks.items())], None, keep)
     rows = rows.withColumnRenamed(key_name(spec.primary_key), "entity_id")
-    out = request.rows.join(rows, "entity_id", "inner")
+    if request.everyone:
+        out = rows.withColumn("cutoff", F.explode(F.array(*[ntz(a) for a in request.anchors])))
+    else:
+        out = request.rows.join(rows, "entity_id", "inner")
     if spec.time_index:
         out = out.where(F.col(key_name(spec.time_index)) <= F.col("cutoff"))
     values = []
@@ -194,7 +207,7 @@ def _parent_values(db: Database, request: Cutoffs, link: Link, members: Sequence
     asked = request.rows.join(child.where(F.col("_parent").isNotNull()), "entity_id", "inner")
     parents = asked.select(F.col("_parent").alias("entity_id"), "cutoff").distinct()
     values = _features_of(
-        db, link.parent, Cutoffs(parents, request.anchors, request.hot_rows), distinct_bases(members)
+        db, link.parent, Cutoffs(parents, request.anchors, request.latest, request.hot_rows), distinct_bases(members)
     )
     values = values.select(
         F.col("entity_id").alias("_parent"), "cutoff", *[F.col(f.base.name).alias(f.name) for f in members]
@@ -206,7 +219,12 @@ def _parent_values(db: Database, request: Cutoffs, link: Link, members: Sequence
 
 
 def _timed_rows(
-    db: Database, links: Sequence[Link], clocks: Sequence[Feature], bases: Sequence[Feature], keys: Sequence[str] = ()
+    db: Database,
+    request: Cutoffs,
+    links: Sequence[Link],
+    clocks: Sequence[Feature],
+    bases: Sequence[Feature],
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Rows at the end of a path: ``_group`` (first parent's key), ``_seen`` (visible from), values.
 
@@ -217,6 +235,8 @@ def _timed_rows(
     time = db.spec(last.child).time_index
     keep = dict.fromkeys([last.child_column, *keys, *([time] if time else [])])
     rows = feature_frame(db, last.child, [*bases, *clocks], None, list(keep))
+    if time and request.latest is not None:
+        rows = rows.where(F.col(key_name(time)) <= ntz(request.latest))
     times = ([key_name(time)] if time else []) + [c.name for c in clocks]
     rows = rows.where(_all_known(times)) if times else rows
     rows = rows.select(
@@ -227,9 +247,7 @@ def _timed_rows(
     )
     for upper, lower in zip(reversed(links[:-1]), reversed(links[1:]), strict=True):
         time = db.spec(upper.child).time_index
-        steps = db.rows(upper.child)
-        steps = steps if time is None else steps.where(F.col(time).isNotNull())
-        steps = steps.select(
+        steps = visible(db, upper.child, request.latest).select(
             F.col(lower.parent_column).alias("_step"),
             F.col(upper.child_column).alias("_up"),
             (ntz(ALWAYS) if time is None else F.col(time)).alias("_step_seen"),
@@ -239,7 +257,7 @@ def _timed_rows(
         rows = rows.select(
             F.col("_up").alias("_group"), F.greatest("_seen", "_step_seen").alias("_seen"), *rest
         )
-    return rows.where(F.col("_group").isNotNull())
+    return rows.where(F.col("_group").isNotNull() & F.col("_seen").isNotNull())
 
 
 def _all_known(names: Sequence[str]) -> Column:
@@ -250,11 +268,17 @@ def _all_known(names: Sequence[str]) -> Column:
 
 
 def _latest(times: Sequence[Column]) -> Column:
-    return F.greatest(ntz(ALWAYS), *times) if times else ntz(ALWAYS)
+    if len(times) < 2:
+        return times[0] if times else ntz(ALWAYS)
+    return F.greatest(*times)
 
 
-def _states_for(members: Sequence[Feature]) -> tuple[list[State], list[Column]]:
-    """The states that the functions of a path need, and the aggregates that start them."""
+def _states_for(members: Sequence[Feature], counted: str | None = None) -> tuple[list[State], list[Column]]:
+    """The states that the functions of a path need, and the aggregates that start them.
+
+    ``counted`` names a Boolean column when not every row is a child row.
+    """
+    rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
     states: dict[str, State] = {}
     starts: dict[str, list[Column]] = {}
     for f in members:
@@ -266,7 +290,7 @@ def _states_for(members: Sequence[Feature]) -> tuple[list[State], list[Column]]:
             if state.kind == "moments":
                 starts[state.name] = moments_of(value, state.name)
             elif f.function == "COUNT":
-                starts[state.name] = [F.count(F.lit(1)).alias(state.name)]
+                starts[state.name] = [rows.alias(state.name)]
             elif f.function == "NUM_UNIQUE":
                 starts[state.name] = []
             elif state.kind in ("low", "high"):
@@ -313,12 +337,44 @@ def _first_seen(rows: DataFrame, unique: Sequence[Feature], keys: Sequence[str],
     )
 
 
+def _one_pass(
+    rows: DataFrame, members: Sequence[Feature], unique: Sequence[Feature], states: Sequence[State], keys: Sequence[str], at: str
+) -> DataFrame:
+    """States and first-seen counts from one reading of rows that come out of a join.
+
+    Each row is melted into its categories plus one entry, number -1, that carries the numbers.
+    """
+    values = dict.fromkeys(f.base.name for f in members if f.base is not None and f not in unique)
+    entries = [F.struct(F.lit(-1).alias("which"), F.lit(None).cast("string").alias("value"))]
+    entries += [
+        F.struct(F.lit(i).alias("which"), F.col(f.base.name).cast("string").alias("value"))
+        for i, f in enumerate(unique)
+    ]
+    melted = rows.select(*keys, at, *values, F.explode(F.array(*entries)).alias("_entry")).select(
+        *keys, at, *values, F.col("_entry.which").alias("_which"), F.col("_entry.value").alias("_value")
+    )
+    numbers = F.col("_which") == -1
+    melted = melted.where(numbers | F.col("_value").isNotNull()).withColumns(
+        {"_number_at": F.when(numbers, F.col(at)), "_number": numbers}
+        | {v: F.when(numbers, F.col(v)) for v in values}
+    )
+    _, starts = _states_for([f for f in members if f not in unique], counted="_number")
+    first = melted.groupBy(*keys, "_which", "_value", "_number_at").agg(F.min(at).alias(at), *starts)
+    carried = [c for s in states for c in s.columns if c not in {f"_{f.name}" for f in unique}]
+    return first.groupBy(*keys, at).agg(
+        *[F.max(F.when(numbers, F.col(c))).alias(c) for c in carried],
+        *[F.count_if(F.col("_which") == i).alias(f"_{f.name}") for i, f in enumerate(unique)],
+    )
+
+
 def _partial_states(
-    rows: DataFrame, members: Sequence[Feature], keys: Sequence[str], at: str
+    rows: DataFrame, members: Sequence[Feature], keys: Sequence[str], at: str, joined: bool = False
 ) -> tuple[DataFrame, list[State]]:
     """States per ``(keys, at)``; map-side aggregation collapses hot keys before the shuffle."""
     states, starts = _states_for(members)
     unique = [f for f in members if f.function == "NUM_UNIQUE"]
+    if unique and starts and joined:
+        return _one_pass(rows, members, unique, states, keys, at), states
     parts = []
     if starts:
         parts.append(rows.groupBy(*keys, at).agg(*starts))
@@ -333,10 +389,10 @@ def _partial_states(
 def _path_values(
     db: Database, request: Cutoffs, links: Sequence[Link], clocks: Sequence[Feature], members: Sequence[Feature]
 ) -> DataFrame:
-    rows = _timed_rows(db, links, clocks, distinct_bases(members))
+    rows = _timed_rows(db, request, links, clocks, distinct_bases(members))
     timeless = not clocks and not any(db.spec(link.child).time_index for link in links)
     if timeless:
-        partial, _ = _partial_states(rows, members, ["_group"], "_seen")
+        partial, _ = _partial_states(rows, members, ["_group"], "_seen", needs_join(links, members))
         states, _ = _states_for(members)
         merged = partial.groupBy("_group").agg(
             *[_merge_same_position(s, c) for s in states for c in s.columns]
@@ -346,7 +402,7 @@ def _path_values(
         )
         return request.rows.join(values, "entity_id", "inner")
     rows = rows.withColumn("_at", request.position(F.col("_seen"))).where(F.col("_at").isNotNull())
-    partial, states = _partial_states(rows, members, ["_group"], "_at")
+    partial, states = _partial_states(rows, members, ["_group"], "_at", needs_join(links, members))
     asked = request.rows.select(
         F.col("entity_id").alias("_group"), F.col("cutoff").alias("_at"), F.lit(1).alias("_ask")
     )
@@ -369,7 +425,7 @@ def _hot_limit(db: Database, request: Cutoffs, links: Sequence[Link]) -> int | N
     """``hot_rows`` when some key needs time blocks. Inline anchors bound every group already."""
     if request.anchors is not None:
         return None
-    keys = _timed_rows(db, links, (), ()).select("_group")
+    keys = _timed_rows(db, request, links, (), ()).select("_group")
     asked = request.rows.select(F.col("entity_id").alias("_group"))
     return request.hot_rows if has_hot_group(keys.unionAll(asked), "_group", request.hot_rows) else None
 
@@ -441,8 +497,8 @@ def _stacked_values(
     aggregates = distinct_bases(members)
     child_key = db.spec(outer[-1].child).primary_key
     # children with the entity they belong to and the time they become visible
-    children = _timed_rows(db, outer, (), (), keys=[child_key]).withColumnRenamed(key_name(child_key), "_child")
-    grand = _timed_rows(db, inner, clocks, distinct_bases(aggregates))
+    children = _timed_rows(db, request, outer, (), (), keys=[child_key]).withColumnRenamed(key_name(child_key), "_child")
+    grand = _timed_rows(db, request, inner, clocks, distinct_bases(aggregates))
     grand = grand.withColumnsRenamed({"_group": "_child", "_seen": "_grand_seen"})
     grand = grand.join(children, "_child", "inner")
     later = F.greatest("_seen", "_grand_seen")
@@ -453,7 +509,7 @@ def _stacked_values(
     end = 1 << levels
 
     # one row per (child, slot) in which the child appears or changes
-    partial, states = _partial_states(grand, aggregates, ["_child", "_group"], "_slot")
+    partial, states = _partial_states(grand, aggregates, ["_child", "_group"], "_slot", joined=True)
     steps = partial.unionByName(born, allowMissingColumns=True)
     steps = steps.withColumn("_tie", F.when(F.coalesce(*[F.col(c) for c in columns_of(states)]).isNull(), 0).otherwise(1))
     ordered = Window.partitionBy("_child", "_group").orderBy("_slot", "_tie")

@@ -107,11 +107,10 @@ def attach_children(
     db: Database, frame: DataFrame, links: Sequence[Link], members: Sequence[Feature], cutoff: dt.datetime | None
 ) -> DataFrame:
     child = path_rows(db, links, distinct_bases(members), cutoff)
-    for summary in (summarise(child, members), count_distinct_values(child, members)):
-        if summary is not None:
-            frame = frame.join(
-                summary, F.col(key_name(links[0].parent_column)) == F.col("_group"), "left"
-            ).drop("_group")
+    for summary in summaries(child, members, needs_join(links, members)):
+        frame = frame.join(
+            summary, F.col(key_name(links[0].parent_column)) == F.col("_group"), "left"
+        ).drop("_group")
     zeros = {f.name: F.coalesce(F.col(f.name), F.lit(0)) for f in members if f.function in ZERO_WHEN_ABSENT}
     return frame.withColumns(zeros) if zeros else frame
 
@@ -138,36 +137,52 @@ def path_rows(
     return rows
 
 
+def needs_join(links: Sequence[Link], members: Sequence[Feature]) -> bool:
+    """Whether the rows of a path come out of a join, so that reading them twice is expensive."""
+    return len(links) > 1 or any(f.base is not None and f.base.kind in ("lookup", "aggregate") for f in members)
+
+
 def aggregate_value(feature: Feature) -> Column:
     if feature.function == "COUNT":
         return F.count(F.lit(1))
+    if feature.function == "NUM_UNIQUE":
+        return F.count_distinct(F.col(feature.base.name))
     value = F.col(feature.base.name).cast("double")
     return {"SUM": F.sum, "MEAN": F.avg, "MAX": F.max, "MIN": F.min, "STD": F.stddev_samp}[
         feature.function
     ](value)
 
 
-def summarise(child: DataFrame, members: Sequence[Feature]) -> DataFrame | None:
-    wanted = [f for f in members if f.function != "NUM_UNIQUE"]
-    if not wanted:
-        return None
-    return child.groupBy("_group").agg(*[aggregate_value(f).alias(f.name) for f in wanted])
+def summaries(child: DataFrame, members: Sequence[Feature], joined: bool) -> list[DataFrame]:
+    """The functions of a path per ``_group``, in one aggregation or two.
 
-
-def count_distinct_values(child: DataFrame, members: Sequence[Feature]) -> DataFrame | None:
+    A plain child table is read once for its numbers and once for its categories: the columns do
+    not overlap, and the distinct counts then need no copy of the numbers. Rows that come out of a
+    join are aggregated in one go instead.
+    """
+    unique = [f for f in members if f.function == "NUM_UNIQUE"]
+    other = [f for f in members if f.function != "NUM_UNIQUE"]
+    if other and joined:
+        return [child.groupBy("_group").agg(*[aggregate_value(f).alias(f.name) for f in members])]
+    found = []
+    if other:
+        found.append(child.groupBy("_group").agg(*[aggregate_value(f).alias(f.name) for f in other]))
+    if unique:
+        found.append(count_distinct_values(child, unique))
+    return found
+
+
+def count_distinct_values(child: DataFrame, unique: Sequence[Feature]) -> DataFrame:
     """Exact distinct counts of several columns in one shuffle of already de-duplicated values.
 
     Values are keyed by ``(group, column, value)``, so a hot group is spread over its values and
-    collapsed on the map side; ``count_distinct`` on each column would expand every row instead.
+    collapsed on the map side.
     """
-    wanted = [f for f in members if f.function == "NUM_UNIQUE"]
-    if not wanted:
-        return None
     return (
-        melt(child, wanted, "_group")
+        melt(child, unique, "_group")
         .distinct()
         .groupBy("_group")
-        .agg(*[F.count_if(F.col("_which") == i).alias(f.name) for i, f in enumerate(wanted)])
+        .agg(*[F.count_if(F.col("_which") == i).alias(f.name) for i, f in enumerate(unique)])
     )
 
 
