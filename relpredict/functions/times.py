@@ -32,11 +32,6 @@ def shift_column(moment: Column, amount: int, unit: str) -> Column:
     return moment + F.make_interval(**{unit: F.lit(amount)})
 
 
-def weekday(moment: Column) -> Column:
-    """Monday = 0 ... Sunday = 6."""
-    return F.weekday(moment)
-
-
 def seconds(moment: Column) -> Column:
     """Seconds since 1970 of a zone-less time, without a detour through the session's zone."""
     days = F.unix_date(F.to_date(moment)).cast("bigint")

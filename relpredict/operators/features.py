@@ -16,7 +16,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relpredict.functions.times import ntz, weekday
+from relpredict.functions.times import ntz
 from relpredict.plans.feature_plan import Feature, enumerate_features
 from relpredict.schema import Database, Link, SchemaError
 
@@ -59,7 +59,11 @@ def visible(db: Database, table: str, cutoff: dt.datetime | None) -> DataFrame:
 def feature_frame(
     db: Database, table: str, features: Sequence[Feature], cutoff: dt.datetime | None, keep: Sequence[str]
 ) -> DataFrame:
-    """Visible rows of ``table``: the ``keep`` columns as ``_key_*`` plus every feature."""
+    """Visible rows of ``table``: the ``keep`` columns as ``_key_*`` plus every feature.
+
+    Wide projections are written as SQL strings: one call per projection instead of several per
+    column keeps planning quick with hundreds of features.
+    """
     lookups = by_links(f for f in features if f.kind == "lookup")
     aggregates = by_links(f for f in features if f.kind == "aggregate")
     pk = db.spec(table).primary_key
@@ -67,22 +71,28 @@ def feature_frame(
     needed |= dict.fromkeys(links[0].child_column for links in lookups)
     if aggregates:
         needed[pk] = None
-    frame = visible(db, table, cutoff).select(
-        *[F.col(c).alias(key_name(c)) for c in needed],
-        *[row_value(f).alias(f.name) for f in features if f.kind in ("own", "transform")],
+    frame = visible(db, table, cutoff).selectExpr(
+        *[f"`{c}` AS `{key_name(c)}`" for c in needed],
+        *[f"{row_value(f)} AS `{f.name}`" for f in features if f.kind in ("own", "transform")],
     )
     for links, members in lookups.items():
         frame = attach_parent(db, frame, links[0], members, cutoff)
     for links, members in aggregates.items():
         frame = attach_children(db, frame, links, members, cutoff)
-    return frame.select(*[key_name(c) for c in keep], *[f.name for f in features])
+    return frame.selectExpr(*[f"`{key_name(c)}`" for c in keep], *[settled(f) for f in features])
+
+
+def settled(feature: Feature) -> str:
+    """The feature's column; counts, sums and distinct counts of nothing are zero."""
+    if feature.function in ZERO_WHEN_ABSENT:
+        return f"coalesce(`{feature.name}`, 0) AS `{feature.name}`"
+    return f"`{feature.name}`"
 
 
-def row_value(feature: Feature) -> Column:
-    value = F.col(feature.column)
-    if feature.function is None:
-        return value
-    return {"MONTH": F.month, "WEEKDAY": weekday}[feature.function](value)
+def row_value(feature: Feature) -> str:
+    column = f"`{feature.column}`"
+    # weekday: Monday = 0
+    return column if feature.function is None else f"{feature.function.lower()}({column})"
 
 
 def by_links(features) -> dict[tuple[Link, ...], list[Feature]]:
@@ -93,26 +103,24 @@ def by_links(features) -> dict[tuple[Link, ...], list[Feature]]:
 def attach_parent(
     db: Database, frame: DataFrame, link: Link, members: Sequence[Feature], cutoff: dt.datetime | None
 ) -> DataFrame:
-    bases = distinct_bases(members)
-    parent = feature_frame(db, link.parent, bases, cutoff, keep=[link.parent_column])
-    parent = parent.select(
-        F.col(key_name(link.parent_column)).alias("_parent"),
-        *[F.col(f.base.name).alias(f.name) for f in members],
+    parent = feature_frame(db, link.parent, distinct_bases(members), cutoff, keep=[link.parent_column])
+    key = f"_parent_{link.child_column}"
+    parent = parent.selectExpr(
+        f"`{key_name(link.parent_column)}` AS `{key}`", *[f"`{f.base.name}` AS `{f.name}`" for f in members]
     )
-    joined = frame.join(parent, F.col(key_name(link.child_column)) == F.col("_parent"), "left")
-    return joined.drop("_parent")
+    return frame.join(parent, F.col(key_name(link.child_column)) == F.col(key), "left")
 
 
 def attach_children(
     db: Database, frame: DataFrame, links: Sequence[Link], members: Sequence[Feature], cutoff: dt.datetime | None
 ) -> DataFrame:
     child = path_rows(db, links, distinct_bases(members), cutoff)
+    key = F.col(key_name(links[0].parent_column))
     for summary in summaries(child, members, needs_join(links, members)):
-        frame = frame.join(
-            summary, F.col(key_name(links[0].parent_column)) == F.col("_group"), "left"
-        ).drop("_group")
-    zeros = {f.name: F.coalesce(F.col(f.name), F.lit(0)) for f in members if f.function in ZERO_WHEN_ABSENT}
-    return frame.withColumns(zeros) if zeros else frame
+        group = f"_group_{len(frame.columns)}"
+        summary = summary.withColumnRenamed("_group", group)
+        frame = frame.join(summary, key == F.col(group), "left")
+    return frame
 
 
 def distinct_bases(members: Sequence[Feature]) -> list[Feature]:
@@ -144,13 +152,12 @@ def needs_join(links: Sequence[Link], members: Sequence[Feature]) -> bool:
 
 def aggregate_value(feature: Feature) -> Column:
     if feature.function == "COUNT":
-        return F.count(F.lit(1))
+        return F.expr(f"count(1) AS `{feature.name}`")
+    base = f"`{feature.base.name}`"
     if feature.function == "NUM_UNIQUE":
-        return F.count_distinct(F.col(feature.base.name))
-    value = F.col(feature.base.name).cast("double")
-    return {"SUM": F.sum, "MEAN": F.avg, "MAX": F.max, "MIN": F.min, "STD": F.stddev_samp}[
-        feature.function
-    ](value)
+        return F.expr(f"count(DISTINCT {base}) AS `{feature.name}`")
+    function = {"SUM": "sum", "MEAN": "avg", "MAX": "max", "MIN": "min", "STD": "stddev_samp"}[feature.function]
+    return F.expr(f"{function}(CAST({base} AS DOUBLE)) AS `{feature.name}`")
 
 
 def summaries(child: DataFrame, members: Sequence[Feature], joined: bool) -> list[DataFrame]:
@@ -163,10 +170,10 @@ def summaries(child: DataFrame, members: Sequence[Feature], joined: bool) -> lis
     unique = [f for f in members if f.function == "NUM_UNIQUE"]
     other = [f for f in members if f.function != "NUM_UNIQUE"]
     if other and joined:
-        return [child.groupBy("_group").agg(*[aggregate_value(f).alias(f.name) for f in members])]
+        return [child.groupBy("_group").agg(*[aggregate_value(f) for f in members])]
     found = []
     if other:
-        found.append(child.groupBy("_group").agg(*[aggregate_value(f).alias(f.name) for f in other]))
+        found.append(child.groupBy("_group").agg(*[aggregate_value(f) for f in other]))
     if unique:
         found.append(count_distinct_values(child, unique))
     return found
@@ -182,22 +189,19 @@ def count_distinct_values(child: DataFrame, unique: Sequence[Feature]) -> DataFr
         melt(child, unique, "_group")
         .distinct()
         .groupBy("_group")
-        .agg(*[F.count_if(F.col("_which") == i).alias(f.name) for i, f in enumerate(unique)])
+        .agg(*[F.expr(f"count_if(_which = {i}) AS `{f.name}`") for i, f in enumerate(unique)])
     )
 
 
 def melt(child: DataFrame, wanted: Sequence[Feature], *carry: str) -> DataFrame:
     """``(carry..., _which, _value)``: one row per non-null categorical value."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("which"), F.col(f.base.name).cast("string").alias("value"))
-            for i, f in enumerate(wanted)
-        ]
+    pairs = ", ".join(
+        f"named_struct('which', {i}, 'value', CAST(`{f.base.name}` AS STRING))" for i, f in enumerate(wanted)
     )
     return (
-        child.select(*carry, F.explode(pairs).alias("_pair"))
-        .where(F.col("_pair.value").isNotNull())
-        .select(*carry, F.col("_pair.which").alias("_which"), F.col("_pair.value").alias("_value"))
+        child.selectExpr(*carry, f"explode(array({pairs})) AS _pair")
+        .where("_pair.value IS NOT NULL")
+        .selectExpr(*carry, "_pair.which AS _which", "_pair.value AS _value")
     )
 
 
