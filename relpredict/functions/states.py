@@ -2,6 +2,7 @@
 
 A state set is a list of columns of four kinds: ``add`` (summed), ``low`` / ``high`` (min / max)
 and ``moments`` (count, mean and sum of squared deviations, merged without cancellation).
+Expressions are SQL strings, so a wide state set costs one call per projection.
 """
 
 from __future__ import annotations
@@ -9,9 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from relpredict.functions.times import seconds
 
@@ -34,79 +34,78 @@ def columns_of(states: Iterable[State]) -> list[str]:
     return [c for s in states for c in s.columns]
 
 
-def moments_of(value: Column, name: str) -> list[Column]:
+def quoted(names: Iterable[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
+def moments_of(value: str, name: str) -> list[str]:
     """Aggregates that start a ``moments`` state from raw values."""
     return [
-        F.count(value).alias(f"{name}_n"),
-        F.avg(value).alias(f"{name}_mu"),
-        (F.var_pop(value) * F.count(value)).alias(f"{name}_m2"),
+        f"count({value}) AS `{name}_n`",
+        f"avg({value}) AS `{name}_mu`",
+        f"var_pop({value}) * count({value}) AS `{name}_m2`",
     ]
 
 
-def stddev_of(name: str) -> Column:
+def stddev_of(name: str) -> str:
     """Sample deviation from a ``moments`` state, null below two values."""
-    n, m2 = F.col(f"{name}_n"), F.col(f"{name}_m2")
-    return F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1)))
+    return f"IF(`{name}_n` > 1, sqrt(greatest(`{name}_m2`, 0D) / (`{name}_n` - 1)), NULL)"
 
 
-def merge_over(frame: DataFrame, states: Sequence[State], ordered: WindowSpec, last: int = 0) -> DataFrame:
-    """Replace every state by its merge over the rows so far (``last=-1``: without the row itself).
+def merge_over(frame: DataFrame, states: Sequence[State], ordered: str, last: str = "CURRENT ROW") -> DataFrame:
+    """Replace every state by its merge over the rows so far.
 
-    Deviations are taken from the first mean of the group rather than from zero, so a large mean
-    with a small spread keeps its digits, and nothing after the row is used.
+    ``ordered`` is the window as SQL (``PARTITION BY … ORDER BY …``); ``last="1 PRECEDING"`` leaves
+    the row itself out. Deviations are taken from the first mean of the group rather than from
+    zero, so a large mean with a small spread keeps its digits, and nothing after the row is used.
     """
-    moments = [s for s in states if s.kind == "moments"]
-    over = ordered.rowsBetween(Window.unboundedPreceding, last)
+    moments = [s.name for s in states if s.kind == "moments"]
+    over = f"OVER ({ordered} ROWS BETWEEN UNBOUNDED PRECEDING AND {last})"
+    so_far = f"OVER ({ordered} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    names = set(columns_of(states))
+    untouched = quoted(c for c in frame.columns if c not in names)
     if moments:
-        so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-        frame = frame.withColumns(
-            {f"{s.name}_from": F.first(f"{s.name}_mu", ignorenulls=True).over(so_far) for s in moments}
-        )
-    sums: dict[str, Column] = {}
+        frame = frame.selectExpr("*", *[f"first(`{m}_mu`, true) {so_far} AS `{m}_from`" for m in moments])
+    merged, kept = [], []
     for s in states:
+        m = s.name
         if s.kind == "moments":
-            n, off = F.col(f"{s.name}_n"), F.col(f"{s.name}_mu") - F.col(f"{s.name}_from")
-            sums[f"{s.name}_n"] = F.sum(n).over(over)
-            sums[f"{s.name}_a"] = F.sum(n * off).over(over)
-            sums[f"{s.name}_q"] = F.sum(F.col(f"{s.name}_m2") + n * off * off).over(over)
+            off = f"(`{m}_mu` - `{m}_from`)"
+            merged.append(f"sum(`{m}_n`) {over} AS `{m}_n`")
+            merged.append(f"sum(`{m}_n` * {off}) {over} AS `{m}_a`")
+            merged.append(f"sum(`{m}_m2` + `{m}_n` * {off} * {off}) {over} AS `{m}_q`")
+            merged.append(f"`{m}_from`")
+            kept.append(f"`{m}_n`")
+            kept.append(f"IF(`{m}_n` > 0, `{m}_from` + `{m}_a` / `{m}_n`, NULL) AS `{m}_mu`")
+            kept.append(f"IF(`{m}_n` > 0, `{m}_q` - `{m}_a` * `{m}_a` / `{m}_n`, NULL) AS `{m}_m2`")
         else:
-            merge = {"add": F.sum, "low": F.min, "high": F.max}[s.kind]
-            sums[s.name] = merge(s.name).over(over)
-    untouched = [c for c in frame.columns if c not in sums]
-    frame = frame.select(*untouched, *[c.alias(name) for name, c in sums.items()])
-    means: dict[str, Column] = {}
-    for s in moments:
-        n, a = F.col(f"{s.name}_n"), F.col(f"{s.name}_a")
-        means[f"{s.name}_mu"] = F.when(n > 0, F.col(f"{s.name}_from") + a / n)
-        means[f"{s.name}_m2"] = F.when(n > 0, F.col(f"{s.name}_q") - a * a / n)
-    if means:
-        frame = frame.withColumns(means)
-    return frame.drop(*[f"{s.name}_{x}" for s in moments for x in ("from", "a", "q")])
-
-
-def merge_pair(states: Sequence[State], left: str, right: str) -> list[Column]:
+            merge = {"add": "sum", "low": "min", "high": "max"}[s.kind]
+            merged.append(f"{merge}(`{m}`) {over} AS `{m}`")
+            kept.append(f"`{m}`")
+    frame = frame.selectExpr(*untouched, *merged)
+    return frame.selectExpr(*untouched, *kept) if moments else frame
+
+
+def merge_pair(states: Sequence[State], left: str, right: str) -> list[str]:
     """Merge the states of two joined sides, named ``left + column`` and ``right + column``."""
     out = []
     for s in states:
-        if s.kind != "moments":
-            pick = {"low": F.least, "high": F.greatest}.get(s.kind)
-            a, b = F.col(left + s.name), F.col(right + s.name)
-            if pick is None:
-                merged = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
-            else:
-                merged = pick(a, b)
-            out.append(merged.alias(s.name))
-            continue
-        n1, n2 = (F.coalesce(F.col(f"{x}{s.name}_n"), F.lit(0)) for x in (left, right))
-        u1, u2 = (F.col(f"{x}{s.name}_mu") for x in (left, right))
-        q1, q2 = (F.col(f"{x}{s.name}_m2") for x in (left, right))
-        n, gap = n1 + n2, u2 - u1
-        out.append(n.alias(f"{s.name}_n"))
-        out.append(F.when(n2 == 0, u1).when(n1 == 0, u2).otherwise(u1 + gap * n2 / n).alias(f"{s.name}_mu"))
-        out.append(
-            F.when(n2 == 0, q1).when(n1 == 0, q2)
-            .otherwise(q1 + q2 + gap * gap * n1 * n2 / n).alias(f"{s.name}_m2")
-        )
+        a, b = f"`{left}{s.name}`", f"`{right}{s.name}`"
+        if s.kind == "add":
+            out.append(f"CASE WHEN {a} IS NULL THEN {b} WHEN {b} IS NULL THEN {a} ELSE {a} + {b} END AS `{s.name}`")
+        elif s.kind in ("low", "high"):
+            pick = "least" if s.kind == "low" else "greatest"  # both skip nulls
+            out.append(f"{pick}({a}, {b}) AS `{s.name}`")
+        else:
+            n1, n2 = (f"coalesce(`{x}{s.name}_n`, 0)" for x in (left, right))
+            u1, u2 = (f"`{x}{s.name}_mu`" for x in (left, right))
+            q1, q2 = (f"`{x}{s.name}_m2`" for x in (left, right))
+            one_side = f"CASE WHEN {n2} = 0 THEN {{0}} WHEN {n1} = 0 THEN {{1}} ELSE {{2}} END"
+            mean = f"{u1} + ({u2} - {u1}) * {n2} / ({n1} + {n2})"
+            spread = f"{q1} + {q2} + ({u2} - {u1}) * ({u2} - {u1}) * {n1} * {n2} / ({n1} + {n2})"
+            out.append(f"{n1} + {n2} AS `{s.name}_n`")
+            out.append(f"{one_side.format(u1, u2, mean)} AS `{s.name}_mu`")
+            out.append(f"{one_side.format(q1, q2, spread)} AS `{s.name}_m2`")
     return out
 
 
@@ -120,30 +119,26 @@ def running_merge(
     state of the blocks before it. Rows of equal ``order`` must already be merged by the caller.
     ``hot_rows=None`` says the caller knows that no group is hot.
     """
+    sorting = ", ".join(quoted(order))
     if hot_rows is None:
-        ordered = Window.partitionBy(group).orderBy(*order)
-        return merge_over(frame, states, ordered)
+        return merge_over(frame, states, f"PARTITION BY `{group}` ORDER BY {sorting}")
 
-    blocked = time_blocks(frame, group, time, hot_rows)
-    ordered = Window.partitionBy(group, "_block", "_hot").orderBy(*order)
-    last = blocked.withColumn("_last", F.lead(F.lit(1)).over(ordered).isNull())
-    inside = merge_over(last, states, ordered)
     names = columns_of(states)
-    totals = inside.where(F.col("_hot") & F.col("_last")).select(group, "_block", *names)
-    blocks = Window.partitionBy(group).orderBy("_block")
-    carry = merge_over(totals, states, blocks, last=-1).select(
-        F.col(group).alias("_carry_group"),
-        F.col("_block").alias("_carry_block"),
-        *[F.col(c).alias(f"_carry_{c}") for c in names],
+    ordered = f"PARTITION BY `{group}`, _block, _hot ORDER BY {sorting}"
+    blocked = time_blocks(frame, group, time, hot_rows)
+    blocked = blocked.selectExpr("*", f"lead(1) OVER ({ordered}) IS NULL AS _last")
+    inside = merge_over(blocked, states, ordered)
+    totals = inside.where("_hot AND _last").selectExpr(f"`{group}`", "_block", *quoted(names))
+    carry = merge_over(totals, states, f"PARTITION BY `{group}` ORDER BY _block", last="1 PRECEDING").selectExpr(
+        f"`{group}` AS _carry_group", "_block AS _carry_block", *[f"`{c}` AS `_carry_{c}`" for c in names]
     )
-    joined = inside.join(
+    joined = inside.withColumnsRenamed({c: f"_here_{c}" for c in names}).join(
         carry,
         (F.col(group) == F.col("_carry_group")) & (F.col("_block") == F.col("_carry_block")),
         "left",
     )
-    keep = [c for c in frame.columns if c not in names]
-    renamed = joined.withColumnsRenamed({c: f"_here_{c}" for c in names})
-    return renamed.select(*keep, *merge_pair(states, "_carry_", "_here_"))
+    keep = quoted(c for c in frame.columns if c not in names)
+    return joined.selectExpr(*keep, *merge_pair(states, "_carry_", "_here_"))
 
 
 def time_blocks(frame: DataFrame, group: str, time: str, hot_rows: int) -> DataFrame:
@@ -158,17 +153,14 @@ def time_blocks(frame: DataFrame, group: str, time: str, hot_rows: int) -> DataF
         frame.groupBy(F.col(group).alias("_hot_group"))
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(second).alias("_from"), F.max(second).alias("_to"))
         .where(F.col("_rows") > hot_rows)
-        .select(
-            "_hot_group",
-            "_from",
-            ((F.col("_to") - F.col("_from") + 1) / (F.ceil(F.col("_rows") / hot_rows) * 16)).alias("_width"),
-        )
+        .selectExpr("_hot_group", "_from", f"(_to - _from + 1) / (ceil(_rows / {hot_rows}) * 16) AS _width")
+    )
+    joined = frame.withColumn("_second", second).join(hot, F.col(group) == F.col("_hot_group"), "left")
+    return joined.selectExpr(
+        *quoted(frame.columns),
+        "_from IS NOT NULL AS _hot",
+        "coalesce(floor((_second - _from) / _width), 0L) AS _block",
     )
-    joined = frame.join(hot, F.col(group) == F.col("_hot_group"), "left")
-    block = F.floor((second - F.col("_from")) / F.col("_width"))
-    return joined.withColumns(
-        {"_hot": F.col("_from").isNotNull(), "_block": F.coalesce(block, F.lit(0).cast("bigint"))}
-    ).drop("_hot_group", "_from", "_width")
 
 
 def has_hot_group(frame: DataFrame, group: str, hot_rows: int) -> bool:

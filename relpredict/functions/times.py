@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 UNIT_DAYS = {"days": 1, "weeks": 7, "months": 30}
 
 
+def ntz_sql(moment: dt.datetime) -> str:
+    """A TIMESTAMP_NTZ literal; a Python datetime would be zoned and cast the data side."""
+    return f"TIMESTAMP_NTZ'{moment.isoformat(sep=' ', timespec='microseconds')}'"
+
+
 def ntz(moment: dt.datetime) -> Column:
-    """A TIMESTAMP_NTZ literal; ``F.lit(datetime)`` would be zoned and cast the data side."""
-    return F.expr(f"TIMESTAMP_NTZ'{moment.isoformat(sep=' ', timespec='microseconds')}'")
+    return F.expr(ntz_sql(moment))
 
 
 def shift(moment: dt.datetime, amount: int, unit: str) -> dt.datetime:

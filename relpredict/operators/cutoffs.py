@@ -15,7 +15,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relpredict.functions.states import (
@@ -24,10 +24,11 @@ from relpredict.functions.states import (
     has_hot_group,
     merge_over,
     moments_of,
+    quoted,
     running_merge,
     stddev_of,
 )
-from relpredict.functions.times import ntz
+from relpredict.functions.times import ntz, ntz_sql
 from relpredict.operators.features import (
     ZERO_WHEN_ABSENT,
     by_links,
@@ -36,6 +37,7 @@ from relpredict.operators.features import (
     key_name,
     melt,
     needs_join,
+    settled,
     synthesize_at,
     union_all,
     visible,
@@ -67,14 +69,16 @@ class Cutoffs:
     hot_rows: int
     everyone: bool = False
 
-    def position(self, time: Column) -> Column:
-        """The first anchor at or after a time (null if none), or the time itself."""
+    def position(self, time: str) -> str:
+        """SQL for the first anchor at or after a time (null if none), or the time itself."""
         if self.anchors is None:
             return time
-        later = F.lit(None).cast("timestamp_ntz")
-        for anchor in reversed(self.anchors):
-            later = F.when(time <= ntz(anchor), ntz(anchor)).otherwise(later)
-        return later
+        cases = " ".join(f"WHEN {time} <= {ntz_sql(a)} THEN {ntz_sql(a)}" for a in self.anchors)
+        return f"CASE {cases} END"
+
+    def slot(self, time: str) -> str:
+        """SQL for how many anchors lie before a time."""
+        return " + ".join(f"CAST({time} > {ntz_sql(a)} AS INT)" for a in self.anchors)
 
 
 def synthesize_many(
@@ -150,9 +154,8 @@ def _features_of(db: Database, entity: str, request: Cutoffs, features: Sequence
 
 
 def _join_back(out: DataFrame, values: DataFrame, members: Sequence[Feature]) -> DataFrame:
-    out = out.join(values, ["entity_id", "cutoff"], "left")
-    zeros = {f.name: F.coalesce(F.col(f.name), F.lit(0)) for f in members if f.function in ZERO_WHEN_ABSENT}
-    return out.withColumns(zeros) if zeros else out
+    joined = out.join(values, ["entity_id", "cutoff"], "left")
+    return joined.selectExpr(*quoted(out.columns), *[settled(f) for f in members])
 
 
 # -- values that do not change, and lookups of values that do ---------------------------------
@@ -190,12 +193,9 @@ def _fixed_values(db: Database, entity: str, request: Cutoffs, fixed: Sequence[F
         out = out.where(F.col(key_name(spec.time_index)) <= F.col("cutoff"))
     values = []
     for f in fixed:
-        seen = [F.col(c.name) <= F.col("cutoff") for c in _clocks(db, f)]
-        value = F.col(f.name)
-        for condition in seen:
-            value = F.when(condition, value)
-        values.append(value.alias(f.name))
-    return out.select("entity_id", "cutoff", *values)
+        seen = " AND ".join(f"`{c.name}` <= cutoff" for c in _clocks(db, f))
+        values.append(f"IF({seen}, `{f.name}`, NULL) AS `{f.name}`" if seen else f"`{f.name}`")
+    return out.selectExpr("entity_id", "cutoff", *values)
 
 
 def _parent_values(db: Database, request: Cutoffs, link: Link, members: Sequence[Feature]) -> DataFrame:
@@ -209,8 +209,8 @@ def _parent_values(db: Database, request: Cutoffs, link: Link, members: Sequence
     values = _features_of(
         db, link.parent, Cutoffs(parents, request.anchors, request.latest, request.hot_rows), distinct_bases(members)
     )
-    values = values.select(
-        F.col("entity_id").alias("_parent"), "cutoff", *[F.col(f.base.name).alias(f.name) for f in members]
+    values = values.selectExpr(
+        "entity_id AS _parent", "cutoff", *[f"`{f.base.name}` AS `{f.name}`" for f in members]
     )
     return asked.join(values, ["_parent", "cutoff"], "inner").drop("_parent")
 
@@ -238,68 +238,51 @@ def _timed_rows(
     if time and request.latest is not None:
         rows = rows.where(F.col(key_name(time)) <= ntz(request.latest))
     times = ([key_name(time)] if time else []) + [c.name for c in clocks]
-    rows = rows.where(_all_known(times)) if times else rows
-    rows = rows.select(
-        F.col(key_name(last.child_column)).alias("_group"),
-        _latest([F.col(t) for t in times]).alias("_seen"),
-        *[F.col(key_name(k)) for k in keys],
-        *[b.name for b in bases],
+    for t in times:
+        rows = rows.where(F.col(t).isNotNull())
+    latest = f"greatest({', '.join(quoted(times))})" if len(times) > 1 else next(iter(quoted(times)), ntz_sql(ALWAYS))
+    rows = rows.selectExpr(
+        f"`{key_name(last.child_column)}` AS _group",
+        f"{latest} AS _seen",
+        *quoted(key_name(k) for k in keys),
+        *quoted(b.name for b in bases),
     )
+    kept = quoted([*(key_name(k) for k in keys), *(b.name for b in bases)])
     for upper, lower in zip(reversed(links[:-1]), reversed(links[1:]), strict=True):
         time = db.spec(upper.child).time_index
-        steps = visible(db, upper.child, request.latest).select(
-            F.col(lower.parent_column).alias("_step"),
-            F.col(upper.child_column).alias("_up"),
-            (ntz(ALWAYS) if time is None else F.col(time)).alias("_step_seen"),
+        steps = visible(db, upper.child, request.latest).selectExpr(
+            f"`{lower.parent_column}` AS _step",
+            f"`{upper.child_column}` AS _up",
+            f"{ntz_sql(ALWAYS) if time is None else f'`{time}`'} AS _step_seen",
         )
-        rows = rows.join(steps, F.col("_group") == F.col("_step"), "inner")
-        rest = [c for c in rows.columns if c not in ("_group", "_seen", "_step", "_up", "_step_seen")]
-        rows = rows.select(
-            F.col("_up").alias("_group"), F.greatest("_seen", "_step_seen").alias("_seen"), *rest
+        rows = rows.join(steps, F.col("_group") == F.col("_step"), "inner").selectExpr(
+            "_up AS _group", "greatest(_seen, _step_seen) AS _seen", *kept
         )
-    return rows.where(F.col("_group").isNotNull() & F.col("_seen").isNotNull())
-
-
-def _all_known(names: Sequence[str]) -> Column:
-    known = F.lit(True)
-    for name in names:
-        known = known & F.col(name).isNotNull()
-    return known
-
-
-def _latest(times: Sequence[Column]) -> Column:
-    if len(times) < 2:
-        return times[0] if times else ntz(ALWAYS)
-    return F.greatest(*times)
+    return rows.where("_group IS NOT NULL AND _seen IS NOT NULL")
 
 
-def _states_for(members: Sequence[Feature], counted: str | None = None) -> tuple[list[State], list[Column]]:
-    """The states that the functions of a path need, and the aggregates that start them.
+def _states_for(members: Sequence[Feature], rows: str = "count(1)") -> tuple[list[State], list[str]]:
+    """The states that the functions of a path need, and the SQL aggregates that start them.
 
-    ``counted`` names a Boolean column when not every row is a child row.
+    ``rows`` counts the child rows.
     """
-    rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
     states: dict[str, State] = {}
-    starts: dict[str, list[Column]] = {}
+    starts: list[str] = []
     for f in members:
-        value = None if f.base is None else F.col(f.base.name).cast("double")
+        value = None if f.base is None else f"CAST(`{f.base.name}` AS DOUBLE)"
         for state in _needed(f):
             if state.name in states:
                 continue
             states[state.name] = state
             if state.kind == "moments":
-                starts[state.name] = moments_of(value, state.name)
+                starts += moments_of(value, state.name)
             elif f.function == "COUNT":
-                starts[state.name] = [rows.alias(state.name)]
-            elif f.function == "NUM_UNIQUE":
-                starts[state.name] = []
-            elif state.kind in ("low", "high"):
-                merge = F.min if state.kind == "low" else F.max
-                starts[state.name] = [merge(value).alias(state.name)]
-            else:
-                merge = F.count if state.name.startswith("_n_") else F.sum
-                starts[state.name] = [merge(value).alias(state.name)]
-    return list(states.values()), [c for columns in starts.values() for c in columns]
+                starts.append(f"{rows} AS `{state.name}`")
+            elif f.function != "NUM_UNIQUE":
+                merge = {"low": "min", "high": "max"}.get(state.kind, "sum")
+                merge = "count" if state.name.startswith("_n_") else merge
+                starts.append(f"{merge}({value}) AS `{state.name}`")
+    return list(states.values()), starts
 
 
 def _needed(f: Feature) -> list[State]:
@@ -315,15 +298,24 @@ def _needed(f: Feature) -> list[State]:
     }[f.function]
 
 
-def _finish(f: Feature) -> Column:
+def _finish(f: Feature) -> str:
+    """SQL for the feature's value from its states."""
     if f.function in ("COUNT", "NUM_UNIQUE"):
-        return F.col(f"_{f.name}")
+        return f"`_{f.name}`"
     base = f.base.name
     if f.function == "MEAN":
-        return F.when(F.col(f"_n_{base}") > 0, F.col(f"_s_{base}") / F.col(f"_n_{base}"))
+        return f"IF(`_n_{base}` > 0, `_s_{base}` / `_n_{base}`, NULL)"
     if f.function == "STD":
         return stddev_of(f"_m_{base}")
-    return F.col({"SUM": "_s_", "MIN": "_lo_", "MAX": "_hi_"}[f.function] + base)
+    return f"`{ {'SUM': '_s_', 'MIN': '_lo_', 'MAX': '_hi_'}[f.function]}{base}`"
+
+
+def _finished(members: Sequence[Feature]) -> list[str]:
+    return [f"{_finish(f)} AS `{f.name}`" for f in members]
+
+
+def _counted(unique: Sequence[Feature]) -> list[Column]:
+    return [F.expr(f"count_if(_which = {i}) AS `_{f.name}`") for i, f in enumerate(unique)]
 
 
 def _first_seen(rows: DataFrame, unique: Sequence[Feature], keys: Sequence[str], at: str) -> DataFrame:
@@ -333,7 +325,7 @@ def _first_seen(rows: DataFrame, unique: Sequence[Feature], keys: Sequence[str],
         .groupBy(*keys, "_which", "_value")
         .agg(F.min(at).alias(at))
         .groupBy(*keys, at)
-        .agg(*[F.count_if(F.col("_which") == i).alias(f"_{f.name}") for i, f in enumerate(unique)])
+        .agg(*_counted(unique))
     )
 
 
@@ -345,25 +337,23 @@ def _one_pass(
     Each row is melted into its categories plus one entry, number -1, that carries the numbers.
     """
     values = dict.fromkeys(f.base.name for f in members if f.base is not None and f not in unique)
-    entries = [F.struct(F.lit(-1).alias("which"), F.lit(None).cast("string").alias("value"))]
+    entries = ["named_struct('which', -1, 'value', CAST(NULL AS STRING))"]
     entries += [
-        F.struct(F.lit(i).alias("which"), F.col(f.base.name).cast("string").alias("value"))
-        for i, f in enumerate(unique)
+        f"named_struct('which', {i}, 'value', CAST(`{f.base.name}` AS STRING))" for i, f in enumerate(unique)
     ]
-    melted = rows.select(*keys, at, *values, F.explode(F.array(*entries)).alias("_entry")).select(
-        *keys, at, *values, F.col("_entry.which").alias("_which"), F.col("_entry.value").alias("_value")
+    melted = rows.selectExpr(*keys, at, *quoted(values), f"explode(array({', '.join(entries)})) AS _entry").selectExpr(
+        *keys, at, *[f"IF(_entry.which = -1, `{v}`, NULL) AS `{v}`" for v in values],
+        "_entry.which AS _which", "_entry.value AS _value", f"IF(_entry.which = -1, {at}, NULL) AS _number_at",
     )
-    numbers = F.col("_which") == -1
-    melted = melted.where(numbers | F.col("_value").isNotNull()).withColumns(
-        {"_number_at": F.when(numbers, F.col(at)), "_number": numbers}
-        | {v: F.when(numbers, F.col(v)) for v in values}
+    melted = melted.where("_which = -1 OR _value IS NOT NULL")
+    _, starts = _states_for([f for f in members if f not in unique], rows="count_if(_which = -1)")
+    first = melted.groupBy(*keys, "_which", "_value", "_number_at").agg(
+        F.min(at).alias(at), *[F.expr(sql) for sql in starts]
     )
-    _, starts = _states_for([f for f in members if f not in unique], counted="_number")
-    first = melted.groupBy(*keys, "_which", "_value", "_number_at").agg(F.min(at).alias(at), *starts)
-    carried = [c for s in states for c in s.columns if c not in {f"_{f.name}" for f in unique}]
+    counts = {f"_{f.name}" for f in unique}
+    carried = [c for c in columns_of(states) if c not in counts]
     return first.groupBy(*keys, at).agg(
-        *[F.max(F.when(numbers, F.col(c))).alias(c) for c in carried],
-        *[F.count_if(F.col("_which") == i).alias(f"_{f.name}") for i, f in enumerate(unique)],
+        *[F.expr(f"max(IF(_which = -1, `{c}`, NULL)) AS `{c}`") for c in carried], *_counted(unique)
     )
 
 
@@ -377,7 +367,7 @@ def _partial_states(
         return _one_pass(rows, members, unique, states, keys, at), states
     parts = []
     if starts:
-        parts.append(rows.groupBy(*keys, at).agg(*starts))
+        parts.append(rows.groupBy(*keys, at).agg(*[F.expr(sql) for sql in starts]))
     if unique:
         parts.append(_first_seen(rows, unique, keys, at))
     partial = parts[0]
@@ -395,30 +385,17 @@ def _path_values(
         partial, _ = _partial_states(rows, members, ["_group"], "_seen", needs_join(links, members))
         states, _ = _states_for(members)
         merged = partial.groupBy("_group").agg(
-            *[_merge_same_position(s, c) for s in states for c in s.columns]
-        )
-        values = merged.select(
-            F.col("_group").alias("entity_id"), *[_finish(f).alias(f.name) for f in members]
+            # of the parts united for one key only one carries each state, so any merge will do
+            *[F.expr(f"max(`{c}`) AS `{c}`") for c in columns_of(states)]
         )
+        values = merged.selectExpr("_group AS entity_id", *_finished(members))
         return request.rows.join(values, "entity_id", "inner")
-    rows = rows.withColumn("_at", request.position(F.col("_seen"))).where(F.col("_at").isNotNull())
+    rows = rows.selectExpr("*", f"{request.position('_seen')} AS _at").where("_at IS NOT NULL")
     partial, states = _partial_states(rows, members, ["_group"], "_at", needs_join(links, members))
-    asked = request.rows.select(
-        F.col("entity_id").alias("_group"), F.col("cutoff").alias("_at"), F.lit(1).alias("_ask")
-    )
+    asked = request.rows.selectExpr("entity_id AS _group", "cutoff AS _at", "1 AS _ask")
     events = partial.withColumn("_ask", F.lit(0)).unionByName(asked, allowMissingColumns=True)
     running = running_merge(events, states, "_group", ["_at", "_ask"], "_at", _hot_limit(db, request, links))
-    return running.where(F.col("_ask") == 1).select(
-        F.col("_group").alias("entity_id"),
-        F.col("_at").alias("cutoff"),
-        *[_finish(f).alias(f.name) for f in members],
-    )
-
-
-def _merge_same_position(state: State, column: str) -> Column:
-    """Of the parts united for one timeless key only one carries a value, so any merge will do."""
-    merge = F.min if state.kind in ("low", "high", "moments") else F.sum
-    return merge(column).alias(column)
+    return running.where("_ask = 1").selectExpr("_group AS entity_id", "_at AS cutoff", *_finished(members))
 
 
 def _hot_limit(db: Database, request: Cutoffs, links: Sequence[Link]) -> int | None:
@@ -436,54 +413,47 @@ def _hot_limit(db: Database, request: Cutoffs, links: Sequence[Link]) -> int | N
 def _slots(db: Database, request: Cutoffs, rows: DataFrame, links: Sequence[Link]) -> DataFrame:
     """Adds ``_slot``: how many of the group's cutoffs lie before the row's ``_seen``."""
     if request.anchors is not None:
-        slot = sum((F.col("_seen") > ntz(a)).cast("int") for a in request.anchors)
-        return rows.withColumn("_slot", slot)
-    positions = rows.select("_group", "_seen").distinct().withColumns({"_ask": F.lit(0), "_slot": F.lit(0)})
-    asked = request.rows.select(
-        F.col("entity_id").alias("_group"), F.col("cutoff").alias("_seen"),
-        F.lit(1).alias("_ask"), F.lit(1).alias("_slot"),
-    )
+        return rows.selectExpr("*", f"{request.slot('_seen')} AS _slot")
+    positions = rows.select("_group", "_seen").distinct().selectExpr("*", "0 AS _ask", "0L AS _slot")
+    asked = request.rows.selectExpr("entity_id AS _group", "cutoff AS _seen", "1 AS _ask", "1L AS _slot")
     counted = running_merge(
         positions.unionByName(asked), [State("add", "_slot")], "_group", ["_seen", "_ask"], "_seen",
         _hot_limit(db, request, links),
     )
-    found = counted.where(F.col("_ask") == 0).select("_group", "_seen", F.col("_slot").cast("int"))
+    found = counted.where("_ask = 0").selectExpr("_group", "_seen", "CAST(_slot AS INT) AS _slot")
     return rows.join(found, ["_group", "_seen"], "inner")
 
 
 def _asked_slots(request: Cutoffs) -> tuple[DataFrame, int]:
     """Cutoffs with their slot, and the depth of the binary tree over the slots."""
     if request.anchors is not None:
-        slot = sum((F.col("cutoff") > ntz(a)).cast("int") for a in request.anchors)
-        return request.rows.withColumn("_slot", slot), len(request.anchors).bit_length()
-    asked = request.rows.withColumns({"_group": F.col("entity_id"), "_one": F.lit(1)})
+        slots = request.rows.selectExpr("*", f"{request.slot('cutoff')} AS _slot")
+        return slots, len(request.anchors).bit_length()
+    asked = request.rows.selectExpr("*", "entity_id AS _group", "1L AS _one")
     most = asked.groupBy("_group").count().agg(F.max("count")).first()[0] or 1
     hot = request.hot_rows if most > request.hot_rows else None
     counted = running_merge(asked, [State("add", "_one")], "_group", ["cutoff"], "cutoff", hot)
-    return (
-        counted.select("entity_id", "cutoff", (F.col("_one") - 1).cast("int").alias("_slot")),
-        int(most).bit_length(),
-    )
+    return counted.selectExpr("entity_id", "cutoff", "CAST(_one - 1 AS INT) AS _slot"), int(most).bit_length()
 
 
-def cover(start: Column, stop: Column, levels: int) -> Column:
-    """Tree nodes that together cover the slots ``[start, stop)``, at most two per level.
+def cover(start: str, stop: str, levels: int) -> str:
+    """SQL for the tree nodes that together cover the slots ``[start, stop)``, two per level at most.
 
     Level ``k`` groups slots by ``slot >> k``; node ids are ``2**(levels - k) + (slot >> k)``.
     """
     nodes = []
     for k in range(levels + 1):
-        size, base = 1 << k, 1 << (levels - k)
-        left = F.shiftright(start + (size - 1), k)
-        right = F.shiftright(stop, k)
-        nodes.append(F.when((left < right) & (left % 2 == 1), left + base))
-        nodes.append(F.when((left < right) & (right % 2 == 1), right - 1 + base))
-    return F.array_compact(F.array(*nodes))
+        base = 1 << (levels - k)
+        left, right = f"shiftright({start} + {(1 << k) - 1}, {k})", f"shiftright({stop}, {k})"
+        nodes.append(f"IF({left} < {right} AND {left} % 2 = 1, {left} + {base}, NULL)")
+        nodes.append(f"IF({left} < {right} AND {right} % 2 = 1, {right} - 1 + {base}, NULL)")
+    return f"array_compact(array({', '.join(nodes)}))"
 
 
-def ancestors(slot: Column, levels: int) -> Column:
-    """The nodes above and including the leaf of a slot."""
-    return F.array(*[F.shiftright(slot, k) + (1 << (levels - k)) for k in range(levels + 1)])
+def ancestors(slot: str, levels: int) -> str:
+    """SQL for the nodes above and including the leaf of a slot."""
+    nodes = [f"shiftright({slot}, {k}) + {1 << (levels - k)}" for k in range(levels + 1)]
+    return f"array({', '.join(nodes)})"
 
 
 def _stacked_values(
@@ -500,42 +470,31 @@ def _stacked_values(
     children = _timed_rows(db, request, outer, (), (), keys=[child_key]).withColumnRenamed(key_name(child_key), "_child")
     grand = _timed_rows(db, request, inner, clocks, distinct_bases(aggregates))
     grand = grand.withColumnsRenamed({"_group": "_child", "_seen": "_grand_seen"})
-    grand = grand.join(children, "_child", "inner")
-    later = F.greatest("_seen", "_grand_seen")
-    grand = grand.withColumn("_seen", later).drop("_grand_seen")
+    values = quoted(b.name for b in distinct_bases(aggregates))
+    grand = grand.join(children, "_child", "inner").selectExpr(
+        "_child", "_group", "greatest(_seen, _grand_seen) AS _seen", *values
+    )
     grand = _slots(db, request, grand, (*outer, *inner))
     born = _slots(db, request, children, outer).select("_child", "_group", "_slot")
     asked, levels = _asked_slots(request)
-    end = 1 << levels
 
-    # one row per (child, slot) in which the child appears or changes
+    # one row per (child, slot) in which the child appears or changes, the appearance first
     partial, states = _partial_states(grand, aggregates, ["_child", "_group"], "_slot", joined=True)
-    steps = partial.unionByName(born, allowMissingColumns=True)
-    steps = steps.withColumn("_tie", F.when(F.coalesce(*[F.col(c) for c in columns_of(states)]).isNull(), 0).otherwise(1))
-    ordered = Window.partitionBy("_child", "_group").orderBy("_slot", "_tie")
-    steps = merge_over(
-        steps.withColumn("_until", F.coalesce(F.lead("_slot").over(ordered), F.lit(end))),
-        states,
-        ordered,
-    ).where(F.col("_slot") < F.col("_until"))
+    steps = partial.withColumn("_tie", F.lit(1)).unionByName(born.withColumn("_tie", F.lit(0)), allowMissingColumns=True)
+    ordered = "PARTITION BY _child, _group ORDER BY _slot, _tie"
+    steps = steps.selectExpr("*", f"coalesce(lead(_slot) OVER ({ordered}), {1 << levels}) AS _until")
+    steps = merge_over(steps, states, ordered).where("_slot < _until")
     values = []
     for f in aggregates:
-        value = _finish(f).cast("double")
-        values.append((F.coalesce(value, F.lit(0.0)) if f.function in ZERO_WHEN_ABSENT else value).alias(f.name))
-    intervals = steps.select("_group", F.explode(cover(F.col("_slot"), F.col("_until"), levels)).alias("_node"), *values)
+        value = f"CAST({_finish(f)} AS DOUBLE)"
+        values.append(f"coalesce({value}, 0D) AS `{f.name}`" if f.function in ZERO_WHEN_ABSENT else f"{value} AS `{f.name}`")
+    intervals = steps.selectExpr("_group", f"explode({cover('_slot', '_until', levels)}) AS _node", *values)
 
     # merge per tree node, then per cutoff over the nodes above its slot
     nodes, outer_states = _partial_states(intervals, members, ["_group"], "_node")
-    reads = asked.select(
-        F.col("entity_id").alias("_group"), "cutoff", F.explode(ancestors(F.col("_slot"), levels)).alias("_node")
-    )
+    reads = asked.selectExpr("entity_id AS _group", "cutoff", f"explode({ancestors('_slot', levels)}) AS _node")
     read = reads.join(nodes, ["_group", "_node"], "inner")
-    everything = Window.partitionBy("_group", "cutoff").orderBy("_node")
-    merged = merge_over(
-        read.withColumn("_last", F.lead("_node").over(everything).isNull()),
-        outer_states,
-        everything,
-    ).where("_last")
-    return merged.select(
-        F.col("_group").alias("entity_id"), "cutoff", *[_finish(f).alias(f.name) for f in members]
-    )
+    everything = "PARTITION BY _group, cutoff ORDER BY _node"
+    read = read.selectExpr("*", f"lead(_node) OVER ({everything}) IS NULL AS _last")
+    merged = merge_over(read, outer_states, everything).where("_last")
+    return merged.selectExpr("_group AS entity_id", "cutoff", *_finished(members))
