@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relpredict.functions.quantiles import slicer
+
 RANK_SLICES = 1024
 
 
@@ -17,8 +18,7 @@ def attach_labels(predictions: DataFrame, labels: DataFrame) -> DataFrame:
 
 def score_counts(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Positives and negatives per distinct score; ties collapse before any shuffle."""
-    known = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    return known.groupBy(F.col(score).cast("double").alias("score")).agg(
+    return _known(scored, score, label).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
         F.sum((F.col(label) == 0).cast("bigint")).alias("neg"),
     )
@@ -33,12 +33,9 @@ def roc_auc(scored: DataFrame, score: str = "score", label: str = "label", slice
     mergeable sketch; they only decide who does the work, not the result.
     """
     counts = score_counts(scored, score, label)
-    shares = [i / slices for i in range(1, slices)]
-    # the edges are estimated on raw scores: no shuffle, and constant size whatever the data
-    known = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    edges = known.agg(F.percentile_approx(F.col(score).cast("double"), shares, 10_000)).first()[0] or []
-    splits = [-float("inf"), *(sorted(set(edges)) or [0.0]), float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol="score", outputCol="_slice").transform(counts)
+    # the edges are estimated on raw scores, so that frequent scores are weighed
+    raw = _known(scored, score, label).select(F.col(score).cast("double").alias("score"))
+    sliced = slicer(raw, "score", slices, "_slice").transform(counts)
     inside = Window.partitionBy("_slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     within = sliced.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     per_slice = within.groupBy("_slice").agg(
