@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from relpredict.llm import bpe
 from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
+from relpredict.llm.url_rules import HOST_RULES, WORDS, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,5 +60,46 @@ f AS (
 SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM f
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES = {"op1_quality_rules": OP1_SQL}
+def op3_bpe(spark: SparkSession, folder: str, vocabulary: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    definition = Path(vocabulary).read_text(encoding="utf-8")
+    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), definition), definition)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filter(table(spark, folder, "pages"))
+
+
+_RULE = "(VALUES " + ", ".join(f"('{r.text}', '{r.text.partition('/')[0]}', '{'/' + r.text.partition('/')[2]}', '{r.verdict}')" for r in HOST_RULES) + ")"
+
+OP6_SQL = f"""
+WITH u AS (
+  SELECT row_number() OVER () AS rid, page_id,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+),
+p AS (
+  SELECT rid, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+),
+m AS (
+  SELECT rid, text, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(text) DESC, text DESC) AS place
+  FROM p JOIN {_RULE} AS r(text, rule_host, rule_path, verdict)
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, text AS rule,
+  coalesce(verdict, CASE WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])({"|".join(WORDS)})([^A-Za-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m ON p.rid = m.rid AND place = 1
+"""
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op6_url_filter": op6_url_filter}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op6_url_filter": OP6_SQL}
