@@ -4,14 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Java and Python agree on this set: space and the control characters from tab to carriage return.
-SPACES = " \t\n\x0b\x0c\r"
+#: Escapes for SQL literals: the white space between words, other than the space itself.
+WHITE = ("\\t", "\\n", "\\u000b", "\\u000c", "\\r")
+
+
+def replaced(text: str, characters: Iterable[str], by: str) -> str:
+    """SQL that replaces single characters; a scan each, cheaper than ``translate`` where they are rare."""
+    for c in characters:
+        text = f"replace({text}, '{c}', '{by}')"
+    return text
+
+
+#: SQL for the pieces of a non-null ``text`` between single white-space characters; words are the non-empty ones.
+PIECES = f"split({replaced('text', WHITE, ' ')}, ' ')"
 
 _SEED = np.random.default_rng(20240229)
 #: One odd random number per byte value, and the base of the rolling polynomial (modulo 2**64).

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from relpredict.llm.common import PIECES, replaced
+
 #: Frequent function words of the four languages served.
 STOP_WORDS = (
     "the of to and in that is was it for on be with as at this have from by are or an a "
@@ -15,8 +16,6 @@ STOP_WORDS = (
     "el los las del por con para como su al lo no se y"
 ).split()
 SYMBOLS = "#*$%&|<>"
-#: Escapes for SQL literals: the white space other than the space itself.
-WHITE = ("\\t", "\\n", "\\u000b", "\\u000c", "\\r")
 #: Words that one repeated window holds.
 WINDOW = 5
 
@@ -52,24 +51,16 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 500),
 )
 
-def _replaced(text: str, characters: Iterable[str], by: str) -> str:
-    """SQL that replaces single characters; a scan each, cheaper than ``translate`` where they are rare."""
-    for c in characters:
-        text = f"replace({text}, '{c}', '{by}')"
-    return text
-
-
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]))
 
-#: Of a non-null text: pieces between single white-space characters, and lines that hold a word.
-_PIECES = f"split({_replaced('text', WHITE, ' ')}, ' ')"
+#: Lines that hold a word.
 _LINES = r"filter(split(text, '\n'), l -> l RLIKE '[^ \\t-\\r]')"
 
 _COUNTED = f"""struct(
   CAST(size(words) AS BIGINT) AS n_words,
   CAST(char_length(text) - size(pieces) + 1 AS BIGINT) AS word_chars,
-  CAST(char_length(text) - char_length({_replaced('text', SYMBOLS, '')}) AS BIGINT) AS n_symbols,
-  CAST(char_length(text) - char_length({_replaced('text', '!?', '')}) AS BIGINT) AS n_marks,
+  CAST(char_length(text) - char_length({replaced('text', SYMBOLS, '')}) AS BIGINT) AS n_symbols,
+  CAST(char_length(text) - char_length({replaced('text', '!?', '')}) AS BIGINT) AS n_marks,
   CAST(size(lines) AS BIGINT) AS n_lines,
   CAST(size(lines) - size(array_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(size(filter(words, w -> w IN ({_STOP}))) AS BIGINT) AS n_stop_words)"""
@@ -103,7 +94,7 @@ def quality_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> Data
     names cannot clash. Window positions are compared by 64-bit hashes within one text.
     """
     base = documents.selectExpr("doc_id", "coalesce(text, '') AS text")
-    pieces = base.selectExpr("doc_id", "text", f"{_PIECES} AS pieces", f"{_LINES} AS lines")
+    pieces = base.selectExpr("doc_id", "text", f"{PIECES} AS pieces", f"{_LINES} AS lines")
     words = pieces.selectExpr("*", "array_remove(pieces, '') AS words")
     counted = words.selectExpr("doc_id", f"{_COUNTED} AS c", f"{_WINDOWS} AS qr_windows")
     counted = counted.selectExpr("doc_id", "c.*", "qr_windows")

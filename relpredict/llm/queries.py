@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relpredict.llm import bpe
+from relpredict.llm.mixture import LEVELS, MOST, WEIGHTS, mixture
 from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from relpredict.llm.url_rules import HOST_RULES, WORDS, url_filter
 
@@ -101,5 +102,62 @@ SELECT page_id, host, path, text AS rule,
 FROM p LEFT JOIN m ON p.rid = m.rid AND place = 1
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op6_url_filter": op6_url_filter}
-ORACLES = {"op1_quality_rules": OP1_SQL, "op6_url_filter": OP6_SQL}
+def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix takes of every document, and the output shards of its copies."""
+    mixed = mixture(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.expr("coalesce(array_join(shards, ','), '')").alias("shards"))
+
+
+def _tree(levels: int) -> str:
+    steps = ["t0 AS (SELECT DISTINCT source, block, round, 0 AS node FROM taken, unnest(range(1, copies + 1)) AS r(round))"]
+    for i in range(levels):
+        draw = f"substr(md5('/{i}|' || coalesce(source, '') || '|' || (source IS NULL) || '|' || block || '|' || round), 1, 16)"
+        order = f"row_number() OVER (PARTITION BY node ORDER BY {draw}, source, block, round)"
+        steps.append(
+            f"t{i + 1} AS (SELECT source, block, round, 2 * node + CAST(2 * {order} > count(*) OVER (PARTITION BY node) + 1 AS INT) AS node FROM t{i})"
+        )
+    return ", ".join(steps)
+
+
+OP10_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}+')) AS BIGINT) AS size,
+    substr(md5('|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))), 1, 16) AS place
+  FROM documents
+),
+totals AS (
+  SELECT source, sum(size) AS source_size,
+    [{", ".join(f"{w}.0::DOUBLE" for w in WEIGHTS)}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS weight
+  FROM sized GROUP BY source
+),
+priced AS (
+  SELECT *, (sum(source_size) OVER () - {MOST} * coalesce(sum(source_size) OVER before, 0))::DOUBLE
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS price
+  FROM totals
+  WINDOW before AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+goals AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size,
+    least(max(price) FILTER (price * weight <= {MOST} * source_size) OVER () * weight, ({MOST} * source_size)::DOUBLE) AS target
+  FROM priced
+),
+running AS (
+  SELECT s.*, g.source_size, g.target,
+    CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS rounds,
+    sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+),
+taken AS (
+  SELECT *, CAST(least({MOST}, rounds + CAST(upto - size / 2 <= target - rounds * source_size AS INT)) AS INT) AS copies,
+    CAST('0x' || substr(place, 1, 2) AS INT) AS block
+  FROM running
+),
+{_tree(LEVELS)},
+dealt AS (SELECT source, block, list(node ORDER BY round) AS shards FROM t{LEVELS} GROUP BY source, block)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+  coalesce(array_to_string(d.shards[1 : copies], ','), '') AS shards
+FROM taken t LEFT JOIN dealt d ON t.source IS NOT DISTINCT FROM d.source AND t.block = d.block
+"""
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op6_url_filter": op6_url_filter, "op10_mixture": op10_mixture}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op6_url_filter": OP6_SQL, "op10_mixture": OP10_SQL}
