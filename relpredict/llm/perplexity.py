@@ -1,0 +1,209 @@
+"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and its perplexity."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from relpredict.llm.common import slices, stored
+
+ORDER = 4
+#: Bits of a symbol. The alphabet is fixed, so a model has at most 2 ** (BITS * ORDER) n-grams.
+BITS = 6
+#: A document is kept up to this quantile of its language's trusted perplexities, times the margin.
+QUANTILE, MARGIN = 0.995, 1.5
+#: Characters handled at a time inside a task.
+CHUNK = 1 << 20
+
+_LANGUAGE_UNKNOWN = "?"
+
+
+def alphabet() -> np.ndarray:
+    """Symbol of each code point below 256: letters of either case alike, the rest in classes."""
+    symbols = np.full(257, 31, np.int64)  # 256 stands for everything beyond
+    for c in range(256):
+        low = ord(chr(c).lower()) if chr(c) != "\xb5" else c
+        if chr(c).isspace():
+            symbols[c] = 0
+        elif 97 <= low <= 122:
+            symbols[c] = low - 96
+        elif chr(c).isdecimal():
+            symbols[c] = 27
+        elif chr(c) in ".,;:'\"-()":
+            symbols[c] = 28
+        elif chr(c) in "!?":
+            symbols[c] = 29
+        elif c < 128:
+            symbols[c] = 30
+        elif 0xE0 <= low <= 0xFF:
+            symbols[c] = 32 + low - 0xE0
+    return symbols
+
+
+_ALPHABET = alphabet()
+
+
+def grams_of(text: str) -> np.ndarray:
+    """The n-gram that ends at each character, the text being preceded by spaces."""
+    points = np.frombuffer((" " * (ORDER - 1) + text).encode("utf-32-le", "replace"), np.uint32)
+    codes = _ALPHABET[np.minimum(points, 256)]
+    n = len(codes) - ORDER + 1
+    gram = np.zeros(n, np.int64)
+    for i in range(ORDER):
+        gram = (gram << BITS) | codes[i : i + n]
+    return gram
+
+
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """n-grams of a text of any length, a chunk at a time."""
+    for i in range(0, len(text), CHUNK):
+        head = min(i, ORDER - 1)
+        yield grams_of(text[i - head : i + CHUNK])[head:]
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """``gram`` and ``n`` over all of ``text``: each task sends one row per distinct n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            rows = [t for t in batch.column(0).to_pylist() if t]
+            for a, b in slices(np.array([len(t) for t in rows]), CHUNK):
+                for part in _joined(rows[a:b]):
+                    found, n = np.unique(part, return_counts=True)
+                    grams, place = np.unique(np.concatenate([grams, found]), return_inverse=True)
+                    summed = np.zeros(len(grams), np.int64)
+                    np.add.at(summed, place, np.concatenate([counts, n]))
+                    counts = summed
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "n"])
+
+    return texts.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _joined(texts: list[str]) -> Iterator[np.ndarray]:
+    if len(texts) == 1:
+        yield from _pieces(texts[0])
+    elif texts:
+        yield np.concatenate([grams_of(t) for t in texts])
+
+
+@dataclass(frozen=True)
+class Model:
+    """For each order from 1: probabilities of seen n-grams, and what seen contexts leave to the lower order."""
+
+    seen: tuple[tuple[np.ndarray, np.ndarray], ...]
+    left: tuple[tuple[np.ndarray, np.ndarray], ...]
+    key: str
+
+    def table(self) -> np.ndarray:
+        """Log probability of every n-gram of the highest order."""
+        size = 1 << BITS
+        lower = np.full(1, 1.0 / size)
+        for order, ((grams, p), (contexts, weight)) in enumerate(zip(self.seen, self.left, strict=True), 1):
+            rest = np.ones(size ** (order - 1))
+            rest[contexts] = weight
+            # A context's lower-order distribution: that of the context without its first symbol.
+            base = np.full((1, size), 1.0 / size) if order == 1 else lower.reshape(-1, size)
+            full = (rest.reshape(-1, len(base), 1) * base[None]).astype(np.float32).ravel()
+            full[grams] = p
+            lower = full
+        return np.log(np.maximum(lower, 1e-12))
+
+
+def _discounts(counts: DataFrame) -> list[float]:
+    """The three discounts of modified Kneser-Ney from the numbers of n-grams seen one to four times."""
+    found = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+    n1, n2, n3, n4 = (found.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+    raw = [(i, (i - (i + 1) * y * b / a) if a else i * 0.5) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return [min(max(d, 0.05), i - 0.05) for i, d in raw]
+
+
+def fit(trusted: DataFrame) -> Model:
+    """A model of all of ``text`` of ``trusted``; null and empty texts teach nothing.
+
+    Counts, continuation counts and probabilities are grouped and joined on Spark, sharded by
+    n-gram and context. The alphabet bounds what is collected, whatever the size of the corpus.
+    """
+    counts = stored(count_grams(trusted), "grams")
+    levels = [counts]
+    for order in range(ORDER - 1, 0, -1):  # in how many different contexts a shorter n-gram ends
+        shorter = F.col("gram").bitwiseAND((1 << BITS * order) - 1)
+        levels.append(levels[-1].groupBy(shorter.alias("gram")).agg(F.count("*").alias("n")))
+    seen, left, lower = [], [], None
+    for order, level in enumerate(reversed(levels), 1):
+        d1, d2, d3 = _discounts(level)
+        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        context = F.shiftright("gram", BITS).alias("context")
+        totals = level.groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("taken"))
+        rows = level.select("gram", "n", context).join(totals, "context")
+        base: Column = F.lit(1.0 / (1 << BITS))
+        if lower is not None:
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1)).join(lower, "suffix")
+            base = F.col("lower_p")
+        rows = rows.select("gram", ((F.col("n") - cut + F.col("taken") * base) / F.col("total")).alias("p"))
+        rows = stored(rows, f"order-{order}")
+        lower = rows.select(F.col("gram").alias("suffix"), F.col("p").alias("lower_p"))
+        p, w = rows.toPandas(), totals.select("context", (F.col("taken") / F.col("total")).alias("w")).toPandas()
+        seen.append((p["gram"].to_numpy(np.int64), p["p"].to_numpy(np.float32)))
+        left.append((w["context"].to_numpy(np.int64), w["w"].to_numpy(np.float32)))
+    return Model(tuple(seen), tuple(left), uuid.uuid4().hex)
+
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def perplexities(documents: DataFrame, model: Model) -> DataFrame:
+    """``doc_id``, ``lang`` and ``perplexity`` (per character, whole text) of every row.
+
+    A null or empty text has a null perplexity. No shuffle; the model's size is bounded by its alphabet.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        if fitted.key not in _TABLES:  # a worker keeps the table between tasks
+            _TABLES.clear()
+            _TABLES[fitted.key] = fitted.table()
+        logs = _TABLES[fitted.key]
+        for batch in batches:
+            values = []
+            for text in batch.column(2):
+                text = text.as_py()
+                total = sum(float(logs[g].sum(dtype=np.float64)) for g in _pieces(text)) if text else 0.0
+                values.append(float(np.exp(-total / len(text))) if text else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["doc_id", "lang", "perplexity"])
+
+    kind = documents.select("doc_id").schema[0].dataType.simpleString()
+    return documents.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, f"doc_id {kind}, lang string, perplexity double")
+
+
+def classify(documents: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """``doc_id``, ``lang``, ``perplexity``, ``threshold`` and ``kept`` of every row of ``documents``.
+
+    The model is fitted on the rows whose ``doc_id`` is among ``trusted_ids``. The threshold of a
+    language is a quantile of its trusted perplexities times the margin; a language (null is one)
+    without trusted rows takes the quantile of all. Null and empty texts are not kept; without any
+    trusted text there is no threshold and all other rows are kept. Repeated rows are judged each.
+    """
+    ids = trusted_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    model = fit(documents.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    scored = stored(perplexities(documents, model), "perplexities")
+    trusted = scored.join(ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
+    named = F.coalesce("lang", F.lit(_LANGUAGE_UNKNOWN))
+    own = trusted.groupBy(named.alias("name")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("own"))
+    overall = trusted.agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("overall"))
+    judged = scored.withColumn("name", named).join(own, "name", "left").crossJoin(F.broadcast(overall))
+    return judged.select(
+        "doc_id",
+        "lang",
+        "perplexity",
+        F.coalesce("own", "overall").alias("threshold"),
+        F.expr("perplexity IS NOT NULL AND coalesce(perplexity <= coalesce(own, overall), true)").alias("kept"),
+    )

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relpredict.llm import bpe
+from relpredict.llm import bpe, language, perplexity
+from relpredict.llm.html_text import extract
 from relpredict.llm.mixture import LEVELS, MOST, WEIGHTS, mixture
 from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from relpredict.llm.url_rules import HOST_RULES, WORDS, url_filter
@@ -159,5 +160,25 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 FROM taken t LEFT JOIN dealt d ON t.source IS NOT DISTINCT FROM d.source AND t.block = d.block
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op6_url_filter": op6_url_filter, "op10_mixture": op10_mixture}
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    documents = table(spark, folder, "documents")
+    remainder = F.expr("crc32(CAST(doc_id AS STRING)) % 4")
+    model = language.fit(documents.where(remainder != 2))
+    found = language.identify(documents, model)
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity and verdict of every document; labelled good and not toxic documents are trusted."""
+    trusted = table(spark, folder, "labels").where("quality = 1 AND toxic = 0")
+    return perplexity.classify(table(spark, folder, "documents"), trusted)
+
+
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page and its length."""
+    return extract(table(spark, folder, "pages")).select("*", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_html_text": op4_html_text, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op9_perplexity": op9_perplexity, "op10_mixture": op10_mixture}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op6_url_filter": OP6_SQL, "op10_mixture": OP10_SQL}

@@ -56,12 +56,11 @@ RULES = HOST_RULES + tuple(word_rule(w) for w in WORDS)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def split_url(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``url``, ``host`` (A-Z lower-cased) and ``path``; both empty without ``://``."""
+def split_url(pages: DataFrame, *kept: str) -> DataFrame:
+    """The ``kept`` columns, ``host`` (A-Z lower-cased) and ``path`` of ``url``; both empty without ``://``."""
     rest = "CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END"
     return pages.selectExpr(
-        "page_id",
-        "url",
+        *kept,
         f"translate(regexp_extract({rest}, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') AS host",
         f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path",
     )
@@ -78,7 +77,7 @@ def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFram
     then joined back, and adaptive execution splits a crowded pair.
     """
     spark = pages.sparkSession
-    parts = split_url(pages)
+    parts = split_url(pages, "page_id")
     subjects = parts.select("host", "path").distinct()
     tokens = "regexp_extract_all(concat(host, path), '[A-Za-z0-9]+', 0)"
     held = subjects.selectExpr("host", "path", f"explode(array_distinct(concat({tokens}, array('')))) AS token")
