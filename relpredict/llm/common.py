@@ -119,9 +119,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = _signature(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Written before they are joined: both sides of the join then come from their own exchange,
+        # which is what lets adaptive execution split a crowded node.
+        smallest = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.distinct(), "large")
+        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _signature(edges)

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from relpredict.llm.common import stored
 from relpredict.llm.url_rules import split_url
 
-#: A shared line inside a marked-up article goes only if it has fewer words than this.
-SHORT_LINE = 8
 #: Two pages that share at least this part of their text are copies, not pages of one template.
 COPY_SHARE = 0.5
 
@@ -161,26 +159,13 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def _edges(pages: list[list[int]]) -> tuple[int, int]:
-    """How many lines all ``pages`` share at their start and at their end."""
-    least = min(map(len, pages))
-    head = next((i for i in range(least) if len({p[i] for p in pages}) > 1), least)
-    tail = next((i for i in range(least - head) if len({p[-1 - i] for p in pages}) > 1), least - head)
-    return head, tail
-
-
-def _dropped(own: dict, nearest: dict, sides: list[dict]) -> list[int]:
-    """Lines of a page to delete: those shared with its nearest neighbour.
-
-    Inside a marked-up article only short lines at its start or end that both neighbours share.
-    """
+def _dropped(own: dict, other: dict) -> list[int]:
+    """Lines of a page to delete: those outside a marked-up article that its neighbour shares."""
     hashes, words, marks = own["hashes"], own["words"], own["marks"]
-    aligned = shared_lines(hashes, nearest["hashes"])
+    aligned = shared_lines(hashes, other["hashes"])
     if sum(words[i] for i in aligned) >= COPY_SHARE * max(sum(words), 1):
         return []
-    head, tail = _edges([hashes, *(s["hashes"] for s in sides)]) if len(sides) == 2 else (0, 0)
-    edge = {*range(head), *range(len(hashes) - tail, len(hashes))}
-    return [i for i in aligned if not marks[i] or i in edge and words[i] < SHORT_LINE]
+    return [i for i in aligned if not marks[i]]
 
 
 def _common(a: str, b: str) -> int:
@@ -212,7 +197,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sides = [row[p] for p in ("before", "after") if row[p] is not None]
             if sides:
                 nearest = max(sides, key=lambda s: _common(row["path"], s["path"]))  # the first of equals
-                if gone := _dropped(row, nearest, sides):
+                if gone := _dropped(row, nearest):
                     keys.append(row["key"])
                     found.append(gone)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["key", "gone"])
@@ -234,8 +219,7 @@ def extract(pages: DataFrame) -> DataFrame:
     out, and only the article counts where one is marked up. Each page is then paired with its
     neighbour in URL path order within its host (the one with the longer common path start, ties to
     the one before), their lines are aligned by longest common subsequence, and shared lines go: all of
-    them outside a marked-up article; inside only short ones at its start or end that both neighbours
-    share. Pages that share half of their text are
+    them, unless the article is marked up, which says itself what belongs to it. Pages that share half of their text are
     copies and keep it.
 
     Only line hashes are put in order, by a range over host and path, so a crowded host spreads over

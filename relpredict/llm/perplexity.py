@@ -198,6 +198,7 @@ def classify(documents: DataFrame, trusted_ids: DataFrame, quantile: float = QUA
     trusted = scored.join(ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
     named = F.coalesce("lang", F.lit(_LANGUAGE_UNKNOWN))
     own = trusted.groupBy(named.alias("name")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("own"))
+    own = stored(own, "thresholds")
     overall = trusted.agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("overall"))
     judged = scored.withColumn("name", named).join(own, "name", "left").crossJoin(F.broadcast(overall))
     return judged.select(

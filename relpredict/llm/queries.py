@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from relpredict.llm import bpe, language, perplexity
 from relpredict.llm.html_text import extract
 from relpredict.llm.mixture import LEVELS, MOST, WEIGHTS, mixture
+from relpredict.llm.near_docs import near_duplicates
 from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from relpredict.llm.url_rules import HOST_RULES, WORDS, url_filter
 
@@ -180,5 +181,32 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages")).select("*", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_html_text": op4_html_text, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op9_perplexity": op9_perplexity, "op10_mixture": op10_mixture}
-ORACLES = {"op1_quality_rules": OP1_SQL, "op6_url_filter": OP6_SQL, "op10_mixture": OP10_SQL}
+def op8_near_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of every document under links of similarity 0.75."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+OP8_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}+') AS words
+  FROM documents
+),
+p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS i FROM w),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(words[i : i + 4], ' ')) AS shingle FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+),
+reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.root AS component_id, d.doc_id = r.root AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = d.doc_id
+"""
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_html_text": op4_html_text, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op8_near_documents": op8_near_documents, "op9_perplexity": op9_perplexity, "op10_mixture": op10_mixture}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_near_documents": OP8_SQL, "op10_mixture": OP10_SQL}

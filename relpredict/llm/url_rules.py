@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relpredict.llm.common import stored
+
 #: A rule table above this many rules is joined by a shuffle, not broadcast.
 BROADCAST_RULES = 10_000
 
@@ -98,7 +100,7 @@ def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFram
         F.expr("max(CASE WHEN rule IS NOT NULL THEN struct(length(rule) AS n, rule AS rule, verdict AS verdict) END) AS best"),
         F.expr("max(rule IS NULL AND verdict = 'block') AS blocked"),
     )
-    return parts.join(verdicts, ["host", "path"], "left").selectExpr(
+    return parts.join(stored(verdicts, "verdicts"), ["host", "path"], "left").selectExpr(
         "page_id",
         "host",
         "path",
