@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relpredict.llm import bpe, language, perplexity
+from relpredict.llm.common import stored
 from relpredict.llm.html_text import extract
 from relpredict.llm.mixture import LEVELS, MOST, WEIGHTS, mixture
 from relpredict.llm.near_docs import near_duplicates
+from relpredict.llm.repeats import identified, repeats
 from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from relpredict.llm.url_rules import HOST_RULES, WORDS, url_filter
 
@@ -208,5 +210,26 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = d.doc_id
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_html_text": op4_html_text, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op8_near_documents": op8_near_documents, "op9_perplexity": op9_perplexity, "op10_mixture": op10_mixture}
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document under repeated 400-byte strings, and a digest of the others."""
+    documents = table(spark, folder, "documents")
+    found = repeats(documents).select(
+        "tid",
+        "n_bytes",
+        F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    whole = F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256")
+    rows = identified(documents, "doc_id", whole).join(stored(found, "repeats"), ["tid", "n_bytes"], "left")
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
+    )
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_html_text": op4_html_text, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_repeats": op7_repeats, "op8_near_documents": op8_near_documents, "op9_perplexity": op9_perplexity, "op10_mixture": op10_mixture}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_near_documents": OP8_SQL, "op10_mixture": OP10_SQL}
