@@ -14,6 +14,7 @@ from relpredict.llm.html_text import extract
 from relpredict.llm.mixture import LEVELS, MOST, WEIGHTS, mixture
 from relpredict.llm.near_docs import near_duplicates
 from relpredict.llm.repeats import identified, repeats
+from relpredict.llm.near_vectors import near_vectors
 from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from relpredict.llm.url_rules import HOST_RULES, WORDS, url_filter
 
@@ -65,6 +66,32 @@ f AS (
 SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM f
 """
 
+def op2_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.98."""
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+),
+reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b
+)
+SELECT e.vec_id, coalesce(l.n, 0) AS n_links, r.root AS component_id, e.vec_id = r.root AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id
+JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = e.vec_id
+"""
+
+
 def op3_bpe(spark: SparkSession, folder: str, vocabulary: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     definition = Path(vocabulary).read_text(encoding="utf-8")
@@ -231,5 +258,5 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_bpe": op3_bpe, "op4_html_text": op4_html_text, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_repeats": op7_repeats, "op8_near_documents": op8_near_documents, "op9_perplexity": op9_perplexity, "op10_mixture": op10_mixture}
-ORACLES = {"op1_quality_rules": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_near_documents": OP8_SQL, "op10_mixture": OP10_SQL}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_near_vectors": op2_near_vectors, "op3_bpe": op3_bpe, "op4_html_text": op4_html_text, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_repeats": op7_repeats, "op8_near_documents": op8_near_documents, "op9_perplexity": op9_perplexity, "op10_mixture": op10_mixture}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op2_near_vectors": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_near_documents": OP8_SQL, "op10_mixture": OP10_SQL}
