@@ -50,6 +50,13 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """``name``, or as many underscores before it as no column of ``frame`` has."""
+    while name.lower() in {c.lower() for c in frame.columns}:
+        name = f"_{name}"
+    return name
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:

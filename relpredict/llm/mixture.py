@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relpredict.llm.common import PIECES, stored
+from relpredict.llm.common import PIECES, fresh, stored
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
 MOST = 3
-#: Blocks of a source, and again of a block that is cut.
-BLOCKS = 256
 #: Levels of the splitting tree: 2 ** LEVELS output shards.
 LEVELS = 4
 
@@ -24,19 +22,15 @@ def drawn(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 16)
 
 
-def sizes(documents: DataFrame, salt: str = "") -> DataFrame:
-    """Per row: ``doc_id``, ``source``, ``size`` in words, and its block and sub-block in a random order.
+def place(salt: str = "") -> Column:
+    """A digest of a row of ``doc_id`` and ``text`` that orders rows at random."""
+    return drawn(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))
 
-    Rows are numbered among their repeats by a digest of the text, so reruns agree.
-    """
-    placed = documents.selectExpr("doc_id", "source", "coalesce(text, '') AS text").selectExpr(
-        "doc_id", "source", f"{_WORDS} AS size", "md5(text) AS body"
-    )
-    place = drawn(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("body"))
-    byte = lambda i: F.conv(F.substring("place", i, 2), 16, 10).cast("int")
-    return placed.withColumn("place", place).select(
-        "doc_id", "source", "size", "place", byte(1).alias("block"), byte(3).alias("sub_block"), byte(5).alias("third")
-    )
+
+def sizes(documents: DataFrame, salt: str = "") -> DataFrame:
+    """Per row: ``doc_id``, ``source``, ``size`` in words, and its ``place``."""
+    rows = documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), place(salt).alias("place"))
+    return rows.selectExpr("doc_id", "source", f"{_WORDS} AS size", "place")
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -71,17 +65,26 @@ def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
-def _cut(rows: DataFrame, goals: DataFrame, key: str) -> DataFrame:
-    """Blocks of each source in a random order up to its goal.
+def _cuts(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """``source`` and ``last``: rows up to that place fill the goal of their source.
 
-    ``rows`` has ``source`` and ``key`` (a block number below 256), ``goals`` has ``source`` and
-    ``goal``. Returns one row per source and block with its ``before`` (words of the blocks ahead)
-    and ``words``; there are 256 blocks at most, however large the source.
+    ``goals`` has ``source`` and ``goal``. Words are added up over the 256 blocks of each source, then
+    over the sub-blocks of the block where the goal falls, then once more, and row by row at the end.
     """
-    sums = rows.groupBy("source", key).agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    running = sums.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-    return running.alias("b").join(goals.alias("g"), _same("b.source", "g.source")).select("b.*", "goal")
+    at = stored(goals.select("source", "goal", F.lit("").alias("prefix")), "goals")
+    for width in (2, 4, 6):
+        inside = rows.alias("r").join(at.alias("g"), _same("r.source", "g.source") & F.col("r.place").startswith(F.col("g.prefix")))
+        block = F.substring("place", 1, width).alias("block")
+        sums = inside.select("r.source", "goal", block, "size").groupBy("source", "goal", "block").agg(F.sum("size").alias("words"))
+        upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+        over = sums.withColumn("upto", F.sum("words").over(upto)).where("upto > goal")
+        first = over.groupBy("source", "goal").agg(F.min(F.struct("block", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
+        at = stored(first.select("source", (F.col("goal") - F.col("cut.before")).alias("goal"), F.col("cut.block").alias("prefix")), "cut")
+    inside = rows.alias("r").join(at.alias("g"), _same("r.source", "g.source") & F.col("r.place").startswith(F.col("g.prefix")))
+    turn = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    passed = inside.select("r.*", "goal", "prefix").withColumn("upto", F.sum("size").over(turn))
+    fits = F.when(F.col("upto") - F.col("size") / 2 <= F.col("goal"), F.col("place"))
+    return stored(passed.groupBy("source").agg(F.coalesce(F.max(fits), F.min("prefix")).alias("last")), "last")
 
 
 def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, levels: int = LEVELS, salt: str = "") -> DataFrame:
@@ -109,24 +112,13 @@ def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     )
     goals = goals.withColumn("goal", F.col("target") - F.col("rounds") * F.col("source_size"))
 
-    # The cut: block, then sub-block, then a third, then rows. Each step narrows the goal to one block.
-    wanted, inside, chosen = goals.select("source", "goal"), rows, None
-    for key in ("block", "sub_block", "third"):
-        cut = stored(_cut(inside, wanted, key), f"cut-{key}")
-        whole = cut.where("before + words <= goal").select("source", key, F.lit(1).alias("whole"))
-        partial = cut.where("before < goal AND before + words > goal").select("source", F.col(key).alias("cut_at"), (F.col("goal") - F.col("before")).alias("goal"))
-        labelled = inside.alias("r").join(whole.alias("w"), _same("r.source", "w.source") & (F.col(f"r.{key}") == F.col(f"w.{key}")), "left").select("r.*", F.col("w.whole").isNotNull().alias("in"))
-        labelled = labelled.alias("r").join(partial.alias("p"), _same("r.source", "p.source") & (F.col(f"r.{key}") == F.col("cut_at")), "left").select("r.*", F.col("cut_at").isNotNull().alias("cut"))
-        settled = labelled.where("NOT cut").drop("cut")
-        chosen = settled if chosen is None else chosen.unionByName(settled)
-        inside, wanted = labelled.where("cut").drop("cut", "in"), partial.select("source", "goal")
-    turn = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("upto", F.sum("size").over(turn)).alias("r").join(wanted.alias("w"), _same("r.source", "w.source"))
-    last = last.select("r.*", (F.col("upto") - F.col("size") / 2 <= F.col("goal")).alias("in")).drop("upto")
-    chosen = chosen.unionByName(last)
-
-    joined = chosen.alias("r").join(goals.alias("g"), _same("r.source", "g.source")).select(
-        "r.*", "source_size", "target", F.least(F.col("rounds") + F.col("in").cast("int"), F.lit(most)).cast("int").alias("copies")
+    last = _cuts(rows, goals.where("goal > 0"))
+    plan = goals.alias("g").join(last.alias("l"), _same("g.source", "l.source"), "left").select("g.*", "last")
+    plan = stored(plan, "plan")
+    more = F.coalesce(F.col("place") <= F.col("last"), F.lit(False)).cast("int")
+    joined = rows.alias("r").join(plan.alias("p"), _same("r.source", "p.source")).select(
+        "r.*", "source_size", "target", F.least(F.col("rounds") + more, F.lit(most)).cast("int").alias("copies"),
+        F.conv(F.substring("place", 1, 2), 16, 10).cast("int").alias("block"),
     )
     dealt = shards(joined, levels, salt)
     return (
@@ -149,7 +141,7 @@ def shards(taken: DataFrame, levels: int, salt: str) -> DataFrame:
     """
     rounds = taken.groupBy("source", "block").agg(F.max("copies").alias("copies"))
     items = rounds.select("source", "block", F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) END")).alias("round"))
-    items = items.withColumn("node", F.lit(0))
+    items = stored(items.withColumn("node", F.lit(0)), "tree")
     for level in range(levels):
         draw = drawn(F.lit(f"{salt}/{level}"), F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"), F.col("block").cast("string"), F.col("round").cast("string"))
         items = items.withColumn("draw", draw).withColumn("bucket", F.substring("draw", 1, 2))
@@ -160,7 +152,15 @@ def shards(taken: DataFrame, levels: int, salt: str) -> DataFrame:
         within = Window.partitionBy("node", "bucket").orderBy("draw", "source", "block", "round")
         ranked = items.withColumn("rank", F.row_number().over(within)).join(counts, ["node", "bucket"])
         right = (2 * (F.col("ahead") + F.col("rank")) > F.col("all") + 1).cast("int")
-        items = ranked.select("source", "block", "round", (2 * F.col("node") + right).alias("node"))
+        items = stored(ranked.select("source", "block", "round", (2 * F.col("node") + right).alias("node")), "tree")
     return stored(
         items.groupBy("source", "block").agg(F.expr("transform(array_sort(collect_list(struct(round, node))), x -> x.node)").alias("shards")), "shards"
     )
+
+
+def mixed(documents: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents`` as often as the mix takes them, all columns as they are."""
+    at, times, copy = (fresh(documents, name) for name in ("place", "copies", "copy"))
+    copies = mixture(documents, **options).where("copies > 0").groupBy(F.col("place").alias(at)).agg(F.max("copies").alias(times))
+    taken = documents.withColumn(at, place(options.get("salt", ""))).join(stored(copies, "copies"), at)
+    return taken.withColumn(copy, F.explode(F.expr(f"sequence(1, {times})"))).select(documents.columns)
