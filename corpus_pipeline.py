@@ -1,2 +1,74 @@
-QUERIES = {}
-ORACLES = {}
+"""Documents to token ids: language, near-duplicates, repeated passages, mixture, BPE."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relpredict.llm import bpe, language
+from relpredict.llm.common import stored
+from relpredict.llm.mixture import mixed
+from relpredict.llm.near_docs import without_near_duplicates
+from relpredict.llm.repeats import without_repeats
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found; texts without a letter and doubtful ones go."""
+    return language.identified(docs, language.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return without_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 400 bytes or more that start anywhere else too."""
+    return without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them."""
+    return mixed(docs)
+
+
+def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` (packed little-endian ``uint32``), their digest and that of the decoded text."""
+    definition = Path(vocabulary).read_text(encoding="utf-8")
+    decoded = bpe.decode(bpe.encode(docs, definition), definition)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("mixture", mix_sources),
+    ("bpe", encode_bpe),
+]
+
+#: No stage but the mixture can be said in SQL; the tests hold each against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; between stages rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {}

@@ -88,6 +88,8 @@ def blocks(page: str | None) -> list[Block]:
     def pop() -> str:
         nonlocal skipped, main
         name, was_skipped, was_main = stack.pop()
+        if was_skipped or was_main:
+            close()
         skipped -= was_skipped
         main -= was_main
         return name
@@ -104,7 +106,6 @@ def blocks(page: str | None) -> list[Block]:
             close()
         if token["end"]:
             if any(n == name for n, _, _ in stack):
-                close()
                 while pop() != name:
                     pass
             continue

@@ -110,6 +110,17 @@ class _Scores(dict):
         return total
 
 
+def predict(scores: _Scores, text: str | None) -> tuple[str, float]:
+    """Language and score of one text."""
+    names = scores.model.languages
+    words = _LETTERS.findall((text or "").lower())
+    if not words or not names:
+        return UNKNOWN, 0.0
+    evidence = scores.total(words) * (min(len(words), FULL_WORDS) / len(words))
+    best = int(evidence.argmax())
+    return names[best], float(1.0 / np.exp(evidence - evidence[best]).sum())
+
+
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every row, from the whole ``text`` and nothing else.
 
@@ -123,20 +134,23 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(shared.value)
-        names = shared.value.languages
         for batch in batches:
-            predicted, sure = [], []
-            for text in batch.column(1):
-                words = _LETTERS.findall((text.as_py() or "").lower())
-                if not words or not names:
-                    predicted.append(UNKNOWN)
-                    sure.append(0.0)
-                    continue
-                evidence = scores.total(words) * (min(len(words), FULL_WORDS) / len(words))
-                best = int(evidence.argmax())
-                predicted.append(names[best])
-                sure.append(float(1.0 / np.exp(evidence - evidence[best]).sum()))
+            found = [predict(scores, t.as_py()) for t in batch.column(1)]
+            predicted, sure = [f[0] for f in found], [f[1] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predicted, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = documents.select("doc_id").schema[0].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def identified(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, whose language is found with that score at least."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(shared.value)
+        for batch in batches:
+            found = (predict(scores, t.as_py()) for t in batch.column("text"))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

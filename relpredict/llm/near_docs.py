@@ -245,3 +245,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     text = lambda x: bodies.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
     read = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "t_a", "t_b")
     return stored(read.mapInArrow(_verified, f"u {kind}, v {kind}"), "links")
+
+
+def without_near_duplicates(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents``, one document of each component; rows without an id stay."""
+    dropped = stored(near_duplicates(documents).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "dropped")
+    return documents.join(dropped, "doc_id", "left_anti").select(documents.columns)

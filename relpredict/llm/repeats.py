@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relpredict.llm.common import Rolling, signed, stored
+from relpredict.llm.common import Rolling, fresh, signed, stored
 
 #: Bytes of a repeated string, and of the q-gram that anchors it.
 LENGTH, GRAM = 400, 100
@@ -135,15 +135,17 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans, kept = [], []
+        spans, kept, rest = [], [], []
         for found, text in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
             raw = _bytes(text).tobytes()
             runs = merged(np.array([(f["start"], f["end"]) for f in found], np.int64).reshape(-1, 2)).tolist()
             spans.append([{"start": a, "end": b} for a, b in runs])
             edges = [0, *(x for run in runs for x in run), len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            rest.append(kept[-1].decode("utf-8", "ignore"))  # halves of cut characters go
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, kind), pa.array(kept, pa.binary())], ["tid", "n_bytes", "spans", "kept"])
+        columns = [pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(rest, pa.string())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["tid", "n_bytes", "spans", "kept", "rest"])
 
 
 def identified(documents: DataFrame, *kept: str) -> DataFrame:
@@ -154,10 +156,11 @@ def identified(documents: DataFrame, *kept: str) -> DataFrame:
 
 
 def repeats(documents: DataFrame) -> DataFrame:
-    """``tid``, ``n_bytes``, ``spans`` and ``kept`` of every distinct text with a repeated 400-byte string.
+    """``tid``, ``n_bytes``, ``spans``, ``kept`` and ``rest`` of every distinct text with a repeated 400-byte string.
 
     ``spans`` are the maximal runs of bytes covered by a string of 400 bytes that also starts anywhere
-    else in the corpus, in the same text or another; ``kept`` is what remains, as bytes. Equal texts
+    else in the corpus, in the same text or another; ``kept`` is what remains, as bytes, and
+    ``rest`` the same as text, without characters that lost a byte. Equal texts
     are one row (they are removed whole from 400 bytes on). Texts without a row lose nothing: null,
     empty and short ones are among them. Join by ``identified``. Rows may repeat, ids may be null or
     repeat; other columns than ``doc_id`` and ``text`` are not read. Strings are told apart by 64-bit
@@ -212,4 +215,17 @@ def repeats(documents: DataFrame) -> DataFrame:
     copies = bodies.where("copies > 1").select(*key, F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end"))
     spans = sure.union(last).union(copies).groupBy(key).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cut = bodies.select(*key, "text").join(spans, key).select(*key, "spans", "text")
-    return cut.mapInArrow(_cut, "tid bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return cut.mapInArrow(_cut, "tid bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, rest string")
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents``, repeats cut out of ``text``; ``n_chars`` follows where there is one."""
+    tid, size, rest = (fresh(documents, name) for name in ("tid", "n_bytes", "rest"))
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.withColumns({tid: F.xxhash64(text), size: F.octet_length(text).cast("bigint")})
+    found = repeats(documents).select(F.col("tid").alias(tid), F.col("n_bytes").alias(size), F.col("rest").alias(rest))
+    cut = rows.join(stored(found, "rests"), [tid, size], "left").withColumn("text", F.coalesce(rest, "text"))
+    if "n_chars" in documents.columns:
+        length = F.char_length("text").cast(documents.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col(rest).isNull(), F.col("n_chars")).otherwise(length))
+    return cut.select(documents.columns)

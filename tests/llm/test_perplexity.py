@@ -1,0 +1,90 @@
+import collections
+import math
+
+import numpy as np
+import pytest
+from corpus_fixtures import docs  # noqa: F401
+from relpredict.llm import perplexity as P
+
+TRUSTED = ["the cat sat on the mat and the dog ran to the cat", "a dog and a cat sat in the sun", "on the mat the cat sat. the end"]
+
+
+def brute(texts):
+    """Interpolated modified Kneser-Ney of order 4, straight from its definition."""
+    symbols = lambda t: [int(P._ALPHABET[min(ord(c), 256)]) for c in "   " + t]
+    counts = [collections.Counter() for _ in range(5)]
+    for t in texts:
+        s = symbols(t)
+        counts[4].update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+    for n in (3, 2, 1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n in range(1, 5):
+        k = collections.Counter(counts[n].values())
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] + 2 * k[2] else 0.5
+        raw = [i - (i + 1) * y * k[i + 1] / k[i] if k[i] else i / 2 for i in (1, 2, 3)]
+        discount[n] = [min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1)]
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / 64
+        after = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        lower = p(gram[1:])
+        if not after:
+            return lower
+        total, cut = sum(after.values()), lambda c: discount[n][min(c, 3) - 1]
+        c = after.get(gram, 0)
+        return (c - cut(c) if c else 0) / total + sum(map(cut, after.values())) / total * lower
+
+    def perplexity(text):
+        s = symbols(text)
+        return math.exp(-sum(math.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)) / len(text))
+
+    return perplexity
+
+
+@pytest.fixture(scope="module")
+def model(docs):
+    return P.fit(docs(*TRUSTED, None, ""))
+
+
+def test_equals_the_definition(docs, model):
+    texts = [*TRUSTED, "the sun sat", "zzz 12 !!", "x", "Éa ñ", "中文"]
+    reference = brute(TRUSTED)
+    out = {r["doc_id"]: r["perplexity"] for r in P.perplexities(docs(*texts), model).collect()}
+    for i, t in enumerate(texts, 1):
+        assert out[i] == pytest.approx(reference(t), rel=1e-4)
+
+
+def test_probabilities_add_up(model):
+    table = np.exp(model.table().astype(float)).reshape(-1, 64)
+    assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
+
+
+def test_chunks_and_odd_rows(docs, model, monkeypatch):
+    texts = [None, "", "the cat " * 5_000, "the cat"]
+    frame = docs(*texts, langs=["en", None, None, "en"], ids=[1, 1, 2, None])
+    whole = sorted((r["perplexity"] or 0) for r in P.perplexities(frame, model).collect())
+    monkeypatch.setattr(P, "CHUNK", 7)
+    parts = sum(float(model.table()[g].sum()) for g in P._pieces(texts[2]))
+    assert math.exp(-parts / len(texts[2])) == pytest.approx(whole[2], rel=1e-6) or math.exp(-parts / len(texts[2])) == pytest.approx(whole[3], rel=1e-6)
+    assert whole[:2] == [0, 0]
+
+
+def test_thresholds_by_language(docs):
+    good = ["the cat sat on the mat"] * 6 + ["le chat est sur le lit"] * 6
+    texts = [*good, "QX#7 ** zzk !!! 0x0x", "the cat sat on the bed", None, ""]
+    langs = ["en"] * 6 + ["fr"] * 6 + ["en", None, "fr", "fr"]
+    frame = docs(*texts, langs=langs)
+    trusted = frame.where("doc_id <= 12 OR text IS NULL")
+    out = {r["doc_id"]: r for r in P.classify(frame, trusted).collect()}
+    assert len(out) == 16 and all(out[i]["kept"] for i in range(1, 13))
+    assert not out[13]["kept"] and out[14]["kept"] and not out[15]["kept"] and not out[16]["kept"]
+    assert out[1]["threshold"] != out[7]["threshold"] and out[14]["threshold"] is not None
+
+
+def test_nothing_trusted_and_empty_table(docs):
+    frame = docs("some text", None, "")
+    assert [r["kept"] for r in sorted(P.classify(frame, frame.limit(0)).collect())] == [True, False, False]
+    assert P.classify(frame.limit(0), frame).count() == 0
