@@ -119,6 +119,16 @@ def _single(name: str):
 MANY = ("pit_count", "pit_sum", "pit_mean", "pit_max", "pit_min", "pit_std", "pit_num_unique", "pit_two_hop")
 
 
+def _three_hop(spark, sf):
+    """A region's orders and their amounts, over three links."""
+    db = shop(spark, sf)
+    pick = Pick(db)
+    links = [pick.region, pick.nation, pick.orders]
+    features = [pick.agg("COUNT", links), pick.agg("SUM", links, pick.own("orders", "o_cents"))]
+    assert {f.name for f in features} <= {f.name for f in plan.enumerate_features(db.graph, "region", 1)}
+    return _comparable(X.synthesize_at(db, "region", ANCHOR, features))
+
+
 def _many(names, cutoffs):
     def query(spark, sf):
         db = shop(spark, sf)
@@ -253,6 +263,7 @@ SINGLE = [
 
 QUERIES = {name: _single(name) for name in SINGLE} | {
     "pit_transforms": _transforms,
+    "pit_three_hop": _three_hop,
     "pit_features_multi_cutoff": _many(MANY, None),
     "pit_features_cutoff_per_row": _many(MANY, _own_order_times),
     "pit_stacked_multi_cutoff": _many(("pit_stacked",), None),
@@ -279,6 +290,10 @@ ORACLES = {name: _orders_sql(*parts) for name, parts in AGGREGATES.items()} | {
         f" FROM {ORDERS} JOIN {LINES} ON l_orderkey = o_orderkey GROUP BY 1",
         *[f"COALESCE({n}, 0) AS {n}" if zero else n for n, _, zero in TWO_HOP],
     ),
+    "pit_three_hop": f"""SELECT r_regionkey AS entity_id, {CUT} AS cutoff, COUNT(o_orderkey) AS count__nation_customer_orders,
+        COALESCE(SUM({cents('o_totalprice')}), 0) AS sum__nation_customer_orders__o_cents
+        FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey
+        LEFT JOIN {ORDERS} ON o_custkey = c_custkey GROUP BY 1, 2""",
     "pit_transforms": f"""SELECT o_orderkey AS entity_id, {CUT} AS cutoff, month(o_orderdate) AS month__o_orderdate,
         isodow(o_orderdate) - 1 AS weekday__o_orderdate FROM {ORDERS}""",
     "entity_direct_features": f"""SELECT c_custkey AS entity_id, {CUT} AS cutoff, {cents('c_acctbal')} AS c_cents,

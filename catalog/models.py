@@ -12,71 +12,54 @@ from relpredict.operators import metrics as M
 from relpredict.operators import prep
 from relpredict.operators.labels import build_labels
 from relpredict.plans import pipeline
-from relpredict.plans.feature_plan import enumerate_features
 from relpredict.task import churn, demand
 
-# A short boosting run; the library default is 300 rounds.
-QUICK = {"maxIter": 10, "maxDepth": 4}
-RESULTS: dict[tuple, pipeline.PredictionResult] = {}
+# Boosting rounds of every registered training run, a stated argument of each query; the library's
+# default is 300 (`pipeline.fit_predict` without params). Features are the full default search.
+ROUNDS = 20
 
 
-def _near(db, entity):
-    """Depth-1 features that stay within two tables of the entity, without its parents' aggregates."""
-    return [
-        f for f in enumerate_features(db.graph, entity, 1)
-        if f.kind != "aggregate" or len(f.links) == 1
-    ]
+def _result(spark, sf, kind: str, rounds: int) -> pipeline.PredictionResult:
+    """A training run of its own: default depth and features, default parameters but the rounds."""
+    db = shop(spark, sf)
+    task = demand("part", "lineitem", "l_quantity", months=3) if kind == "demand" else churn("customer", "orders", days=180)
+    return pipeline.fit_predict(db, task, calibrate=kind == "calibrated", params={"maxIter": rounds})
 
 
-def _result(spark, sf, kind: str) -> pipeline.PredictionResult:
-    """One trained model per kind, session and folder: several queries report on the same run."""
-    key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in RESULTS:
-        db = shop(spark, sf)
-        if kind == "demand":
-            task, entity = demand("part", "lineitem", "l_quantity", months=3), "part"
-        else:
-            task, entity = churn("customer", "orders", days=180), "customer"
-        RESULTS[key] = pipeline.fit_predict(
-            db, task, features=_near(db, entity), calibrate=kind == "calibrated", params=QUICK
-        )
-    return RESULTS[key]
+def _predictions(kind):
+    return lambda spark, sf, rounds=ROUNDS: _result(spark, sf, kind, rounds).predictions
 
 
-def _predictions(kind):
-    return lambda spark, sf: _result(spark, sf, kind).predictions
+def _importance(spark, sf, rounds=ROUNDS):
+    return _result(spark, sf, "churn", rounds).model.importance(spark)
+
+
+def _drivers(spark, sf, rounds=ROUNDS):
+    result = _result(spark, sf, "churn", rounds)
+    return E.global_drivers(result.model, result.lineage, 10)
 
 
-def _contributions(spark, sf):
-    result = _result(spark, sf, "churn")
+def _contributions(spark, sf, rounds=ROUNDS):
+    result = _result(spark, sf, "churn", rounds)
     return E.with_provenance(E.local_contributions(result.model, result.scored, 5), result.lineage)
 
 
-def _cards(spark, sf):
-    result = _result(spark, sf, "churn")
+def _cards(spark, sf, rounds=ROUNDS):
+    result = _result(spark, sf, "churn", rounds)
     found = E.local_contributions(result.model, result.scored, 5)
     return E.explanation_cards(found, result.predictions, result.lineage, classification=True)
 
 
-def _fallback(spark, sf):
-    result = _result(spark, sf, "churn")
+def _fallback(spark, sf, rounds=ROUNDS):
+    result = _result(spark, sf, "churn", rounds)
     return E.fallback_contributions(result.model, result.scored, 5)
 
 
-def _ablation(spark, sf):
-    db = shop(spark, sf)
-    pick = Pick(db)
-    features = [
-        pick.own("customer", "c_cents"),
-        pick.own("customer", "c_mktsegment", False),
-        pick.over_orders("COUNT", None),
-        pick.over_orders("MEAN"),
-        pick.over_orders("MAX"),
-    ]
-    return pipeline.ablation(db, churn("customer", "orders", days=180), features=features, params=QUICK)
+def _ablation(spark, sf, rounds=ROUNDS):
+    return pipeline.ablation(shop(spark, sf), churn("customer", "orders", days=180), params={"maxIter": rounds})
 
 
-def _given_cutoffs(spark, sf):
+def _given_cutoffs(spark, sf, rounds=ROUNDS):
     """Training rows with a cutoff each: an order's moment, labelled by its own status."""
     db = shop(spark, sf)
     pick = Pick(db)
@@ -86,7 +69,7 @@ def _given_cutoffs(spark, sf):
     split = F.col("cutoff") <= F.lit(ANCHOR).cast("timestamp_ntz")
     features = [pick.own("customer", "c_cents"), pick.over_orders("COUNT", None), pick.over_orders("MEAN")]
     return pipeline.score_given(
-        db, "customer", rows.where(split), rows.where(~split), True, features, params=QUICK
+        db, "customer", rows.where(split), rows.where(~split), True, features, params={"maxIter": rounds}
     )
 
 
@@ -152,15 +135,22 @@ def _split(spark, sf):
     return prep.stratified_split(build_labels(shop(spark, sf), CHURN, ANCHOR).drop("cutoff"))
 
 
+def _many_codes(spark, sf):
+    """Codes of vocabularies with a value per row, and of small ones, in one encoding."""
+    codes = prep.category_codes(raw(spark, sf, ["customer"])["customer"], ["c_name", "c_mktsegment"])
+    return codes.withColumn("code", F.col("code").cast("bigint"))
+
+
 QUERIES = {
     "clean_features": _dirty,
     "category_codes": _codes,
+    "category_codes_large": _many_codes,
     "stratified_split": _split,
     "churn_predictions": _predictions("churn"),
     "demand_predictions": _predictions("demand"),
     "calibrated_scores": _predictions("calibrated"),
     "predictions_cutoff_per_row": _given_cutoffs,
-    "feature_importance": lambda spark, sf: _result(spark, sf, "churn").model.importance(spark),
+    "feature_importance": _importance,
     "metric_roc_auc": _metric(M.roc_auc),
     "metric_accuracy": _metric(M.accuracy),
     "metric_brier": _metric(M.brier),
@@ -171,9 +161,7 @@ QUERIES = {
     "metric_ece": _metric(M.expected_calibration_error),
     "top_predictions": _top,
     "ablation_report": _ablation,
-    "global_drivers": lambda spark, sf: E.global_drivers(
-        _result(spark, sf, "churn").model, _result(spark, sf, "churn").lineage, 10
-    ),
+    "global_drivers": _drivers,
     "local_contributions": _contributions,
     "fallback_contributions": _fallback,
     "explanation_cards": _cards,
@@ -203,6 +191,10 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
 WITH v AS (SELECT 'o_orderstatus' AS feature, o_orderstatus AS value FROM orders GROUP BY ALL
            UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders GROUP BY ALL)
 SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS code FROM v""",
+    "category_codes_large": """
+WITH v AS (SELECT 'c_name' AS feature, c_name AS value FROM customer GROUP BY ALL
+           UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer GROUP BY ALL)
+SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS code FROM v WHERE value IS NOT NULL""",
     "stratified_split": f"""
 WITH {SCORED},
 labelled AS (SELECT c_custkey AS entity_id, COALESCE(v, 0) AS target_value, CAST(COALESCE(v, 0) = 0 AS INT) AS label

@@ -108,7 +108,7 @@ QUERIES = {
     "parameterised_query": lambda spark, sf: run_query(
         spark,
         raw(spark, sf, SHOP),
-        "SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey"
+        "SELECT c_mktsegment, count(*) AS n FROM {customer} JOIN {orders} ON o_custkey = c_custkey"
         " WHERE o_orderstatus = :status AND o_totalprice > :least GROUP BY c_mktsegment",
         {"status": "F", "least": 1000.0},
     ),

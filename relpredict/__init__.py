@@ -4,7 +4,7 @@ from relpredict.operators.cutoffs import synthesize_many
 from relpredict.operators.features import synthesize_at
 from relpredict.operators.labels import build_labels, build_labels_many
 from relpredict.operators.profile import discover
-from relpredict.plans.pipeline import PredictionResult, ablation, fit_predict, score_given
+from relpredict.plans.pipeline import PredictionResult, ablation, fit_predict, given_metrics, score_given
 from relpredict.schema import Database, declare
 from relpredict.sources.tables import JdbcSource, load_folder, load_tables
 from relpredict.task import FutureWindow, PredictiveTask, churn, demand, event_risk
@@ -26,7 +26,7 @@ __all__ = [
     "fit_predict",
     "load_folder",
     "load_tables",
-    "score_given",
+    "given_metrics", "score_given",
     "synthesize_at",
     "synthesize_many",
 ]

@@ -26,7 +26,6 @@ from relpredict.schema import (
 
 CATEGORICAL_SHARE = 0.5  # distinct / non-null at or below which a string counts as categorical
 ID_PATTERN = r"^id$|_id$"
-LONG_VALUE = 64  # longer strings are compared by their digest
 
 PROFILE_SCHEMA = (
     "table_name string, position int, column_name string, type string, type_class string,"
@@ -36,12 +35,12 @@ PROFILE_COLUMNS = [field.split()[0] for field in PROFILE_SCHEMA.split(", ")]
 
 
 def _comparable(column: str, data_type: T.DataType) -> str:
-    """SQL for the value that is counted: the column itself, or the digest of a long string."""
+    """SQL for the value that is counted: the column itself, or the digest of a string."""
     name = f"`{column}`"
     if type_class(data_type) == "other":
         return f"IF({name} IS NOT NULL, true, NULL)"
     if isinstance(data_type, T.StringType):
-        return f"IF(length({name}) > {LONG_VALUE}, sha2({name}, 256), {name})"
+        return f"sha2({name}, 256)"
     return name
 
 
@@ -131,10 +130,10 @@ def sketch_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def shortlist_profile(tables: Mapping[str, DataFrame], id_pattern: str = ID_PATTERN, error: float = 0.2) -> DataFrame:
-    """A profile whose decisions are exact at the price of a sketch for most columns.
+    """A profile whose key decisions are exact at the price of a sketch for most columns.
 
-    The first scan sketches every column. Only columns whose sketch leaves a decision open are
-    counted exactly: ids close to unique, and strings close to the categorical limit.
+    The first scan sketches every column. Every id column that holds a value in each row is then
+    counted exactly, and so are strings close to the categorical limit; other counts are estimates.
     """
     rough = sketch_profile(tables).collect()  # one row per column of the schema
     unsettled = set()
@@ -143,7 +142,7 @@ def shortlist_profile(tables: Mapping[str, DataFrame], id_pattern: str = ID_PATT
             continue
         share = r.n_distinct / r.n_values
         is_id = re.search(id_pattern, r.column_name) is not None
-        near_unique = is_id and share > 1 - error
+        near_unique = is_id and r.n_values == r.n_rows
         near_limit = r.type_class == "string" and abs(share - CATEGORICAL_SHARE) < error
         if near_unique or near_limit:
             unsettled.add((r.table_name, r.column_name))
@@ -158,14 +157,6 @@ def shortlist_profile(tables: Mapping[str, DataFrame], id_pattern: str = ID_PATT
 # -- keys --------------------------------------------------------------------------------------
 
 
-def singular(name: str) -> str:
-    """A table name in the singular, by the endings ies -> y, ses -> s and s -> nothing."""
-    for ending, replacement in (("ies", "y"), ("ses", "s"), ("s", "")):
-        if name.endswith(ending):
-            return name[: -len(ending)] + replacement
-    return name
-
-
 def is_unique() -> Column:
     return (F.col("n_rows") > 0) & (F.col("n_values") == F.col("n_rows")) & (F.col("n_distinct") == F.col("n_rows"))
 

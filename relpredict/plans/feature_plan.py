@@ -73,11 +73,11 @@ def _slug(text: str) -> str:
     return text.replace("[", "_").replace("]", "").replace(".", "_")
 
 
-def descending_paths(graph: TableGraph, table: str, max_links: int) -> list[tuple[Link, ...]]:
+def descending_paths(graph: TableGraph, table: str, max_links: int | None = None) -> list[tuple[Link, ...]]:
     """Every chain of parent-to-child links that leaves ``table`` and visits no table twice."""
     found: list[tuple[Link, ...]] = []
     open_paths: list[tuple[Link, ...]] = [()]
-    for _ in range(max_links):
+    while open_paths and (max_links is None or len(open_paths[0]) < max_links):
         grown = []
         for path in open_paths:
             here = path[-1].child if path else table
@@ -136,13 +136,14 @@ def enumerate_features(
     max_depth: int = 2,
     aggregations: Iterable[str] = AGGREGATIONS,
     transforms: Iterable[str] = TRANSFORMS,
-    max_links: int = 2,
+    max_links: int | None = None,
     _closed: frozenset[Link] = frozenset(),
 ) -> list[Feature]:
     """All features of ``table`` up to ``max_depth``, in a stable order.
 
     Keys and text never enter. A child row does not look up through the link it is grouped by,
-    because that would only repeat the entity's own values.
+    because that would only repeat the entity's own values. ``max_depth`` counts stacked aggregates;
+    paths are followed to their end unless ``max_links`` says otherwise.
     """
     aggregations, transforms = tuple(aggregations), tuple(transforms)
     options = {"aggregations": aggregations, "transforms": transforms, "max_links": max_links}

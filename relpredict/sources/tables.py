@@ -139,9 +139,7 @@ def run_query(
     spark: SparkSession, tables: Mapping[str, DataFrame], sql: str, args: Mapping | list | None = None
 ) -> DataFrame:
     """Parameterised SQL over the tables: ``{name}`` markers bind DataFrames, ``args`` values."""
-    for name, frame in tables.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(sql, args=args)
+    return spark.sql(sql, args=args, **tables)
 
 
 def write_predictions(frame: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

@@ -30,7 +30,7 @@ def test_every_check_belongs_to_a_query():
 
 def test_entry(spark):
     found = spark_entry.entry(spark)
-    assert found.columns == ["entity_id", "cutoff", "target_value", "label"] and found.count() > 100
+    assert found.columns == ["entity_id", "cutoff", "score", "label"] and found.count() > 100
 
 
 @pytest.mark.parametrize("name", sorted(spark_entry.oracle_sql()))

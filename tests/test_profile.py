@@ -89,9 +89,6 @@ def test_discover(tables):
     assert P.discover(tables, times={"orders": "shipped"}).spec("orders").time_index == "shipped"
 
 
-def test_singular():
-    assert [P.singular(w) for w in ("categories", "buses", "orders", "fish")] == ["category", "bus", "order", "fish"]
-
 
 def test_inclusion(small):
     found = {r.child_column: (r.child_table, r.n_values, r.n_orphans) for r in P.link_inclusion(small).collect()}

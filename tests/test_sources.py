@@ -56,9 +56,9 @@ def test_normalise(spark):
 
 def test_parameterised_query(spark, frame):
     tables = {"things": frame("a int, b string", (1, "it's"), (2, "other"))}
-    by_name = S.run_query(spark, tables, "SELECT a FROM things WHERE b = :word", {"word": "it's"})
+    by_name = S.run_query(spark, tables, "SELECT a FROM {things} WHERE b = :word", {"word": "it's"})
     assert [r.a for r in by_name.collect()] == [1]
-    assert [r.a for r in S.run_query(spark, tables, "SELECT a FROM things WHERE a > ? AND b <> '?'", [1]).collect()] == [2]
+    assert [r.a for r in S.run_query(spark, tables, "SELECT a FROM {things} WHERE a > ? AND b <> '?'", [1]).collect()] == [2]
 
 
 def test_prediction_sink(spark, tmp_path, frame):
