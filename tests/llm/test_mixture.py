@@ -37,11 +37,17 @@ def frame(docs):
     return docs(*texts, None, "", sources=[*sources, "a", "b"])
 
 
-def test_mix_meets_targets_with_whole_documents(frame):
-    rows = mixture(frame).collect()
-    assert len(rows) == 902
+@pytest.fixture(scope="module")
+def mix(frame):
+    out = mixture(frame, levels=2)
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())  # the main path is native
+    return out.collect()
+
+
+def test_mix_meets_targets_with_whole_documents(frame, mix):
+    assert len(mix) == 902
     taken, target, size = collections.Counter(), {}, collections.Counter()
-    for r in rows:
+    for r in mix:
         assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3
         taken[r["source"]] += r["taken"]
         size[r["source"]] += r["size"]
@@ -49,17 +55,21 @@ def test_mix_meets_targets_with_whole_documents(frame):
     for s in target:
         assert abs(taken[s] - target[s]) <= 36 / 2 + 1e-6, s
     assert sum(target.values()) == pytest.approx(sum(size.values()))
-    again = mixture(frame.repartition(7)).collect()
-    key = lambda r: (r["doc_id"], r["copies"], r["shards"])
-    assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
-def test_tree_splits_blocks_evenly(frame):
-    rows = [r for r in mixture(frame, levels=3).collect() if r["copies"]]
-    assert all(len(r["shards"]) == r["copies"] and all(0 <= s < 8 for s in r["shards"]) for r in rows)
+def test_mixed_rows_follow_the_copies_in_every_run(frame, mix):
+    copies = {r["doc_id"]: r["copies"] for r in mix if r["copies"]}
+    again = mixed(frame.repartition(7), levels=2)
+    assert again.columns == frame.columns
+    assert collections.Counter(r["doc_id"] for r in again.collect()) == copies
+
+
+def test_tree_splits_blocks_evenly(mix):
+    rows = [r for r in mix if r["copies"]]
+    assert all(len(r["shards"]) == r["copies"] and all(0 <= s < 4 for s in r["shards"]) for r in rows)
     blocks = {(r["source"], r["place"][:2], k): s for r in rows for k, s in enumerate(r["shards"])}
     load = collections.Counter(blocks.values())
-    assert max(load.values()) - min(load.values()) <= 3  # one for each level
+    assert len(load) == 4 and max(load.values()) - min(load.values()) <= 3
     for source in {s for s, _, _ in blocks}:
         own = collections.Counter(v for (s, _, _), v in blocks.items() if s == source)
         assert len(own) > 1 or sum(own.values()) < 4
@@ -67,19 +77,12 @@ def test_tree_splits_blocks_evenly(frame):
 
 def test_odd_rows(docs, frame):
     same = docs("a b c", "a b c", "a b c", None, "", ids=[1, 1, None, None, 2], sources=[None] * 5)
-    out = mixture(same).collect()
+    out = mixture(same, levels=1).collect()
     assert len(out) == 5 and {r["source_size"] for r in out} == {9}
     assert sum(r["taken"] for r in out) == 9
-    nothing = mixture(docs(None, "")).collect()
-    assert [(r["size"], r["target"], r["taken"]) for r in nothing] == [(0, 0.0, 0)] * 2
-    assert mixture(frame.limit(0)).count() == 0
-    assert mixed(frame).columns == frame.columns
-
-
-def test_mixed_rows_follow_the_copies(frame):
-    copies = {r["doc_id"]: r["copies"] for r in mixture(frame).collect()}
-    assert collections.Counter(r["doc_id"] for r in mixed(frame).collect()) == {i: n for i, n in copies.items() if n}
+    assert mixture(frame.limit(0), levels=1).count() == 0
 
 
-def test_main_path_is_native(frame):
-    assert not re.search("Python|Pandas|Arrow", mixture(frame)._jdf.queryExecution().toString().replace("ExistingPythonRDD", ""))
+def test_nothing_but_empty_texts(spark):
+    out = targets(spark.createDataFrame([("a", 0), (None, 0)], "source string, source_size bigint"))
+    assert {r["target"] for r in out.collect()} == {0.0}

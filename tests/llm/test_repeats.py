@@ -58,7 +58,7 @@ def corpus(seed, chunk=None):
     ]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_strings(docs, seed):
     texts = corpus(seed)
     assert found(docs(*texts), texts) == expected(texts)
