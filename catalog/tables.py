@@ -102,6 +102,12 @@ def _profiled(spark, sf):
     return P.profile(raw(spark, sf, TABLES))
 
 
+def _profiled_ids(spark, sf):
+    """The profile that a search for keys needs: id columns alone."""
+    tables = raw(spark, sf, TABLES)
+    return P.profile(tables, P.id_columns(tables, ID_PATTERN))
+
+
 QUERIES = {
     "scan_table": lambda spark, sf: raw(spark, sf, ["orders"])["orders"],
     "table_row_counts": lambda spark, sf: row_counts(raw(spark, sf, TABLES)),
@@ -113,11 +119,11 @@ QUERIES = {
         {"status": "F", "least": 1000.0},
     ),
     "column_profile": _profiled,
-    "primary_keys": lambda spark, sf: P.primary_keys(_profiled(spark, sf), ID_PATTERN),
-    "foreign_keys": lambda spark, sf: P.foreign_keys(_profiled(spark, sf), ID_PATTERN, PREFIX_PATTERN),
+    "primary_keys": lambda spark, sf: P.primary_keys(_profiled_ids(spark, sf), ID_PATTERN),
+    "foreign_keys": lambda spark, sf: P.foreign_keys(_profiled_ids(spark, sf), ID_PATTERN, PREFIX_PATTERN),
     "fk_inclusion": lambda spark, sf: P.link_inclusion(shop(spark, sf)),
     "column_roles": lambda spark, sf: P.column_roles(_profiled(spark, sf), ID_PATTERN, PREFIX_PATTERN),
-    # shortlist: sketches decide what is far from a limit, exact counts the rest; same answer
+    # shortlist: sketches for all columns, exact counts for every id column without gaps
     "primary_keys_shortlist": lambda spark, sf: P.primary_keys(
         P.shortlist_profile(raw(spark, sf, TABLES), ID_PATTERN), ID_PATTERN
     ),
