@@ -250,16 +250,17 @@ def recall(vectors: DataFrame, found: DataFrame, every: int = 50) -> tuple[int,
     asked = rows.where(F.col("vec_id") % every == 0)
     blocks = asked.groupBy("label").agg(F.ceil(F.count("*") / 1024).cast("int").alias("blocks"))
     queries = asked.join(blocks, "label").select("label", F.expr("pmod(xxhash64(vec_id), blocks)").cast("int").alias("block"), "vec_id", "unit")
-    spread = rows.join(blocks, "label").select("label", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "unit")
+    spread = rows.join(blocks, "label").select(  # columns of their own, or the two sides couldn't be told apart
+        F.col("label").alias("r_label"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("r_block"), F.col("unit").alias("r_unit")
+    )
 
     def count(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"vec_id": [], "n": []}).astype("int64")
-        x, y = _matrix(left["unit"]), _matrix(right["unit"])
+        x, y = _matrix(left["unit"]), _matrix(right["r_unit"])
         n = sum((x @ y[i : i + 4096].T >= COSINE).sum(axis=1) for i in range(0, len(y), 4096))
         return pd.DataFrame({"vec_id": left["vec_id"], "n": n - 1})
 
-    by = ["label", "block"]
-    true = queries.groupBy(by).cogroup(spread.groupBy(by)).applyInPandas(count, "vec_id bigint, n bigint")
+    true = queries.groupBy("label", "block").cogroup(spread.groupBy("r_label", "r_block")).applyInPandas(count, "vec_id bigint, n bigint")
     row = true.join(found, "vec_id").agg(F.sum("n_links"), F.sum("n")).first()
     return int(row[0] or 0), int(row[1] or 0)
