@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ WORDS, SIMILARITY = 5, 75
 REGISTERS, BANDS, ROWS = 211, 42, 5
 #: SetSketch parameters: base of the exponential spacing, rate, the level of a minimum of 1, the last level.
 SPACING, RATE, OFFSET, LEVELS = 1.0006, 20.0, 6_000, 65_535
-#: Pairs whose likeliest similarity is below this are not verified; 8 deviations under the limit.
-ESTIMATE = 0.5
+#: Pairs whose likeliest similarity is below this are not verified; 5 deviations under the limit.
+ESTIMATE = 0.6
+#: Nodes of a block of a gathering, and shingles that are compared at a time.
+BLOCK, COLUMNS = 192, 8_192
 #: Bytes of text that a task turns into shingles at a time.
 CHUNK = 4 << 20
 
@@ -140,8 +143,8 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = pa.array(list(signed(band_keys(_registers(batch.column(1))))), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["node", "keys"])
+        keys = pa.array(list(signed(band_keys(_registers(batch.column(2))))), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], keys], ["node", "n", "keys"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +182,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Extra columns are not read. Shingles are told apart by 64-bit hashes.
 
     Equal sets are one node. Nodes whose bands agree meet in buckets. Each node is first held against
-    the smallest of its bucket; whoever is then still in another component than the bucket's largest
-    one is held against the whole bucket. So no pair is lost, and a bucket of copies costs one pair a
-    row. Pairs pass the likelihood estimate of their sketches, then the exact test on whole texts.
+    the member of its bucket that meets most others; such pairs pass the likelihood estimate of their sketches, then the exact test on whole
+    texts. Buckets that still hold several components are gathered under their lead and compared whole,
+    in blocks. So no pair is lost, and a bucket of copies costs one pair a row.
     """
     kinds = documents.select("doc_id").schema[0].dataType.simpleString()
     rows = stored(
@@ -194,26 +197,27 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     nodes = rows.join(sets.where("node IS NOT NULL"), same_set).where("doc_id = node")
     nodes = stored(nodes.select("node", *same_set, "registers").dropDuplicates(["node", "h1", "h2"]), "nodes")
 
-    banded = nodes.select("node", "registers").mapInArrow(_banded, f"node {kinds}, keys array<bigint>")
-    members = stored(banded.select("node", F.explode("keys").alias("key")), "bands")
-    buckets = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-    buckets = stored(buckets.where("lead < last").select("key", "lead"), "buckets")
-    members = stored(members.join(buckets, "key"), "members")
+    banded = nodes.select("node", "n_shingles", "registers").mapInArrow(_banded, f"node {kinds}, n bigint, keys array<bigint>")
+    members = stored(banded.select("node", "n", F.explode("keys").alias("key")), "bands")
+    buckets = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
+    members = stored(members.join(stored(buckets.where("low < high").select("key", "size"), "buckets"), "key"), "members")
+    # A bucket is led by the member that meets most others: the text that the copies were made from.
+    weights = stored(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    best = F.max(F.struct("weight", "node", "n")).alias("best")
+    leads = members.join(weights, "node").groupBy("key").agg(best).select("key", F.col("best.node").alias("lead"), F.col("best.n").alias("lead_n"))
+    members = stored(members.drop("size").join(stored(leads, "leads"), "key"), "led")
     bodies = stored(_bodies(documents, members), "bodies")
 
-    first = _links(members.where("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), nodes, bodies)
+    alike = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {SIMILARITY} * greatest({x}, {y})")
+    led = members.where("node <> lead").where(alike("n", "lead_n"))
+    first = _links(led.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")), nodes, bodies)
     roots = stored(components(first), "roots")
     rooted = members.join(roots, members["node"] == roots["node"], "left").select(
-        "key", members["node"], F.coalesce("root", members["node"]).alias("root")
+        "key", "lead", members["node"], F.coalesce("root", members["node"]).alias("root")
     )
     rooted = stored(rooted, "rooted")
-    sizes = stored(rooted.groupBy("key", "root").agg(F.count("*").alias("n")), "sizes")
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
-    largest = stored(largest.where("roots > 1").select("key", F.col("top.root").alias("top")), "largest")
-    split = stored(rooted.join(largest, "key"), "split")
-    strays = split.where("root <> top").select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
-    met = split.join(strays, "key").where("root <> b_root AND (root = top OR node < b)")
-    second = _links(met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")), nodes, bodies)
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    second = _gathered(rooted.join(stored(apart, "apart"), "key").select("lead", "node", "root").distinct(), bodies)
     roots = stored(components(first.union(second)), "roots")
 
     whole = sets.join(roots, sets["node"] == roots["node"], "left").select(
@@ -234,12 +238,56 @@ def _bodies(documents: DataFrame, members: DataFrame) -> DataFrame:
     return texts.distinct()  # an id that repeats has all its versions
 
 
+def _gathered(split: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links between nodes of different components (``root``) that buckets of one ``lead`` hold.
+
+    All nodes that a lead's buckets hold are compared, in pairs of blocks of ``BLOCK``: a node goes
+    to as many tasks as there are blocks, and no pair is a row.
+    """
+    split = stored(split, "split")
+    loads = stored(split.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "loads")
+    own = F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)").alias("own")
+    placed = split.join(loads, "lead").select("lead", "node", "root", own, F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    placed = placed.select("lead", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root", "own")
+    kind = split.schema["node"].dataType.simpleString()
+    read = placed.join(bodies, "node").groupBy("lead", "low", "high")
+    return stored(read.applyInPandas(_compared, f"u {kind}, v {kind}"), "links")
+
+
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links across components within a block, or between two, from the sizes of all intersections at once."""
+    none = pd.DataFrame({"u": [], "v": []}).astype("int64")
+    low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+    if rows["root"].nunique() < 2:
+        return none
+    code, bounds = shingle_sets([(t or "").encode("utf-8", "replace") for t in rows["text"]])
+    n = len(rows)
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    _, column, times = np.unique(code, return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # others are in no intersection
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((n, n), np.float32)
+    for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        part = (column >= start) & (column < start + COLUMNS)
+        table = np.zeros((n, COLUMNS), np.float32)
+        table[owner[part], column[part] - start] = 1
+        both += table @ table.T
+    sizes = np.diff(bounds)
+    linked = (both > 0) & (100 * both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both))
+    root, own, ids = rows["root"].to_numpy(), rows["own"].to_numpy(), rows["node"].to_numpy()
+    linked &= root[:, None] != root[None, :]
+    if low != high:
+        linked &= own[:, None] != own[None, :]
+    u, v = np.nonzero(np.triu(linked, 1))
+    return pd.DataFrame({"u": ids[u], "v": ids[v]}) if len(u) else none
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     """Those ``pairs`` (a, b) that are linked, as (u, v)."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("registers").alias(f"r_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     pairs = stored(pairs.distinct(), "pairs")
     kind = pairs.schema["a"].dataType.simpleString()
-    sketched = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+    sketched = pairs.join(side("a"), "a").join(side("b"), "b")
     likely = sketched.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(_likely, f"a {kind}, b {kind}")
     likely = stored(likely, "likely")
     text = lambda x: bodies.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
