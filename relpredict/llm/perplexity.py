@@ -184,27 +184,23 @@ def perplexities(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, f"doc_id {kind}, lang string, perplexity double")
 
 
-def classify(documents: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(documents: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """``doc_id``, ``lang``, ``perplexity``, ``threshold`` and ``kept`` of every row of ``documents``.
 
-    The model is fitted on the rows whose ``doc_id`` is among ``trusted_ids``. The threshold of a
-    language is a quantile of its trusted perplexities times the margin; a language (null is one)
-    without trusted rows takes the quantile of all. Null and empty texts are not kept; without any
+    ``trusted`` has ``text`` and ``lang``; the model is fitted on all of it, and the threshold of a
+    language is a quantile of its trusted perplexities times the margin. A language (null is one)
+    without trusted texts takes the quantile of all. Null and empty texts are not kept; without any
     trusted text there is no threshold and all other rows are kept. Repeated rows are judged each.
+    Neither side is shuffled.
     """
-    ids = trusted_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    model = fit(documents.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    scored = stored(perplexities(documents, model), "perplexities")
-    trusted = scored.join(ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
+    model = fit(trusted)
+    known = perplexities(trusted.select(F.lit(0).alias("doc_id"), "lang", "text"), model).where("perplexity IS NOT NULL")
     named = F.coalesce("lang", F.lit(_LANGUAGE_UNKNOWN))
-    own = trusted.groupBy(named.alias("name")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("own"))
-    own = stored(own, "thresholds")
-    overall = trusted.agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("overall"))
-    judged = scored.withColumn("name", named).join(own, "name", "left").crossJoin(F.broadcast(overall))
-    return judged.select(
-        "doc_id",
-        "lang",
-        "perplexity",
-        F.coalesce("own", "overall").alias("threshold"),
-        F.expr("perplexity IS NOT NULL AND coalesce(perplexity <= coalesce(own, overall), true)").alias("kept"),
+    limit = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("own")
+    limits = stored(known.groupBy(named.alias("name")).agg(limit).union(known.select(F.lit(None).cast("string").alias("name"), "perplexity").groupBy("name").agg(limit)), "thresholds")
+    overall = [r["own"] for r in limits.where("name IS NULL").collect()]  # one row, or none
+    judged = perplexities(documents, model).withColumn("name", named).join(limits.where("name IS NOT NULL"), "name", "left")
+    threshold = F.coalesce("own", F.lit(overall[0] if overall else None).cast("double"))
+    return judged.select("doc_id", "lang", "perplexity", threshold.alias("threshold")).withColumn(
+        "kept", F.expr("perplexity IS NOT NULL AND coalesce(perplexity <= threshold, true)")
     )
