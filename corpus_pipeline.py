@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` (packed little-endian ``uint32``), their digest and that of the decoded text."""
     definition = Path(vocabulary).read_text(encoding="utf-8")
-    decoded = bpe.decode(bpe.encode(docs, definition), definition)
+    decoded = bpe.encode(docs, definition, decoded=True)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

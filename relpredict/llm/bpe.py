@@ -11,14 +11,19 @@ from struct import Struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from relpredict.llm.common import slices
+
 #: Fixed value: how byte-level vocabularies of this family cut text into pieces before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _TWO_SPACES = re.compile(r"\s\s")
 #: Entries of a worker's memos of encoded words and pieces; a memo is emptied when full.
-WORD_ENTRIES, PIECE_ENTRIES = 300_000, 600_000
+WORD_ENTRIES, PIECE_ENTRIES = 150_000, 300_000
+#: Characters of text that a worker hands on at a time.
+HAND_ON = 2 << 20
 #: Tokens that the decoder turns into text at a time.
 DECODE_BLOCK = 1 << 16
 
@@ -213,24 +218,32 @@ def _encoder(definition: str) -> Encoder:
     return _ENCODERS[definition]
 
 
-def encode(documents: DataFrame, definition: str) -> DataFrame:
+def encode(documents: DataFrame, definition: str, decoded: bool = False) -> DataFrame:
     """``doc_id`` and ``ids`` (packed little-endian ``uint32``, as training shards hold them) of every row.
 
     ``definition`` is the text of a byte-level ``tokenizer.json``; it is broadcast (its size is that
     of one vocabulary). Equals that library's ``encode(text, add_special_tokens=False)``; the strings
     of added tokens become those tokens. A null or empty text gives no ids. Repeated rows are encoded
-    each; no other column is read. There is no shuffle: one task reads, encodes and hands on.
+    each; no other column is read. There is no shuffle: one task reads, encodes and hands on, a bounded
+    stretch of text at a time. ``decoded`` adds what ``decode`` would, without a second pass.
     """
     shared = documents.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
+        decoder = Decoder(encoder.tokenizer.token_bytes)
         for batch in batches:
-            ids = [encoder.encode(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            for a, b in slices(lengths, HAND_ON):
+                part = batch.slice(a, b - a)
+                ids = [encoder.encode(t.as_py() or "") for t in part.column(1)]
+                columns = [part.column(0), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([decoder.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     kind = documents.select("doc_id").schema[0].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary{', text string' if decoded else ''}")
 
 
 def decode(encoded: DataFrame, definition: str) -> DataFrame:

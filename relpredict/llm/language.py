@@ -21,6 +21,8 @@ LENGTHS = (4, 3, 2, 1)
 FULL_WORDS = 12
 #: Rows of a worker's memo; it is emptied when full.
 MEMO_ROWS = 200_000
+#: Rows that a worker hands on at a time.
+HAND_ON = 500
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -150,7 +152,9 @@ def identified(documents: DataFrame, model: Model, least: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(shared.value)
         for batch in batches:
-            found = (predict(scores, t.as_py()) for t in batch.column("text"))
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            for start in range(0, batch.num_rows, HAND_ON):
+                part = batch.slice(start, HAND_ON)
+                found = (predict(scores, t.as_py()) for t in part.column("text"))
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -15,7 +15,7 @@ from relpredict.llm.mixture import LEVELS, MOST, WEIGHTS, mixture
 from relpredict.llm.near_docs import near_duplicates
 from relpredict.llm.repeats import identified, repeats
 from relpredict.llm.near_vectors import near_vectors
-from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
+from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules, trusted
 from relpredict.llm.url_rules import HOST_RULES, WORDS, url_filter
 
 
@@ -95,7 +95,7 @@ JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = e.v
 def op3_bpe(spark: SparkSession, folder: str, vocabulary: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     definition = Path(vocabulary).read_text(encoding="utf-8")
-    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), definition), definition)
+    decoded = bpe.encode(table(spark, folder, "documents"), definition, decoded=True)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
@@ -200,9 +200,9 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_perplexity(spark: SparkSession, folder: str) -> DataFrame:
-    """Perplexity and verdict of every document; labelled good and not toxic documents are trusted."""
-    trusted = table(spark, folder, "labels").where("quality = 1 AND toxic = 0")
-    return perplexity.classify(table(spark, folder, "documents"), trusted)
+    """Perplexity and verdict of every document; texts that pass the quality rules are trusted."""
+    documents = table(spark, folder, "documents")
+    return perplexity.classify(documents, trusted(documents))
 
 
 def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,6 +67,8 @@ def test_frames(docs, library):
     assert sorted((r["text"] for r in out), key=len) == sorted((t or "" for t in texts), key=len)
     for r in out:
         assert ids(r["ids"]) == library.encode(r["text"], add_special_tokens=False).ids
+    key = lambda r: (str(r["doc_id"]), len(r["ids"]), r["text"])
+    assert sorted(map(key, bpe.encode(frame, DEFINITION, decoded=True).collect())) == sorted(map(key, out))
     assert bpe.encode(frame.limit(0), DEFINITION).count() == 0
 
 
