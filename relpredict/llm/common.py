@@ -50,6 +50,25 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bytes in which the low ``bits`` of each hash (the one column) set a bit, whatever their number.
+
+    At most ``2 ** bits`` bits reach the driver; rows that hit a bit by chance must be told apart later.
+    """
+    low = F.col(hashes.columns[0]).bitwiseAND((1 << bits) - 1)
+    rows = hashes.select(F.shiftright(low, 15).alias("at"), low.bitwiseAND((1 << 15) - 1).alias("bit"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[r["at"] << 12 : (r["at"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among those of ``bitmap``."""
+    low = hashes & (len(bitmap) * 8 - 1)
+    return (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """``name``, or as many underscores before it as no column of ``frame`` has."""
     while name.lower() in {c.lower() for c in frame.columns}:

@@ -184,17 +184,21 @@ def perplexities(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, f"doc_id {kind}, lang string, perplexity double")
 
 
-def classify(documents: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(
+    documents: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, held_out: DataFrame | None = None
+) -> DataFrame:
     """``doc_id``, ``lang``, ``perplexity``, ``threshold`` and ``kept`` of every row of ``documents``.
 
     ``trusted`` has ``text`` and ``lang``; the model is fitted on all of it, and the threshold of a
-    language is a quantile of its trusted perplexities times the margin. A language (null is one)
+    language is a quantile of its trusted perplexities times the margin. With ``held_out`` (the same
+    columns), trusted text that the model has not seen gives the threshold instead. A language (null is one)
     without trusted texts takes the quantile of all. Null and empty texts are not kept; without any
     trusted text there is no threshold and all other rows are kept. Repeated rows are judged each.
     Neither side is shuffled.
     """
     model = fit(trusted)
-    known = perplexities(trusted.select(F.lit(0).alias("doc_id"), "lang", "text"), model).where("perplexity IS NOT NULL")
+    judges = trusted if held_out is None else held_out
+    known = perplexities(judges.select(F.lit(0).alias("doc_id"), "lang", "text"), model).where("perplexity IS NOT NULL")
     named = F.coalesce("lang", F.lit(_LANGUAGE_UNKNOWN))
     limit = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("own")
     limits = stored(known.groupBy(named.alias("name")).agg(limit).union(known.select(F.lit(None).cast("string").alias("name"), "perplexity").groupBy("name").agg(limit)), "thresholds")

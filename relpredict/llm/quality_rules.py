@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from relpredict.llm.common import PIECES, replaced
 
@@ -85,17 +84,6 @@ CASE WHEN size(array_distinct(qr_windows)) = size(qr_windows) THEN 0L ELSE
 """
 
 
-def trusted(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``text`` and ``lang`` of every row, the text null unless it passes the rules.
-
-    A projection and not a filter: a filter would be pushed below the counts and compute them again
-    for each rule.
-    """
-    rows = documents.select(F.struct("text", "lang").alias("doc_id"), "text")
-    judged = quality_rules(rows, rules)
-    return judged.select(F.when(F.col("kept"), F.col("doc_id.text")).alias("text"), "doc_id.lang")
-
-
 def quality_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts and verdicts for every row of ``documents`` (``doc_id``, ``text``), one projection, no shuffle.
 

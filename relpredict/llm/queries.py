@@ -15,7 +15,8 @@ from relpredict.llm.mixture import LEVELS, MOST, WEIGHTS, mixture
 from relpredict.llm.near_docs import near_duplicates
 from relpredict.llm.repeats import identified, repeats
 from relpredict.llm.near_vectors import near_vectors
-from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules, trusted
+from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
+from relpredict.llm.trusted import labelled, split
 from relpredict.llm.url_rules import HOST_RULES, WORDS, url_filter
 
 
@@ -200,9 +201,10 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_perplexity(spark: SparkSession, folder: str) -> DataFrame:
-    """Perplexity and verdict of every document; texts that pass the quality rules are trusted."""
+    """Perplexity and verdict of every document; texts labelled good and not toxic are trusted."""
     documents = table(spark, folder, "documents")
-    return perplexity.classify(documents, trusted(documents))
+    fitted, held_out = split(labelled(documents, table(spark, folder, "labels")))
+    return perplexity.classify(documents, fitted, margin=1.0, held_out=held_out)
 
 
 def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
