@@ -116,7 +116,7 @@ class Model:
         return np.log(np.maximum(lower, 1e-12))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
+def discounts(counts: DataFrame) -> list[float]:
     """The three discounts of modified Kneser-Ney from the numbers of n-grams seen one to four times."""
     found = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
     n1, n2, n3, n4 = (found.get(i, 0) for i in (1, 2, 3, 4))
@@ -138,7 +138,7 @@ def fit(trusted: DataFrame) -> Model:
         levels.append(levels[-1].groupBy(shorter.alias("gram")).agg(F.count("*").alias("n")))
     seen, left, lower = [], [], None
     for order, level in enumerate(reversed(levels), 1):
-        d1, d2, d3 = _discounts(level)
+        d1, d2, d3 = discounts(level)
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         context = F.shiftright("gram", BITS).alias("context")
         totals = level.groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("taken"))

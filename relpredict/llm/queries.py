@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relpredict.llm import bpe, language, perplexity
+from relpredict.llm import bpe, language, word_model
 from relpredict.llm.common import stored
 from relpredict.llm.html_text import extract
 from relpredict.llm.mixture import LEVELS, MOST, WEIGHTS, mixture
@@ -204,7 +204,7 @@ def op9_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     """Perplexity and verdict of every document; texts labelled good and not toxic are trusted."""
     documents = table(spark, folder, "documents")
     fitted, held_out = split(labelled(documents, table(spark, folder, "labels")))
-    return perplexity.classify(documents, fitted, margin=1.0, held_out=held_out)
+    return word_model.classify(documents, fitted, held_out)
 
 
 def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
