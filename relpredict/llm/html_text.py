@@ -159,13 +159,21 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def _dropped(own: dict, other: dict) -> list[int]:
-    """Lines of a page to delete: those outside a marked-up article that its neighbour shares."""
-    hashes, words, marks = own["hashes"], own["words"], own["marks"]
-    aligned = shared_lines(hashes, other["hashes"])
-    if sum(words[i] for i in aligned) >= COPY_SHARE * max(sum(words), 1):
-        return []
-    return [i for i in aligned if not marks[i]]
+def _dropped(own: dict, others: list[dict]) -> list[int]:
+    """Lines of a page to delete, ``others`` being its neighbours on the host, the nearest first.
+
+    Outside a marked-up article what the nearest shares goes; of a page that shares half its text
+    only what both neighbours share, for a template goes on where a copy ends. Inside an article a
+    line goes that both neighbours share, neither of them being a copy. No page loses everything.
+    """
+    words, marks = own["words"], own["marks"]
+    aligned = [shared_lines(own["hashes"], other["hashes"]) for other in others]
+    alike = [sum(words[i] for i in places) >= COPY_SHARE * max(sum(words), 1) for places in aligned]
+    several = len(others) == 2 and others[0]["hashes"] != others[1]["hashes"]
+    both = set(aligned[0]).intersection(aligned[1]) if several else set()
+    gone = both if alike[0] else set(aligned[0])
+    gone = [i for i in sorted(gone | both) if not marks[i] or i in both and not any(alike)]
+    return gone if len(gone) < len(words) else []
 
 
 def _common(a: str, b: str) -> int:
@@ -196,8 +204,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             sides = [row[p] for p in ("before", "after") if row[p] is not None]
             if sides:
-                nearest = max(sides, key=lambda s: _common(row["path"], s["path"]))  # the first of equals
-                if gone := _dropped(row, nearest):
+                sides.sort(key=lambda s: -_common(row["path"], s["path"]))  # the first of equals stays first
+                if gone := _dropped(row, sides):
                     keys.append(row["key"])
                     found.append(gone)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["key", "gone"])
@@ -218,9 +226,9 @@ def extract(pages: DataFrame) -> DataFrame:
     A page is parsed into lines of text; what elements, classes or roles mark as surroundings is left
     out, and only the article counts where one is marked up. Each page is then paired with its
     neighbour in URL path order within its host (the one with the longer common path start, ties to
-    the one before), their lines are aligned by longest common subsequence, and shared lines go: all of
-    them, unless the article is marked up, which says itself what belongs to it. Pages that share half of their text are
-    copies and keep it.
+    the one before), their lines are aligned by longest common subsequence, and shared lines go. Inside
+    a marked-up article, and on pages that share half of their text, a line goes only if the
+    neighbour on the other side shares it too: copies keep their text, templates don't.
 
     Only line hashes are put in order, by a range over host and path, so a crowded host spreads over
     many tasks; neighbours meet through their rank, one row each. The pages themselves are joined

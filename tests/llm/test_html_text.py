@@ -83,3 +83,19 @@ def test_differencing_deletes_shared_lines_of_the_nearest_page(spark):
         (9, "x"),
     ]
     assert extract(frame.limit(0)).count() == 0
+
+
+def test_differencing_reaches_articles_and_crowded_templates(spark):
+    template = "<div>%s</div>" % "</div><div>".join(f"menu entry {i} of this site" for i in range(9))
+    bodies = ["first short story", "second short tale", "third short report"]
+    marked = "<article><p>Follow us daily</p><p>{}</p></article>"
+    rows = [(i, f"http://t.x/n/{i}", f"{template}<p>{b}</p>") for i, b in enumerate(bodies, 1)]
+    rows += [(i + 3, f"http://m.x/n/{i}", marked.format(b + " with more to say")) for i, b in enumerate(bodies, 1)]
+    rows += [(i + 6, f"http://c.x/n/{i}", f"<article><p>{'the same long story ' * 9}</p><p>{b}</p></article>") for i, b in enumerate(bodies, 1)]
+    rows += [(i + 9, f"http://d.x/n/{i}", template) for i in (1, 2, 3)]
+    out = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out[2] == bodies[1]  # the template holds most of its words and stands on both sides
+    assert out[5] == bodies[1] + " with more to say"  # inside the article, in both neighbours
+    assert out[4].startswith("Follow us") and out[6].startswith("Follow us")  # one neighbour is not several
+    assert all(out[i].startswith("the same long story") for i in (7, 8, 9))
+    assert all(out[i] == out[10] != "" for i in (11, 12))
