@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import KEYS, LINKS, TEXT, shop
+from catalog.common import KEYS, LINKS, SHOP, TEXT, cents, shop
 from relpredict.operators import graph as G
 from relpredict.schema import Database, declare
 
@@ -34,6 +34,12 @@ def _neighbors(spark, sf):
     return found.withColumn("hop", F.col("hop").cast("bigint"))
 
 
+def _all_neighbors(spark, sf):
+    db = shop(spark, sf)
+    found = G.temporal_neighbors(db, "customer", _last_orders(db), FANOUT)
+    return found.withColumn("hop", F.col("hop").cast("bigint"))
+
+
 def _uniform_neighbors(spark, sf):
     db = shop(spark, sf)
     return G.temporal_neighbors(db, "customer", _last_orders(db), FANOUT, mode="uniform", random_seed=7)
@@ -41,73 +47,96 @@ def _uniform_neighbors(spark, sf):
 
 QUERIES = {
     "graph_nodes": lambda spark, sf: G.graph_nodes(_keyed_shop(spark, sf)),
+    "graph_nodes_keyless": lambda spark, sf: G.graph_nodes(shop(spark, sf)),
     "graph_edges": lambda spark, sf: G.graph_edges(_keyed_shop(spark, sf)),
     "graph_edges_keyless": lambda spark, sf: G.graph_edges(shop(spark, sf)),
     "graph_node_features": lambda spark, sf: G.node_features(_keyed_shop(spark, sf), "orders"),
+    "graph_node_features_keyless": lambda spark, sf: G.node_features(shop(spark, sf), "lineitem"),
     "temporal_neighbors": _neighbors,
+    "temporal_neighbors_keyless": _all_neighbors,
     "temporal_neighbors_uniform": _uniform_neighbors,
 }
 
-TIMES = {"orders": "o_orderdate", "events": "ts"}
+TIMES = {"orders": "o_orderdate", "events": "ts", "lineitem": "l_shipdate"}
+
+# ``lineitem`` with its content key: the digest of the row as ``shop`` has it, and a number among equal rows.
+_LINE = {
+    "l_orderkey": "l_orderkey", "l_partkey": "l_partkey", "l_suppkey": "l_suppkey", "l_linenumber": "l_linenumber",
+    "l_quantity": "l_quantity", "l_cents": cents("l_extendedprice"), "l_discount_pct": cents("l_discount"),
+    "l_tax_pct": cents("l_tax"), "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "l_shipdate": "l_shipdate",
+}
+_LINE_TEXT = " || '|' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _LINE)
+KEYED_LINES = f"""keyed_lines AS (
+  SELECT * EXCLUDE (h), h || '-' || row_number() OVER (PARTITION BY h) AS row_key
+  FROM (SELECT *, sha256({_LINE_TEXT}) AS h FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in _LINE.items())} FROM lineitem))
+)"""
+
+
+def _key(table: str) -> str:
+    return KEYS.get(table, "row_key")
+
+
+def _rows(table: str) -> str:
+    return "keyed_lines" if table == "lineitem" else table
 
 
-def _nodes_sql() -> str:
+def _nodes_sql(tables: list[str] = KEYED) -> str:
     return "\nUNION ALL ".join(
-        f"SELECT '{t}' AS node_type, CAST({KEYS[t]} AS VARCHAR) AS node_id, CAST({TIMES.get(t, 'NULL')} AS TIMESTAMP) AS time FROM {t}"
-        for t in KEYED
+        f"SELECT '{t}' AS node_type, CAST({_key(t)} AS VARCHAR) AS node_id, CAST({TIMES.get(t, 'NULL')} AS TIMESTAMP) AS time FROM {_rows(t)}"
+        for t in tables
     )
 
 
-def _edges_sql() -> str:
+def _edges_sql(tables: list[str] = KEYED) -> str:
     parts = []
     for child, column, parent in LINKS:
-        if child not in KEYED:
+        if child not in tables:
             continue
-        own, other = f"CAST({KEYS[child]} AS VARCHAR)", f"CAST({column} AS VARCHAR)"
+        own, other = f"CAST({_key(child)} AS VARCHAR)", f"CAST({column} AS VARCHAR)"
         parts.append(
             f"SELECT '{child}.{column}' AS edge_type, '{child}' AS from_type, {own} AS from_id,"
-            f" '{parent}' AS to_type, {other} AS to_id FROM {child} WHERE {column} IS NOT NULL"
+            f" '{parent}' AS to_type, {other} AS to_id FROM {_rows(child)} WHERE {column} IS NOT NULL"
         )
         parts.append(
-            f"SELECT 'rev_{child}.{column}', '{parent}', {other}, '{child}', {own} FROM {child} WHERE {column} IS NOT NULL"
+            f"SELECT 'rev_{child}.{column}', '{parent}', {other}, '{child}', {own} FROM {_rows(child)} WHERE {column} IS NOT NULL"
         )
     return "\nUNION ALL ".join(parts)
 
 
-def _steps_sql(hop: int, frontier: str, table: str, k: int) -> list[str]:
+def _steps_sql(hop: int, frontier: str, table: str, k: int, tables: list[str] = KEYED) -> list[str]:
     """All edges out of one node type, by ranking every visible neighbour of every seed."""
     steps = []
     for child, column, parent in LINKS:
-        if child not in KEYED:
+        if child not in tables:
             continue
         if parent == table:
             time = TIMES.get(child)
             visible = f"AND c.{time} <= f.seed_time" if time else ""
-            order = (f"c.{time} DESC, " if time else "") + f"c.{KEYS[child]} DESC"
+            order = (f"c.{time} DESC, " if time else "") + f"c.{_key(child)} DESC"
             stamp = f"c.{time}" if time else "CAST(NULL AS TIMESTAMP)"
             steps.append(
                 f"SELECT seed_id, seed_time, {hop} AS hop, 'rev_{child}.{column}' AS edge_type, '{table}' AS from_type,"
-                f" node AS from_id, '{child}' AS node_type, c.{KEYS[child]} AS node_id, {stamp} AS time"
-                f" FROM {frontier} f JOIN {child} c ON c.{column} = f.node {visible}"
+                f" node AS from_id, '{child}' AS node_type, c.{_key(child)} AS node_id, {stamp} AS time"
+                f" FROM {frontier} f JOIN {_rows(child)} c ON c.{column} = f.node {visible}"
                 f" QUALIFY row_number() OVER (PARTITION BY seed_id, seed_time, node ORDER BY {order}) <= {k}"
             )
         if child == table:
             steps.append(
                 f"SELECT seed_id, seed_time, {hop} AS hop, '{child}.{column}' AS edge_type, '{table}' AS from_type,"
                 f" node AS from_id, '{parent}' AS node_type, p.{KEYS[parent]} AS node_id, CAST(NULL AS TIMESTAMP) AS time"
-                f" FROM {frontier} f JOIN {child} c ON c.{KEYS[child]} = f.node JOIN {parent} p ON p.{KEYS[parent]} = c.{column}"
+                f" FROM {frontier} f JOIN {_rows(child)} c ON c.{_key(child)} = f.node JOIN {parent} p ON p.{KEYS[parent]} = c.{column}"
             )
     return [f"({step})" for step in steps]
 
 
-def _neighbors_sql() -> str:
-    first = " UNION ALL ".join(_steps_sql(1, "seeds", "customer", FANOUT[0]))
+def _neighbors_sql(tables: list[str] = KEYED) -> str:
+    first = " UNION ALL ".join(_steps_sql(1, "seeds", "customer", FANOUT[0], tables))
     second = []
     for table in ("nation", "orders", "events"):
         frontier = (
             f"(SELECT DISTINCT seed_id, seed_time, node_id AS node FROM first_hop WHERE node_type = '{table}')"
         )
-        second += _steps_sql(2, frontier, table, FANOUT[1])
+        second += _steps_sql(2, frontier, table, FANOUT[1], tables)
     return f"""
 WITH seeds AS (SELECT o_custkey AS seed_id, MAX(o_orderdate) AS seed_time, o_custkey AS node FROM orders GROUP BY ALL),
 first_hop AS ({first}),
@@ -123,4 +152,10 @@ ORACLES = {
     "graph_node_features": """SELECT CAST(o_orderkey AS VARCHAR) AS node_id, o_orderdate AS time, o_orderstatus,
         CAST(ROUND(o_totalprice * 100) AS BIGINT) AS o_cents, o_orderpriority FROM orders""",
     "temporal_neighbors": _neighbors_sql(),
+    "graph_nodes_keyless": f"WITH {KEYED_LINES}\n{_nodes_sql(SHOP)}",
+    "graph_edges_keyless": f"WITH {KEYED_LINES}\n{_edges_sql(SHOP)}",
+    "graph_node_features_keyless": f"""WITH {KEYED_LINES}
+SELECT row_key AS node_id, l_shipdate AS time, l_linenumber, l_quantity, l_cents, l_discount_pct, l_tax_pct, l_returnflag, l_linestatus
+FROM keyed_lines""",
+    "temporal_neighbors_keyless": _neighbors_sql(SHOP).replace("WITH seeds", f"WITH {KEYED_LINES},\nseeds", 1),
 }

@@ -92,3 +92,12 @@ def test_crowded_moment(frame, spark):
     for hot_rows in (1000, 10):
         found = G.temporal_neighbors(db, "hub", start, (3,), hot_rows=hot_rows)
         assert sorted(r.node_id for r in found.collect()) == ["497", "498", "499"]
+
+
+def test_all_tables_are_in_the_graph_and_checked():
+    from catalog import graph
+    from catalog.common import SHOP
+
+    names = {"graph_nodes_keyless", "graph_edges_keyless", "graph_node_features_keyless", "temporal_neighbors_keyless"}
+    assert names <= set(graph.QUERIES) and names <= set(graph.ORACLES)
+    assert all(f"'{t}' AS node_type" in graph.ORACLES["graph_nodes_keyless"] for t in SHOP)
