@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relpredict.llm import bpe, language, word_model
+from relpredict.llm.collocations import FIRST, INSIDE, LEAST, SCALE, collocations
 from relpredict.llm.common import stored
 from relpredict.llm.html_text import extract
+from relpredict.llm.manifest import FAN, FIELDS, manifest
 from relpredict.llm.mixture import LEVELS, MOST, WEIGHTS, mixture
 from relpredict.llm.near_docs import near_duplicates
 from relpredict.llm.repeats import identified, repeats
 from relpredict.llm.near_vectors import near_vectors
+from relpredict.llm.personal_data import personal_data
 from relpredict.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from relpredict.llm.trusted import labelled, split
 from relpredict.llm.url_rules import HOST_RULES, WORDS, url_filter
@@ -260,5 +263,117 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_near_vectors": op2_near_vectors, "op3_bpe": op3_bpe, "op4_html_text": op4_html_text, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_repeats": op7_repeats, "op8_near_documents": op8_near_documents, "op9_perplexity": op9_perplexity, "op10_mixture": op10_mixture}
-ORACLES = {"op1_quality_rules": OP1_SQL, "op2_near_vectors": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_near_documents": OP8_SQL, "op10_mixture": OP10_SQL}
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The proof of every document in the Merkle tree of all, tried on a tampered text for some."""
+    return manifest(table(spark, folder, "documents"))
+
+
+def _joined(values: str, order: str, where: str = "true") -> str:
+    return f"coalesce(string_agg({values}, '' ORDER BY {order}) FILTER ({where}), '')"
+
+
+def _levels(name: str, carried: str, levels: int) -> str:
+    """Steps from ``{name}0`` (tree, leaf, place, digest, size, cur, proof) to its roots; a single node stays as it is."""
+    steps = []
+    for i in range(levels):
+        steps.append(
+            f"""{name}n{i} AS (SELECT DISTINCT tree, place, digest, size FROM {name}{i}),
+{name}s{i} AS (
+  SELECT x.tree, x.place,
+    {_joined("y.digest", "y.place", "y.place < x.place")} AS before, {_joined("y.digest", "y.place", "y.place > x.place")} AS after,
+    string_agg(y.digest, '' ORDER BY y.place) AS whole
+  FROM {name}n{i} x JOIN {name}n{i} y ON x.tree = y.tree AND x.place // {FAN} = y.place // {FAN} GROUP BY x.tree, x.place
+),
+{name}{i + 1} AS (
+  SELECT {carried}, tree, CASE WHEN size > 1 THEN place // {FAN} ELSE place END AS place, (size + {FAN - 1}) // {FAN} AS size,
+    CASE WHEN size > 1 THEN sha256(whole) ELSE digest END AS digest,
+    CASE WHEN size > 1 THEN sha256(before || cur || after) ELSE cur END AS cur,
+    CASE WHEN size > 1 THEN proof || before || after ELSE proof END AS proof
+  FROM {name}{i} JOIN {name}s{i} USING (tree, place)
+)"""
+        )
+    return ",\n".join(steps)
+
+
+def _leaf(text: str) -> str:
+    values = [text if f == "text" else f"CAST({f} AS VARCHAR)" for f in FIELDS]
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + "))"
+
+
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, [ord(x) for x in string_split(CAST(doc_id AS VARCHAR), '')]::BIGINT[]), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])))"
+#: Levels of 16 that the statement goes up inside a source and over the sources.
+_HEIGHTS = 5, 3
+
+OP11_SQL = f"""
+WITH table_of AS (SELECT {_CRC_TABLE} AS crc),
+l AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '-') AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 5 = 0
+      THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+  FROM documents, table_of
+),
+a0 AS (
+  SELECT rid, doc_id, leaf, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS size, leaf AS digest, coalesce(tampered, leaf) AS cur, '' AS proof
+  FROM l
+),
+{_levels("a", "rid, doc_id, leaf", _HEIGHTS[0])},
+b0 AS (
+  SELECT rid, doc_id, leaf, digest AS subroot, '' AS tree, dense_rank() OVER (ORDER BY tree) - 1 AS place,
+    (SELECT count(DISTINCT tree) FROM l) AS size, digest, cur, proof
+  FROM a{_HEIGHTS[0]}
+),
+{_levels("b", "rid, doc_id, leaf, subroot", _HEIGHTS[1])}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = digest AS verified
+FROM b{_HEIGHTS[1]}
+"""
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations(table(spark, folder, "documents"))
+
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+i AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT lang, words[i : i + k - 1] AS words FROM i, range(1, 4) AS r(k) WHERE i + k - 1 <= len(words)),
+f AS MATERIALIZED (SELECT lang, words, count(*) AS n FROM g GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE len(words) = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, words, n AS a FROM f WHERE len(words) > 1 AND n >= {LEAST}),
+cuts AS (SELECT *, unnest(range(1, len(words))) AS k FROM c),
+scored AS (
+  SELECT u.lang, u.words, u.a, u.k, x.n AS l, y.n AS r,
+    CAST({SCALE}::HUGEINT * u.a * u.a // (x.n::HUGEINT * y.n) AS BIGINT) AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.words = u.words[1 : u.k]
+  JOIN f y ON y.lang = u.lang AND y.words = u.words[u.k + 1 :]
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+inside AS (
+  SELECT c.lang, c.words FROM c JOIN c AS o ON o.lang = c.lang AND len(o.words) = 3 AND len(c.words) = 2
+  AND (o.words[1:2] = c.words OR o.words[2:3] = c.words) AND 100 * o.a >= {INSIDE} * c.a
+),
+placed AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank,
+    array_to_string(words, ' ') AS phrase, a, l, r, score
+  FROM lowest ANTI JOIN inside USING (lang, words)
+)
+SELECT lang, rank, phrase, a, l, r, totals.n AS n, score FROM placed JOIN totals USING (lang) WHERE rank <= {FIRST}
+"""
+
+
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the fixed patterns' spans, and all spans."""
+    found = personal_data(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_near_vectors": op2_near_vectors, "op3_bpe": op3_bpe, "op4_html_text": op4_html_text, "op5_language": op5_language, "op6_url_filter": op6_url_filter, "op7_repeats": op7_repeats, "op8_near_documents": op8_near_documents, "op9_perplexity": op9_perplexity, "op10_mixture": op10_mixture, "op11_manifest": op11_manifest, "op12_collocations": op12_collocations, "op13_personal_data": op13_personal_data}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op2_near_vectors": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_near_documents": OP8_SQL, "op10_mixture": OP10_SQL, "op11_manifest": OP11_SQL, "op12_collocations": OP12_SQL}
