@@ -145,6 +145,44 @@ def _own_order_times(db: Database) -> DataFrame:
     return db.rows("orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("cutoff"))
 
 
+def _first_order_times(db: Database) -> DataFrame:
+    """A cutoff per row: for every nation the first order of each of its customers."""
+    owners = db.rows("customer").select("c_custkey", F.col("c_nationkey").alias("entity_id"))
+    first = db.rows("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("cutoff"))
+    return first.join(owners, F.col("o_custkey") == F.col("c_custkey")).select("entity_id", "cutoff").distinct()
+
+
+def _three_levels(spark, sf):
+    """Aggregates of aggregates of aggregates, each nation at the first orders of its customers."""
+    db = shop(spark, sf)
+    pick = Pick(db)
+    quantity = pick.own("lineitem", "l_quantity")
+    per_order = [pick.agg("COUNT", [pick.lines]), pick.agg("SUM", [pick.lines], quantity), pick.agg("MEAN", [pick.lines], quantity)]
+    per_customer = [
+        pick.agg("MAX", [pick.orders], per_order[0]), pick.agg("MEAN", [pick.orders], per_order[1]),
+        pick.agg("MIN", [pick.orders], per_order[2]),
+    ]
+    features = [
+        pick.agg("SUM", [pick.nation], per_customer[0]), pick.agg("MAX", [pick.nation], per_customer[1]),
+        pick.agg("STD", [pick.nation], per_customer[1]), pick.agg("MAX", [pick.nation], per_customer[2]),
+        pick.agg("MAX", [pick.nation, pick.orders], per_order[1]),
+    ]
+    assert {f.name for f in features} <= {f.name for f in plan.enumerate_features(db.graph, "nation", 3)}
+    return _comparable(synthesize_many(db, "nation", _first_order_times(db), features))
+
+
+def _of_looked_up(spark, sf):
+    """Aggregates over what is known of each line's part, every customer at the moments of all own orders."""
+    db = shop(spark, sf)
+    pick = Pick(db)
+    sold = [pick.lookup(pick.part, pick.agg("COUNT", [pick.part])), pick.lookup(pick.part, pick.agg("MAX", [pick.part], pick.own("lineitem", "l_quantity")))]
+    features = [
+        pick.agg("SUM", [pick.orders, pick.lines], sold[0]), pick.agg("MIN", [pick.orders, pick.lines], sold[1]),
+        pick.agg("MAX", [pick.orders], pick.agg("SUM", [pick.lines], sold[0])),
+    ]
+    return _comparable(synthesize_many(db, "customer", _own_order_times(db), features))
+
+
 def _transforms(spark, sf):
     db = shop(spark, sf)
     features = [
@@ -267,6 +305,8 @@ QUERIES = {name: _single(name) for name in SINGLE} | {
     "pit_features_multi_cutoff": _many(MANY, None),
     "pit_features_cutoff_per_row": _many(MANY, _own_order_times),
     "pit_stacked_multi_cutoff": _many(("pit_stacked",), None),
+    "pit_stacked_depth3_cutoff_per_row": _three_levels,
+    "pit_lookup_of_aggregates_cutoff_per_row": _of_looked_up,
     "pit_lookup_multi_cutoff": _many(("parent_lookup", "pit_agg_over_lookup", "entity_direct_features"), None),
     "feature_lineage": _lineage,
     "training_set": _training,
@@ -311,6 +351,38 @@ ORACLES = {name: _orders_sql(*parts) for name, parts in AGGREGATES.items()} | {
     "pit_features_multi_cutoff": _many_sql(EVERY_CUSTOMER, ""),
     "pit_features_cutoff_per_row": _many_sql(EVERY_ORDER, ""),
     "pit_stacked_multi_cutoff": _stacked_sql(CUTS),
+    "pit_stacked_depth3_cutoff_per_row": f"""
+WITH asked AS (SELECT DISTINCT c_nationkey AS entity_id, cutoff FROM customer
+  JOIN (SELECT o_custkey, MIN(o_orderdate) AS cutoff FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+per_order AS (
+  SELECT entity_id, cutoff, c_custkey, o_orderkey, COUNT(l_orderkey) AS n, COALESCE(SUM(l_quantity), 0) AS s,
+         SUM(l_quantity) / NULLIF(COUNT(l_orderkey), 0) AS m
+  FROM asked JOIN customer ON c_nationkey = entity_id LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate <= cutoff
+  LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate <= cutoff GROUP BY ALL),
+per_customer AS (
+  SELECT entity_id, cutoff, c_custkey, MAX(IF(o_orderkey IS NULL, NULL, n)) AS xn,
+         SUM(IF(o_orderkey IS NULL, NULL, s)) / NULLIF(COUNT(o_orderkey), 0) AS ms, MIN(m) AS nm,
+         MAX(IF(o_orderkey IS NULL, NULL, s)) AS xs
+  FROM per_order GROUP BY ALL)
+SELECT entity_id, cutoff, CAST(COALESCE(SUM(xn), 0) AS DOUBLE) AS sum__customer__max__orders__count__lineitem,
+  MAX(ms) AS max__customer__mean__orders__sum__lineitem__l_quantity,
+  ROUND(STDDEV_SAMP(ms), 2) AS std__customer__mean__orders__sum__lineitem__l_quantity,
+  MAX(nm) AS max__customer__min__orders__mean__lineitem__l_quantity,
+  MAX(xs) AS max__customer_orders__sum__lineitem__l_quantity
+FROM per_customer GROUP BY ALL""",
+    "pit_lookup_of_aggregates_cutoff_per_row": f"""
+WITH asked AS ({EVERY_ORDER}),
+seen AS (SELECT entity_id, cutoff, o_orderkey, l_partkey FROM asked
+  JOIN orders ON o_custkey = entity_id AND o_orderdate <= cutoff JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate <= cutoff),
+parts AS (SELECT p.l_partkey, p.cutoff, COUNT(*) AS n, MAX(l.l_quantity) AS x
+  FROM (SELECT DISTINCT l_partkey, cutoff FROM seen) AS p JOIN lineitem AS l ON l.l_partkey = p.l_partkey AND l.l_shipdate <= p.cutoff GROUP BY ALL),
+per_order AS (SELECT entity_id, cutoff, o_orderkey, SUM(n) AS sn, MIN(x) AS nx FROM seen JOIN parts USING (l_partkey, cutoff) GROUP BY ALL),
+orders_at AS (SELECT entity_id, cutoff, o_orderkey, COALESCE(sn, 0) AS sn, nx FROM asked
+  JOIN orders ON o_custkey = entity_id AND o_orderdate <= cutoff LEFT JOIN per_order USING (entity_id, cutoff, o_orderkey))
+SELECT entity_id, cutoff, CAST(SUM(sn) AS DOUBLE) AS sum__orders_lineitem__part__count__lineitem,
+  MIN(nx) AS min__orders_lineitem__part__max__lineitem__l_quantity,
+  CAST(MAX(sn) AS DOUBLE) AS max__orders__sum__lineitem__part__count__lineitem
+FROM orders_at GROUP BY ALL""",
     "pit_lookup_multi_cutoff": f"""
 WITH ev AS ({_LOOKUP}, a.cutoff FROM {CUTS} JOIN orders ON o_orderdate <= a.cutoff
   JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate <= a.cutoff JOIN part ON p_partkey = l_partkey GROUP BY ALL)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def keep(frame: DataFrame) -> DataFrame:
@@ -24,3 +27,22 @@ def keep(frame: DataFrame) -> DataFrame:
 def release(frame: DataFrame) -> None:
     """Drop a cached frame; a checkpoint stays in its folder and needs nothing."""
     frame.unpersist()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where it is unset, on a single machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        folder = tempfile.mkdtemp(prefix="relpredict-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` as a table in the shared folder: what is planned on it starts there."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -6,7 +6,9 @@ The cutoffs are then placed among those positions and read a running merge of th
 
 Aggregates of aggregates change as grandchildren arrive. Each child's value is kept as a step
 function over the entity's cutoffs: an interval is spread over O(log n) nodes of a binary tree,
-states are merged per ``(entity, node)``, and each cutoff reads the nodes above its own leaf.
+states are merged per ``(key, node)``, and each slot that is asked for reads the nodes above its own
+leaf. Step functions go in and come out, so levels stack to any depth; the last one is asked for
+the cutoffs themselves.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from relpredict.functions.states import (
     running_merge,
     stddev_of,
 )
+from relpredict.functions.storage import written
 from relpredict.functions.times import ntz, ntz_sql
 from relpredict.operators.features import (
     ZERO_WHEN_ABSENT,
@@ -38,8 +41,6 @@ from relpredict.operators.features import (
     melt,
     needs_join,
     settled,
-    synthesize_at,
-    union_all,
     visible,
 )
 from relpredict.plans.feature_plan import (
@@ -92,8 +93,7 @@ def synthesize_many(
     """``(entity_id, cutoff, feature...)`` for each requested cutoff of a visible entity.
 
     ``cutoffs`` is a list of anchors that apply to every entity, or a DataFrame with the columns
-    ``entity_id`` and ``cutoff``. Features stacked deeper than an aggregate of an aggregate are
-    computed per anchor, so they need the list form.
+    ``entity_id`` and ``cutoff``. Aggregates may be stacked to any depth in either form.
     """
     if features is None:
         features = enumerate_features(db.graph, entity, max_depth)
@@ -106,8 +106,6 @@ def synthesize_many(
         request = Cutoffs(asked, None, latest, hot_rows)
     else:
         anchors = tuple(sorted(set(cutoffs)))
-        if any(_nesting(f) > 2 for f in features):
-            return union_all([synthesize_at(db, entity, a, features) for a in anchors])
         asked = db.rows(entity).select(
             F.col(spec.primary_key).alias("entity_id"),
             F.explode(F.array(*[ntz(a) for a in anchors])).alias("cutoff"),
@@ -119,37 +117,55 @@ def synthesize_many(
     )
 
 
-def _nesting(feature: Feature | None) -> int:
-    """How many aggregates are stacked in a feature; a lookup starts afresh at its parent."""
+def _moves(feature: Feature | None) -> bool:
+    """Whether the value of a row changes after the row has appeared."""
     if feature is None or feature.kind in ("own", "transform"):
-        return 0
-    if feature.kind == "lookup":
-        return _nesting(feature.base)
-    inner = feature.base
-    if inner is not None and inner.kind == "lookup" and _nesting(inner):
-        return 3  # a lookup of an aggregate inside an aggregate has no step function here
-    return 1 + _nesting(inner)
+        return False
+    return feature.kind == "aggregate" or _moves(feature.base)
+
+
+@dataclass(frozen=True)
+class Chain:
+    """How an aggregate reaches its values: the paths of the stacked aggregates, outermost first.
+
+    Values at the end are those of plain rows, visible once all ``clocks`` are, or, with ``asked``, are
+    looked up over that link and move themselves.
+    """
+
+    paths: tuple[tuple[Link, ...], ...]
+    clocks: tuple[Feature, ...]
+    asked: Link | None
+
+    @property
+    def links(self) -> tuple[Link, ...]:
+        return tuple(link for path in self.paths for link in path)
+
+
+def _chain(db: Database, f: Feature) -> Chain:
+    base = f.base
+    if not _moves(base):
+        return Chain((f.links,), _clocks(db, base), None)
+    if base.kind == "lookup":
+        return Chain((f.links,), (), base.links[0])
+    inner = _chain(db, base)
+    return Chain((f.links, *inner.paths), inner.clocks, inner.asked)
 
 
 def _features_of(db: Database, entity: str, request: Cutoffs, features: Sequence[Feature]) -> DataFrame:
-    too_deep = [f.definition for f in features if _nesting(f) > 2]
-    if too_deep:
-        raise SchemaError(f"needs a list of anchors rather than a cutoff per row: {too_deep[0]}")
-    fixed = [f for f in features if _nesting(f) == 0]
-    out = _fixed_values(db, entity, request, fixed)
-    moving = [f for f in features if f.kind == "lookup" and _nesting(f)]
+    out = _fixed_values(db, entity, request, [f for f in features if not _moves(f)])
+    moving = [f for f in features if f.kind == "lookup" and _moves(f)]
     for links, members in by_links(moving).items():
         out = _join_back(out, _parent_values(db, request, links[0], members), members)
-    flat = [f for f in features if f.kind == "aggregate" and _nesting(f) == 1]
-    for (links, clocks), members in _by_visibility(db, flat).items():
-        out = _join_back(out, _path_values(db, request, links, clocks, members), members)
-    stacked: dict[tuple, list[Feature]] = {}
+    chains: dict[Chain, list[Feature]] = {}
     for f in features:
-        if f.kind == "aggregate" and _nesting(f) == 2:
-            inner = (f.base.links, _clocks(db, f.base.base))
-            stacked.setdefault((f.links, *inner), []).append(f)
-    for (outer, inner, clocks), members in stacked.items():
-        out = _join_back(out, _stacked_values(db, request, outer, inner, clocks, members), members)
+        if f.kind == "aggregate":
+            chains.setdefault(_chain(db, f), []).append(f)
+    for chain, members in chains.items():
+        if len(chain.paths) > 1 or chain.asked:
+            values = _stacked_values(db, request, chain, members)
+        else:
+            values = _path_values(db, request, chain.links, chain.clocks, members)
+        out = _join_back(out, values, members)
     return out
 
 
@@ -172,13 +188,6 @@ def _clocks(db: Database, base: Feature | None) -> tuple[Feature, ...]:
     return tuple(found)
 
 
-def _by_visibility(db: Database, features: Sequence[Feature]) -> dict[tuple, list[Feature]]:
-    groups: dict[tuple, list[Feature]] = {}
-    for f in features:
-        groups.setdefault((f.links, _clocks(db, f.base)), []).append(f)
-    return groups
-
-
 def _fixed_values(db: Database, entity: str, request: Cutoffs, fixed: Sequence[Feature]) -> DataFrame:
     spec = db.spec(entity)
     clocks = {c.name: c for f in fixed for c in _clocks(db, f)}
@@ -456,45 +465,132 @@ def ancestors(slot: str, levels: int) -> str:
     return f"array({', '.join(nodes)})"
 
 
-def _stacked_values(
-    db: Database,
-    request: Cutoffs,
-    outer: Sequence[Link],
-    inner: Sequence[Link],
-    clocks: Sequence[Feature],
-    members: Sequence[Feature],
+def _members_below(members: Sequence[Feature], levels: int) -> list[list[Feature]]:
+    """The aggregates of every level of a chain, outermost first."""
+    found = [list(members)]
+    for _ in range(levels - 1):
+        found.append(distinct_bases(found[-1]))
+    return found
+
+
+def _owners(db: Database, request: Cutoffs, paths: Sequence[Sequence[Link]]) -> list[DataFrame]:
+    """For each path the rows at its end: ``_child``, ``_up`` (their row one path above), ``_group``, ``_seen``.
+
+    ``_group`` is the entity, and ``_seen`` the time from which all rows on the way are visible.
+    """
+    found: list[DataFrame] = []
+    for path in paths:
+        key = db.spec(path[-1].child).primary_key
+        rows = _timed_rows(db, request, path, (), (), keys=[key])
+        rows = rows.selectExpr(f"`{key_name(key)}` AS _child", "_group AS _up", "_seen")
+        found.append(_under(rows, found[-1], ["_child"]) if found else rows.selectExpr("_child", "_up", "_up AS _group", "_seen"))
+    return found
+
+
+def _under(rows: DataFrame, owners: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """``rows`` (with ``_up`` and ``_seen``) of the given owners, with the owners' group and from when both are visible."""
+    above = owners.selectExpr("_child AS _up", "_group", "_seen AS _up_seen")
+    return rows.join(above, "_up", "inner").selectExpr(*kept, "_up", "_group", "greatest(_seen, _up_seen) AS _seen")
+
+
+def _merged_at(
+    intervals: DataFrame, members: Sequence[Feature], keys: Sequence[str], asked: DataFrame, levels: int, carried: Sequence[str] = ()
 ) -> DataFrame:
-    aggregates = distinct_bases(members)
-    child_key = db.spec(outer[-1].child).primary_key
-    # children with the entity they belong to and the time they become visible
-    children = _timed_rows(db, request, outer, (), (), keys=[child_key]).withColumnRenamed(key_name(child_key), "_child")
-    grand = _timed_rows(db, request, inner, clocks, distinct_bases(aggregates))
-    grand = grand.withColumnsRenamed({"_group": "_child", "_seen": "_grand_seen"})
-    values = quoted(b.name for b in distinct_bases(aggregates))
-    grand = grand.join(children, "_child", "inner").selectExpr(
-        "_child", "_group", "greatest(_seen, _grand_seen) AS _seen", *values
-    )
-    grand = _slots(db, request, grand, (*outer, *inner))
-    born = _slots(db, request, children, outer).select("_child", "_group", "_slot")
-    asked, levels = _asked_slots(request)
+    """Aggregates of the values that are alive at each asked slot; what no interval covers is left out.
+
+    ``intervals`` hold a value over ``[_slot, _until)``, ``asked`` has the ``keys`` and ``_slot``.
+    """
+    values = quoted(b.name for b in distinct_bases(members))
+    spread = intervals.selectExpr(*keys, f"explode({cover('_slot', '_until', levels)}) AS _node", *values)
+    nodes, states = _partial_states(spread, members, keys, "_node")
+    reads = asked.selectExpr(*keys, "_slot", *carried, f"explode({ancestors('_slot', levels)}) AS _node")
+    read = reads.join(nodes, [*keys, "_node"], "inner")
+    everything = f"PARTITION BY {', '.join(keys)}, _slot ORDER BY _node"
+    read = read.selectExpr("*", f"lead(_node) OVER ({everything}) IS NULL AS _last")
+    return merge_over(read, states, everything).where("_last").selectExpr(*keys, "_slot", *carried, *_finished(members))
+
+
+def _doubles(members: Sequence[Feature], finished: bool) -> list[str]:
+    """Values of aggregates that are about to be aggregated; counts and sums of nothing are zero."""
+    out = []
+    for f in members:
+        value = f"CAST({_finish(f) if finished else f'`{f.name}`'} AS DOUBLE)"
+        out.append(f"coalesce({value}, 0D) AS `{f.name}`" if f.function in ZERO_WHEN_ABSENT else f"{value} AS `{f.name}`")
+    return out
+
 
+def _lasting(steps: DataFrame, levels: int) -> DataFrame:
+    """Adds ``_until``, the slot of the row's next step."""
+    return steps.selectExpr("*", f"coalesce(lead(_slot) OVER (PARTITION BY _child, _group ORDER BY _slot), {1 << levels}) AS _until")
+
+
+def _steps_of_rows(
+    db: Database, request: Cutoffs, chain: Chain, owners: DataFrame, born: DataFrame, members: Sequence[Feature], levels: int
+) -> DataFrame:
+    """Step functions of the lowest aggregates, from plain rows: ``_child``, ``_up``, ``_group``, ``_slot``, ``_until``, values."""
+    grand = _timed_rows(db, request, chain.paths[-1], chain.clocks, distinct_bases(members)).withColumnRenamed("_group", "_up")
+    values = quoted(b.name for b in distinct_bases(members))
+    grand = _under(grand, owners, values).withColumnRenamed("_up", "_child")
+    grand = _slots(db, request, grand, chain.links)
     # one row per (child, slot) in which the child appears or changes, the appearance first
-    partial, states = _partial_states(grand, aggregates, ["_child", "_group"], "_slot", joined=True)
+    partial, states = _partial_states(grand, members, ["_child", "_group"], "_slot", joined=True)
     steps = partial.withColumn("_tie", F.lit(1)).unionByName(born.withColumn("_tie", F.lit(0)), allowMissingColumns=True)
     ordered = "PARTITION BY _child, _group ORDER BY _slot, _tie"
-    steps = steps.selectExpr("*", f"coalesce(lead(_slot) OVER ({ordered}), {1 << levels}) AS _until")
+    steps = steps.selectExpr(
+        "*", f"coalesce(lead(_slot) OVER ({ordered}), {1 << levels}) AS _until", f"first(_up, true) OVER ({ordered}) AS _owner"
+    )
     steps = merge_over(steps, states, ordered).where("_slot < _until")
-    values = []
-    for f in aggregates:
-        value = f"CAST({_finish(f)} AS DOUBLE)"
-        values.append(f"coalesce({value}, 0D) AS `{f.name}`" if f.function in ZERO_WHEN_ABSENT else f"{value} AS `{f.name}`")
-    intervals = steps.selectExpr("_group", f"explode({cover('_slot', '_until', levels)}) AS _node", *values)
-
-    # merge per tree node, then per cutoff over the nodes above its slot
-    nodes, outer_states = _partial_states(intervals, members, ["_group"], "_node")
-    reads = asked.selectExpr("entity_id AS _group", "cutoff", f"explode({ancestors('_slot', levels)}) AS _node")
-    read = reads.join(nodes, ["_group", "_node"], "inner")
-    everything = "PARTITION BY _group, cutoff ORDER BY _node"
-    read = read.selectExpr("*", f"lead(_node) OVER ({everything}) IS NULL AS _last")
-    merged = merge_over(read, outer_states, everything).where("_last")
-    return merged.selectExpr("_group AS entity_id", "cutoff", *_finished(members))
+    return steps.selectExpr("_child", "_owner AS _up", "_group", "_slot", "_until", *_doubles(members, finished=True))
+
+
+def _steps_of_lookups(
+    db: Database, request: Cutoffs, chain: Chain, members: Sequence[Feature], asked: DataFrame, owners: DataFrame | None
+) -> DataFrame:
+    """Values looked up at a parent whose aggregates move, one interval for each cutoff that can see the row.
+
+    The parent's values are asked for once per ``(parent, cutoff)``, however many rows look there.
+    """
+    link, bases = chain.asked, distinct_bases(members)
+    key = link.child_column
+    rows = _timed_rows(db, request, chain.paths[-1], (), (), keys=[key])
+    rows = rows.selectExpr("_group AS _up", f"`{key_name(key)}` AS _parent", "_seen")
+    if owners is None:
+        rows = rows.selectExpr("*", "_up AS _group")
+    else:
+        rows = _under(rows, owners, ["_parent"])
+    rows = rows.where("_parent IS NOT NULL").join(asked.selectExpr("entity_id AS _group", "cutoff", "_slot"), "_group", "inner")
+    rows = rows.where("_seen <= cutoff").select("_up", "_group", "_parent", "cutoff", "_slot")
+    parents = written(rows.selectExpr("_parent AS entity_id", "cutoff").distinct(), "asked-parents")
+    wanted = Cutoffs(parents, request.anchors, request.latest, request.hot_rows)
+    values = _features_of(db, link.parent, wanted, distinct_bases(bases))
+    values = values.selectExpr("entity_id AS _parent", "cutoff", *[f"CAST(`{b.base.name}` AS DOUBLE) AS `{b.name}`" for b in bases])
+    found = rows.join(values, ["_parent", "cutoff"], "left")
+    return found.selectExpr("_up", "_group", "_slot", "_slot + 1 AS _until", *quoted(b.name for b in bases))
+
+
+def _stacked_values(db: Database, request: Cutoffs, chain: Chain, members: Sequence[Feature]) -> DataFrame:
+    """Aggregates of values that move: from the lowest level up, each the step functions of the next."""
+    below = _members_below(members, len(chain.paths))
+    asked, levels = _asked_slots(request)
+    owners = _owners(db, request, chain.paths[:-1])
+    born = [
+        _slots(db, request, rows, [link for path in chain.paths[: i + 1] for link in path]).select("_child", "_up", "_group", "_slot")
+        for i, rows in enumerate(owners)
+    ]
+    if chain.asked:
+        steps = _steps_of_lookups(db, request, chain, below[-1], asked, owners[-1] if owners else None)
+        open_ = len(owners)
+    else:
+        steps = _steps_of_rows(db, request, chain, owners[-1], born[-1], below[-1], levels)
+        open_ = len(owners) - 1
+    for i in range(open_ - 1, -1, -1):  # the step functions of the rows at the end of path i
+        keys = ["_child", "_group"]
+        steps = written(steps.drop("_child").withColumnRenamed("_up", "_child"), "steps")  # read for its times and its values
+        changes = steps.select(*keys, "_slot").union(born[i].select(*keys, "_slot")).distinct()
+        values = _merged_at(steps, below[i + 1], keys, changes, levels)
+        changed = _lasting(changes, levels).join(values, [*keys, "_slot"], "left")
+        steps = changed.join(born[i].select(*keys, "_up"), keys, "inner")
+        steps = steps.selectExpr("_child", "_up", "_group", "_slot", "_until", *_doubles(below[i + 1], finished=False))
+    ends = asked.selectExpr("entity_id AS _group", "cutoff", "_slot")
+    merged = _merged_at(steps, members, ["_group"], ends, levels, carried=["cutoff"])
+    return merged.selectExpr("_group AS entity_id", "cutoff", *quoted(f.name for f in members))

@@ -193,13 +193,69 @@ def test_interval_cover(frame, spark):
             assert len(above[slot] & set(nodes)) == (1 if a <= slot < b else 0)
 
 
-def test_deep_stacks_need_an_anchor_list(db):
-    features = [f for f in plan.enumerate_features(db.graph, "nation", 3) if f.name == "mean__customer__max__orders__count__lineitem"]
-    anchors = [at("1999-01-01"), at("2000-01-01")]
-    many = synthesize_many(db, "nation", anchors, features)
-    assert_same(many, X.union_all([X.synthesize_at(db, "nation", a, features) for a in anchors]))
-    with pytest.raises(SchemaError):
-        synthesize_many(db, "nation", many.select("entity_id", "cutoff"), features)
+def deep(db, entity, depth, *endings):
+    """Features of stacked or looked-up aggregates whose names end like one of ``endings``."""
+    return [f for f in plan.enumerate_features(db.graph, entity, depth) if f.name in endings]
+
+
+def same_in_all_forms(db, entity, features, anchors):
+    expected = X.union_all([X.synthesize_at(db, entity, a, features) for a in anchors]).cache()
+    assert_same(synthesize_many(db, entity, anchors, features), expected)
+    assert_same(synthesize_many(db, entity, expected.select("entity_id", "cutoff"), features), expected)
+
+
+THREE = (
+    "mean__customer__max__orders__count__lineitem",
+    "std__customer__sum__orders__mean__lineitem__l_quantity",
+    "min__customer__mean__orders__num_unique__lineitem__l_returnflag",
+    "max__customer_orders__mean__lineitem__l_quantity",
+)
+
+
+def test_three_levels_in_all_forms(db):
+    features = deep(db, "nation", 3, *THREE)
+    assert len(features) == 4
+    same_in_all_forms(db, "nation", features, [at("1998-06-01"), at("1999-01-01"), at("2000-01-01")])
+
+
+def test_aggregates_of_looked_up_aggregates_in_all_forms(db):
+    names = ("mean__orders_lineitem__part__count__lineitem", "max__orders__mean__lineitem__part__count__lineitem", "sum__orders__max__lineitem__supplier__std__lineitem__l_quantity")
+    features = deep(db, "customer", 4, *names)
+    assert len(features) == 3
+    same_in_all_forms(db, "customer", features, [at("1998-06-01"), at("2000-01-01")])
+
+
+def test_three_levels_on_edge_rows(frame, small):
+    times = [f"2024-03-0{d}" for d in range(1, 8)]
+    checks = frame(
+        "check_id int, return_id int, checked timestamp_ntz, points double",
+        (1, 100, at("2024-02-21"), 3.0), (2, 100, at("2024-03-01"), 5.0), (3, 101, None, 9.0),
+        (4, 102, at("2024-03-02"), 4.0), (5, 103, at("2024-03-12"), 1.0), (6, 101, at("2024-01-01"), 2.0), (7, None, at("2024-01-01"), 7.0),
+    )
+    db = declare(
+        {**small.tables, "checks": checks},
+        {"customers": "customer_id", "purchases": "purchase_id", "returns": "return_id", "regions": "region_id", "checks": "check_id"},
+        [("customers", "region_id", "regions"), ("purchases", "customer_id", "customers"), ("returns", "purchase_id", "purchases"), ("checks", "return_id", "returns")],
+    )
+    for entity in ("customers", "regions"):
+        wanted = [f for f in plan.enumerate_features(db.graph, entity, 3, aggregations=["COUNT", "MEAN", "STD"]) if f.depth == 3 and f.kind == "aggregate"]
+        assert len(wanted) >= 4
+        same_in_all_forms(db, entity, wanted, [at("2024-02-01"), at("2024-02-22"), *map(at, times[:2]), at("2024-04-01")])
+
+
+def test_uneven_cutoffs_three_levels_deep_see_no_future(db):
+    features = deep(db, "nation", 3, *THREE[:2])
+    asked = db.rows("customer").join(db.rows("orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey", "c_nationkey").agg(F.min("o_orderdate").alias("cutoff"))
+    asked = asked.select(F.col("c_nationkey").alias("entity_id"), "cutoff").distinct()
+    found = synthesize_many(db, "nation", asked, features).cache()
+    assert found.count() == asked.count()
+    last = asked.orderBy("cutoff", "entity_id").limit(6)
+    edge = last.agg(F.max("cutoff")).first()[0]
+    early = found.join(last, ["entity_id", "cutoff"], "left_semi")
+    assert_same(synthesize_many(truncated(db, edge), "nation", last, features), early)
+    for row in last.collect():
+        single = X.synthesize_at(db, "nation", row["cutoff"], features).where(F.col("entity_id") == row["entity_id"])
+        assert_same(single, early.where((F.col("entity_id") == row["entity_id"]) & (F.col("cutoff") == ntz(row["cutoff"]))))
 
 
 def test_lineage(small, spark):
