@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Documents of each language that a model is fitted on, at most (chosen by hash).
 FIT_DOCUMENTS = 4_000
-#: Words, and n-grams of each length, that a model keeps of each language.
+#: Words, and n-grams of each length, that a model keeps of each language, the most frequent ones.
 KEPT_WORDS, KEPT_GRAMS = 30_000, 20_000
 #: Lengths of n-grams, tried from the longest.
 LENGTHS = (4, 3, 2, 1)
@@ -30,19 +30,20 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies per language: of words, and of n-grams by length."""
+    """Rows of ``logs``, log frequencies per language, of words and of n-grams."""
 
     languages: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    logs: np.ndarray
 
 
-def fit(labelled: DataFrame, per_language: int = FIT_DOCUMENTS) -> Model:
+def fit(labelled: DataFrame, per_language: int = FIT_DOCUMENTS, kept_words: int = KEPT_WORDS, kept_grams: int = KEPT_GRAMS) -> Model:
     """A model from ``text`` and ``lang``; rows where either is null teach nothing.
 
     Of each language ``per_language`` documents are expected in the sample (all, if it has fewer),
     drawn by a hash of the text, whole. Counting runs on Spark; what reaches the driver is bounded
-    by the kept words and n-grams of each language.
+    by ``kept_words`` words and ``kept_grams`` n-grams of each length of each language.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     shares = rows.groupBy("lang").agg((F.lit(per_language * 1_000_000.0) / F.count("*")).alias("share"))
@@ -50,7 +51,7 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCUMENTS) -> Model:
     words = drawn.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("item"))
     counts = words.groupBy("lang", "item").agg(F.count("*").alias("n")).withColumn("length", F.lit(0))
     top = Window.partitionBy("lang", "length").orderBy(F.desc("n"), "item")
-    kept = counts.withColumn("place", F.row_number().over(top)).where(F.col("place") <= KEPT_WORDS)
+    kept = counts.withColumn("place", F.row_number().over(top)).where(F.col("place") <= kept_words)
     padded = counts.selectExpr("lang", "concat('^', item, '$') AS item", "n")
     grams = padded.selectExpr(
         "lang",
@@ -59,21 +60,24 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCUMENTS) -> Model:
         "transform(CASE WHEN char_length(item) < k THEN array() ELSE sequence(1, char_length(item) - k + 1) END, i -> substring(item, i, k))))) AS item",
     )
     grams = grams.groupBy("lang", "item").agg(F.sum("n").alias("n")).withColumn("length", F.char_length("item"))
-    grams = grams.withColumn("place", F.row_number().over(top)).where(F.col("place") <= KEPT_GRAMS)
+    grams = grams.withColumn("place", F.row_number().over(top)).where(F.col("place") <= kept_grams)
     found = kept.unionByName(grams).select("lang", "item", "n", "length").toPandas()
 
     languages = tuple(sorted(found["lang"].unique()))
     column = {x: i for i, x in enumerate(languages)}
-    tables: dict[bool, dict[str, np.ndarray]] = {True: {}, False: {}}
+    index: dict[bool, dict[str, int]] = {True: {}, False: {}}
+    logs: list[np.ndarray] = [np.zeros((0, len(languages)))]
+    met = 0
     for length, part in found.groupby("length"):
         totals = np.zeros(len(languages))
         np.add.at(totals, part["lang"].map(column), part["n"])
         items, place = np.unique(part["item"], return_inverse=True)
         values = np.full((len(items), len(languages)), 0.5)
         values[place, part["lang"].map(column)] += part["n"]
-        logs = np.log(values) - np.log(totals + 0.5 * len(items))
-        tables[length == 0].update(zip(items, logs, strict=True))
-    return Model(languages, tables[True], tables[False])
+        logs.append(np.log(values) - np.log(totals + 0.5 * len(items)))
+        index[length == 0].update(zip(items, range(met, met + len(items)), strict=True))
+        met += len(items)
+    return Model(languages, index[True], index[False], np.concatenate(logs))
 
 
 class _Scores(dict):
@@ -93,12 +97,12 @@ class _Scores(dict):
     def score(self, word: str) -> np.ndarray:
         known = self.model.words.get(word)
         if known is not None:
-            return known
+            return self.model.logs[known]
         padded = f"^{word}$"
         for k in LENGTHS:
             found = [g for i in range(len(padded) - k + 1) if (g := self.model.grams.get(padded[i : i + k])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.model.logs[found].mean(axis=0)
         return np.zeros(len(self.model.languages))
 
     def total(self, words: list[str]) -> np.ndarray:

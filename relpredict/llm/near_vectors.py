@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,34 @@ OVERLAP, PROBES = 2, 4
 DEGREE, CANDIDATES, SLACK, BEAM = 24, 64, 1.2, 48
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, lists = batch.num_rows, batch.column(2)
+        lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        row = np.repeat(np.arange(n), lengths)
+        broken = np.bincount(row[~np.isfinite(flat)], minlength=n) > 0
+        top = np.zeros(n)  # scaled by it first, so squares stay finite
+        np.maximum.at(top, row, np.abs(np.nan_to_num(flat, posinf=0, neginf=0)))
+        sound = ~broken & (top > 0) & ~batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        flat, row = flat[sound[row]], row[sound[row]]
+        flat = flat / top[row]
+        flat = flat / np.sqrt(np.bincount(row, flat * flat, minlength=n))[row]
+        ends = np.cumsum(np.where(sound, lengths, 0))
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(~sound, False))
+        units = pa.ListArray.from_arrays(offsets, pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), units], ["vec_id", "label", "unit"])
+
+
 def unit(vectors: DataFrame) -> DataFrame:
     """``vec_id``, ``label`` and ``unit`` (double) of every row; ``unit`` is null for what can't link.
 
     That is a row with a null label, or a vector that is null, empty, zero, or holds a null or a
-    component that isn't finite.
+    component that isn't finite. Each vector is normalised once, where it lies.
     """
+    kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in ("vec_id", "label"))
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    sound = "label IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))"
-    rows = rows.selectExpr("vec_id", "label", f"CASE WHEN {sound} THEN v END AS v")
-    rows = rows.selectExpr("*", "array_max(transform(v, x -> abs(x))) AS top")  # scaled first, so squares stay finite
-    rows = rows.selectExpr("vec_id", "label", "CASE WHEN top > 0 THEN transform(v, x -> x / top) END AS v")
-    rows = rows.selectExpr("*", "sqrt(aggregate(v, 0D, (a, x) -> a + x * x)) AS length")
-    return rows.selectExpr("vec_id", "label", "transform(v, x -> x / length) AS unit")
+    return rows.mapInArrow(_units, f"{kinds}, unit array<double>")
 
 
 def fit_centres(vectors: DataFrame) -> DataFrame:

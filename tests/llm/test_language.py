@@ -29,7 +29,7 @@ def model(spark):
 def test_words_first_then_shorter_grams(model):
     scores = L._Scores(model)
     assert model.languages == ("de", "en")
-    assert (scores.score("house") == model.words["house"]).all()
+    assert (scores.score("house") == model.logs[model.words["house"]]).all()
     assert "houses" not in model.words and scores.score("houses").argmax() == 1  # by 4-grams
     assert scores.score("bau").argmax() == 0
     one = scores.score("uq")

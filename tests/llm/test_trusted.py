@@ -2,8 +2,7 @@ import random
 
 import numpy as np
 from corpus_fixtures import docs  # noqa: F401
-from relpredict.llm import perplexity as P
-from relpredict.llm import queries, trusted as T
+from relpredict.llm import queries, trusted as T, word_model as P
 from relpredict.llm.common import bitmap, may_hold
 
 
@@ -43,5 +42,5 @@ def test_toxic_text_that_passes_the_rules_is_rejected(spark, docs, tmp_path):
 
 def test_held_out_text_gives_the_threshold(docs):
     fitted, held = docs("the cat sat on the mat"), docs("a dog ran to the sun")
-    rows = P.classify(docs("a dog ran to the sun"), fitted, margin=1.0, held_out=held).collect()
+    rows = P.classify(docs("a dog ran to the sun"), fitted, held).collect()
     assert rows[0]["threshold"] == rows[0]["perplexity"] and rows[0]["kept"]
