@@ -141,8 +141,19 @@ def _many_codes(spark, sf):
     return codes.withColumn("code", F.col("code").cast("bigint"))
 
 
+def _effects(spark, sf):
+    """What each market segment and each name does to churn, over all customers and without each fold."""
+    labels = build_labels(shop(spark, sf), CHURN, ANCHOR).drop("cutoff")
+    named = raw(spark, sf, ["customer"])["customer"].select(F.col("c_custkey").alias("entity_id"), "c_mktsegment", "c_name")
+    rows = labels.join(named, "entity_id")
+    prior = rows.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0
+    effects = prep.label_effects(rows, ["c_mktsegment", "c_name"], prior)
+    return effects.select("feature", "value", F.col("fold").cast("bigint").alias("fold"), F.round("effect", 9).alias("effect"))
+
+
 QUERIES = {
     "clean_features": _dirty,
+    "category_effects": _effects,
     "category_codes": _codes,
     "category_codes_large": _many_codes,
     "stratified_split": _split,
@@ -195,6 +206,18 @@ SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) -
 WITH v AS (SELECT 'c_name' AS feature, c_name AS value FROM customer GROUP BY ALL
            UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer GROUP BY ALL)
 SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS code FROM v WHERE value IS NOT NULL""",
+    "category_effects": f"""
+WITH {SCORED},
+rows AS (SELECT 'c_mktsegment' AS feature, c_mktsegment AS value, entity_id, label FROM scored JOIN customer ON c_custkey = entity_id
+         UNION ALL SELECT 'c_name', c_name, entity_id, label FROM scored JOIN customer ON c_custkey = entity_id),
+dealt AS (SELECT *, CAST('0x' || substr(md5(CAST(entity_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS fold FROM rows),
+prior AS (SELECT AVG(CAST(label AS DOUBLE)) AS p FROM scored),
+whole AS (SELECT feature, value, COUNT(*) AS n, SUM(label) AS s FROM dealt GROUP BY ALL),
+own AS (SELECT feature, value, fold, COUNT(*) AS n, SUM(label) AS s FROM dealt GROUP BY ALL),
+kept AS (SELECT feature, value, CAST(-1 AS BIGINT) AS fold, n, s FROM whole
+         UNION ALL SELECT o.feature, o.value, o.fold, w.n - o.n, w.s - o.s
+         FROM own AS o JOIN whole AS w ON o.feature = w.feature AND o.value IS NOT DISTINCT FROM w.value)
+SELECT feature, value, fold, ROUND((s + 10.0::DOUBLE * p) / (n + 10.0::DOUBLE), 9) AS effect FROM kept, prior""",
     "stratified_split": f"""
 WITH {SCORED},
 labelled AS (SELECT c_custkey AS entity_id, COALESCE(v, 0) AS target_value, CAST(COALESCE(v, 0) = 0 AS INT) AS label
