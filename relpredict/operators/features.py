@@ -13,14 +13,17 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from relpredict.functions.storage import written
 from relpredict.functions.times import ntz
 from relpredict.plans.feature_plan import Feature, enumerate_features
 from relpredict.schema import Database, Link, SchemaError
 
 ZERO_WHEN_ABSENT = ("COUNT", "SUM", "NUM_UNIQUE")
+NUMBERED = 1 << 16  # equal rows that one task numbers at a time
 
 
 def synthesize_at(
@@ -225,24 +228,24 @@ def surrogate_key(frame: DataFrame, name: str = "row_key") -> DataFrame:
     """A content key for a table without a primary key, without numbering the table globally.
 
     The key is the digest of the row plus a running number among equal rows. Equal rows are
-    numbered per input partition and shifted by the counts of earlier partitions, so a row that
-    makes up a third of the table is numbered by many tasks, and the keys do not depend on how the
-    table was split.
+    interchangeable, so each is counted, on the map side first, and the counts are expanded into
+    numbers again: keys depend on the rows alone, not on how they were split or in which order tasks
+    ran. A row that makes up a third of the table is one counted row, whose numbers are dealt out to
+    many tasks in blocks.
     """
     pieces = []
-    for c in frame.columns:
-        text = F.col(f"`{c}`").cast("string")
+    for f in frame.schema.fields:
+        text = F.hex(f"`{f.name}`") if isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`").cast("string")
         pieces.append(F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-")))
-    hashed = frame.withColumns(
-        {"_hash": F.sha2(F.concat_ws("|", *pieces), 256), "_part": F.spark_partition_id()}
-    )
-    counts = hashed.groupBy("_hash", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("_hash", "_part", F.sum("_n").over(earlier).alias("_shift")).where("_shift > 0")
-    here = Window.partitionBy("_hash", "_part").orderBy("_part")
-    numbered = hashed.withColumn("_number", F.row_number().over(here)).join(shifts, ["_hash", "_part"], "left")
-    number = F.col("_number") + F.coalesce("_shift", F.lit(0))
-    return numbered.select(*frame.columns, F.concat_ws("-", "_hash", number.cast("string")).alias(name))
+    hashed = frame.select(F.sha2(F.concat_ws("|", *pieces), 256).alias("_hash"), F.struct(*[f"`{c}`" for c in frame.columns]).alias("_row"))
+    counted = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.first("_row").alias("_row"))
+    counted = written(counted, "row-counts")
+    blocks = F.explode(F.expr(f"sequence(0L, (_n - 1) div {NUMBERED})"))
+    few = counted.where(F.col("_n") <= NUMBERED).withColumn("_block", F.lit(0).cast("bigint"))
+    many = counted.where(F.col("_n") > NUMBERED).withColumn("_block", blocks).repartition("_hash", "_block")
+    number = F.explode(F.expr(f"sequence(_block * {NUMBERED} + 1, least(_n, (_block + 1) * {NUMBERED}))"))
+    numbered = few.unionByName(many).withColumn("_number", number)
+    return numbered.select("_row.*", F.concat_ws("-", "_hash", F.col("_number").cast("string")).alias(name))
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

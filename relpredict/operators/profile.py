@@ -1,7 +1,8 @@
 """Profiling jobs: distinct counts, keys, foreign keys and roles found from the data itself.
 
-Exact counts come from grouping each column by its value, on the map side first, so a value that
-fills a third of a column is sent once per task. Long strings travel as their SHA-256 digest.
+Exact counts come from one reading of each table: every row gives a (column, value) entry for each
+of its columns, and entries are grouped on the map side first, so a value that fills a third of a
+column is sent once per task. Long strings travel as a digest.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from relpredict.schema import (
 
 CATEGORICAL_SHARE = 0.5  # distinct / non-null at or below which a string counts as categorical
 ID_PATTERN = r"^id$|_id$"
+LONG = 32  # bytes from which a string is counted by its digest
 
 PROFILE_SCHEMA = (
     "table_name string, position int, column_name string, type string, type_class string,"
@@ -34,14 +36,18 @@ PROFILE_SCHEMA = (
 PROFILE_COLUMNS = [field.split()[0] for field in PROFILE_SCHEMA.split(", ")]
 
 
-def _comparable(column: str, data_type: T.DataType) -> str:
-    """SQL for the value that is counted: the column itself, or the digest of a string."""
+def _entry(column: str, data_type: T.DataType) -> str:
+    """SQL for a short text that tells the column's values apart; other types only tell whether there is one."""
     name = f"`{column}`"
     if type_class(data_type) == "other":
-        return f"IF({name} IS NOT NULL, true, NULL)"
+        return f"IF({name} IS NOT NULL, '', NULL)"
     if isinstance(data_type, T.StringType):
-        return f"sha2({name}, 256)"
-    return name
+        return f"IF(octet_length({name}) > {LONG}, concat('#', md5({name})), concat('=', {name}))"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return f"CAST({name} + 0D AS STRING)"  # both zeros are one value
+    if isinstance(data_type, T.TimestampType):
+        return f"CAST(unix_micros({name}) AS STRING)"  # local time repeats an hour a year
+    return f"CAST({name} AS STRING)"
 
 
 Fields = list[tuple[str, int, T.StructField]]
@@ -72,21 +78,24 @@ def _facts(tables: Mapping[str, DataFrame], fields: Fields) -> DataFrame:
 def profile(tables: Mapping[str, DataFrame], only: set[tuple[str, str]] | None = None) -> DataFrame:
     """``(table_name, position, column_name, type, type_class, n_rows, n_values, n_distinct)``.
 
-    Each column is read alone, which a columnar file gives for free, and grouped by its value; row,
-    value and distinct counts are read off the groups. Nested and binary columns get no distinct
+    Each table is scanned once, whatever its number of columns, and one shuffle serves all of them;
+    row, value and distinct counts are read off the groups. Nested and binary columns get no distinct
     count. ``only`` restricts the profile to some ``(table, column)`` pairs.
     """
     fields = _fields(tables, only)
-    names = sorted(tables)
-    branches = [
-        f"SELECT {i} AS _id, sum(n) AS n_rows, sum(IF(value IS NOT NULL, n, 0)) AS n_values,"
-        f" count(value) AS n_distinct FROM (SELECT value, count(1) AS n FROM"
-        f" (SELECT {_comparable(f.name, f.dataType)} AS value FROM {{t{names.index(name)}}}) GROUP BY value)"
-        for i, (name, _, f) in enumerate(fields)
-    ]
-    session = next(iter(tables.values())).sparkSession
-    used = {f"t{names.index(name)}": tables[name] for name, _, _ in fields}
-    counts = session.sql(" UNION ALL ".join(branches), **used)
+    if not fields:
+        return _facts(tables, fields).selectExpr(*PROFILE_COLUMNS[:5], "0L AS n_rows", "0L AS n_values", "0L AS n_distinct")
+    entries: dict[str, list[str]] = {}
+    for i, (name, _, f) in enumerate(fields):
+        entries.setdefault(name, []).append(f"named_struct('_id', {i}, 'value', {_entry(f.name, f.dataType)})")
+    melted = [tables[name].selectExpr(f"inline(array({', '.join(listed)}))") for name, listed in entries.items()]
+    whole = melted[0]
+    for part in melted[1:]:
+        whole = whole.unionAll(part)
+    groups = whole.groupBy("_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = groups.groupBy("_id").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("n_values"), F.count("value").alias("n_distinct")
+    )
     zero = F.lit(0).cast("bigint")
     return (
         _facts(tables, fields)

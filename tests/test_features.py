@@ -278,10 +278,13 @@ def test_align_and_conform(frame):
     assert rows_of(shaped, "b", "a") == [(None, 1.0), (None, 2.0)]
 
 
-def test_surrogate_key_tells_equal_rows_apart(spark):
-    rows = spark.range(0, 300, 1, 6).selectExpr("id % 3 AS a", "IF(id % 2 = 0, NULL, 'x|1:') AS b")
+def test_surrogate_key_tells_equal_rows_apart(spark, monkeypatch):
+    rows = spark.range(0, 300, 1, 6).selectExpr("id % 3 AS a", "IF(id % 2 = 0, NULL, 'x|1:') AS b", "X'ff' AS c")
     keyed = X.surrogate_key(rows)
-    found = [r.row_key for r in keyed.collect()]
-    assert len(set(found)) == 300
-    again = X.surrogate_key(rows.repartition(2))
-    assert sorted(found) == sorted(r.row_key for r in again.collect())
+    assert keyed.columns == ["a", "b", "c", "row_key"]
+    found = sorted((r.row_key, r.a, r.b) for r in keyed.collect())
+    assert len({k for k, *_ in found}) == 300
+    monkeypatch.setattr(X, "NUMBERED", 7)  # numbers dealt out in blocks, rows in any order and split
+    for again in (rows.repartition(2), rows.orderBy("b", "a"), rows.repartition(11, "a")):
+        assert sorted((r.row_key, r.a, r.b) for r in X.surrogate_key(again).collect()) == found
+    assert X.surrogate_key(rows.limit(0)).count() == 0

@@ -42,6 +42,22 @@ def test_long_strings_differ_beyond_their_prefix(frame):
     assert P.profile(table).first().n_distinct == 2
 
 
+def test_values_of_every_type_are_told_apart(spark):
+    rows = spark.sql("""SELECT * FROM VALUES
+      (0.0D, '', TIMESTAMP '2024-11-03 05:30:00Z', 1.10BD, true, X'00'), (-0.0D, 'a', TIMESTAMP '2024-11-03 06:30:00Z', 1.1BD, false, X'01'),
+      (double('NaN'), repeat('x', 33), NULL, 1.2BD, NULL, X'01'), (double('NaN'), '#' || md5(repeat('x', 33)), NULL, 1.2BD, NULL, NULL) AS t(d, s, t, n, b, x)""")
+    found = {r.column_name: (r.n_rows, r.n_values, r.n_distinct) for r in P.profile({"t": rows}).collect()}
+    assert found == {"d": (4, 4, 2), "s": (4, 4, 4), "t": (4, 2, 2), "n": (4, 4, 2), "b": (4, 2, 2), "x": (4, 3, None)}
+
+
+def test_one_scan_a_table_and_one_shuffle_of_values(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 3 AS a", "CAST(id AS STRING) AS b").write.parquet(f"{tmp_path}/t")
+    spark.range(10).selectExpr("id", "id % 2 AS c").write.parquet(f"{tmp_path}/u")
+    tables = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in "tu"}
+    plan = P.profile(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Aggregate [_id#") == 2
+
+
 def test_primary_keys(profiled):
     keys = dict(rows_of(P.primary_keys(profiled), "table_name", "primary_key"))
     # named after the table (singular or plural, or plain id) first, otherwise the first candidate
