@@ -4,23 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import KEYS, LINKS, SHOP, TEXT, cents, shop
+from catalog.common import KEYS, LINKS, SHOP, cents, shop
 from relpredict.operators import graph as G
-from relpredict.schema import Database, declare
+from relpredict.schema import Database
 
-KEYED = ["region", "nation", "customer", "supplier", "orders", "events"]
 FANOUT = (4, 3)
-
-
-def _keyed_shop(spark, sf) -> Database:
-    """The tables with a key of their own; a content key has no counterpart in SQL."""
-    whole = shop(spark, sf)
-    return declare(
-        {name: whole.rows(name) for name in KEYED},
-        {name: KEYS[name] for name in KEYED},
-        [link for link in LINKS if link[0] in KEYED],
-        text=TEXT,
-    )
+DRAW_SEED = 7
 
 
 def _last_orders(db: Database):
@@ -28,33 +17,22 @@ def _last_orders(db: Database):
     return db.rows("orders").groupBy(F.col("o_custkey").alias("entity_id")).agg(F.max("o_orderdate").alias("seed_time"))
 
 
-def _neighbors(spark, sf):
-    db = _keyed_shop(spark, sf)
-    found = G.temporal_neighbors(db, "customer", _last_orders(db), FANOUT)
-    return found.withColumn("hop", F.col("hop").cast("bigint"))
-
+def _neighbors(mode: str, random_seed: int = 0):
+    def query(spark, sf):
+        db = shop(spark, sf)
+        found = G.temporal_neighbors(db, "customer", _last_orders(db), FANOUT, mode=mode, random_seed=random_seed)
+        return found.withColumn("hop", F.col("hop").cast("bigint"))
 
-def _all_neighbors(spark, sf):
-    db = shop(spark, sf)
-    found = G.temporal_neighbors(db, "customer", _last_orders(db), FANOUT)
-    return found.withColumn("hop", F.col("hop").cast("bigint"))
-
-
-def _uniform_neighbors(spark, sf):
-    db = shop(spark, sf)
-    return G.temporal_neighbors(db, "customer", _last_orders(db), FANOUT, mode="uniform", random_seed=7)
+    return query
 
 
 QUERIES = {
-    "graph_nodes": lambda spark, sf: G.graph_nodes(_keyed_shop(spark, sf)),
-    "graph_nodes_keyless": lambda spark, sf: G.graph_nodes(shop(spark, sf)),
-    "graph_edges": lambda spark, sf: G.graph_edges(_keyed_shop(spark, sf)),
-    "graph_edges_keyless": lambda spark, sf: G.graph_edges(shop(spark, sf)),
-    "graph_node_features": lambda spark, sf: G.node_features(_keyed_shop(spark, sf), "orders"),
+    "graph_nodes": lambda spark, sf: G.graph_nodes(shop(spark, sf)),
+    "graph_edges": lambda spark, sf: G.graph_edges(shop(spark, sf)),
+    "graph_node_features": lambda spark, sf: G.node_features(shop(spark, sf), "orders"),
     "graph_node_features_keyless": lambda spark, sf: G.node_features(shop(spark, sf), "lineitem"),
-    "temporal_neighbors": _neighbors,
-    "temporal_neighbors_keyless": _all_neighbors,
-    "temporal_neighbors_uniform": _uniform_neighbors,
+    "temporal_neighbors": _neighbors("recent"),
+    "temporal_neighbors_uniform": _neighbors("uniform", DRAW_SEED),
 }
 
 TIMES = {"orders": "o_orderdate", "events": "ts", "lineitem": "l_shipdate"}
@@ -80,14 +58,14 @@ def _rows(table: str) -> str:
     return "keyed_lines" if table == "lineitem" else table
 
 
-def _nodes_sql(tables: list[str] = KEYED) -> str:
+def _nodes_sql(tables: list[str] = SHOP) -> str:
     return "\nUNION ALL ".join(
         f"SELECT '{t}' AS node_type, CAST({_key(t)} AS VARCHAR) AS node_id, CAST({TIMES.get(t, 'NULL')} AS TIMESTAMP) AS time FROM {_rows(t)}"
         for t in tables
     )
 
 
-def _edges_sql(tables: list[str] = KEYED) -> str:
+def _edges_sql(tables: list[str] = SHOP) -> str:
     parts = []
     for child, column, parent in LINKS:
         if child not in tables:
@@ -103,22 +81,39 @@ def _edges_sql(tables: list[str] = KEYED) -> str:
     return "\nUNION ALL ".join(parts)
 
 
-def _steps_sql(hop: int, frontier: str, table: str, k: int, tables: list[str] = KEYED) -> list[str]:
+def _drawn(hop: int, k: int, child: str, column: str, timeless: bool) -> str:
+    """Whether a child is drawn, from its number among the ``seen`` ones: one of each of k equal parts."""
+    if timeless:
+        return f"number <= {k}"
+    # the part of a number: the last one that begins before it
+    part = f"list_max([p FOR p IN range(1, {k + 1}) IF (p - 1) * seen // {k} < number])"
+    chance = (
+        f"CAST('0x' || substr(md5(concat_ws('|', seed_id, CAST(epoch(seed_time) AS BIGINT), from_id, {part}, '{child}.{column}', '{DRAW_SEED + hop}')), 1, 15) AS BIGINT)"
+    )
+    first, size = f"(({part}) - 1) * seen // {k}", f"(({part}) * seen // {k} - (({part}) - 1) * seen // {k})"
+    return f"seen <= {k} OR number = {first} + {chance} % {size} + 1"
+
+
+def _steps_sql(hop: int, frontier: str, table: str, k: int, uniform: bool) -> list[str]:
     """All edges out of one node type, by ranking every visible neighbour of every seed."""
     steps = []
     for child, column, parent in LINKS:
-        if child not in tables:
-            continue
         if parent == table:
-            time = TIMES.get(child)
+            time, key = TIMES.get(child), f"c.{_key(child)}"
             visible = f"AND c.{time} <= f.seed_time" if time else ""
-            order = (f"c.{time} DESC, " if time else "") + f"c.{_key(child)} DESC"
             stamp = f"c.{time}" if time else "CAST(NULL AS TIMESTAMP)"
+            if uniform:
+                order = f"c.{time}, {key}" if time else f"md5({key} || '|{DRAW_SEED}'), {key}"
+                picked = _drawn(hop, k, child, column, time is None)
+            else:
+                order = (f"c.{time} DESC, " if time else "") + f"{key} DESC"
+                picked = f"number <= {k}"
             steps.append(
-                f"SELECT seed_id, seed_time, {hop} AS hop, 'rev_{child}.{column}' AS edge_type, '{table}' AS from_type,"
-                f" node AS from_id, '{child}' AS node_type, c.{_key(child)} AS node_id, {stamp} AS time"
-                f" FROM {frontier} f JOIN {_rows(child)} c ON c.{column} = f.node {visible}"
-                f" QUALIFY row_number() OVER (PARTITION BY seed_id, seed_time, node ORDER BY {order}) <= {k}"
+                f"SELECT * EXCLUDE (number, seen) FROM (SELECT seed_id, seed_time, {hop} AS hop, 'rev_{child}.{column}' AS edge_type, '{table}' AS from_type,"
+                f" node AS from_id, '{child}' AS node_type, {key} AS node_id, {stamp} AS time,"
+                f" row_number() OVER (PARTITION BY seed_id, seed_time, node ORDER BY {order}) AS number,"
+                f" count(*) OVER (PARTITION BY seed_id, seed_time, node) AS seen"
+                f" FROM {frontier} f JOIN {_rows(child)} c ON c.{column} = f.node {visible}) WHERE {picked}"
             )
         if child == table:
             steps.append(
@@ -129,16 +124,17 @@ def _steps_sql(hop: int, frontier: str, table: str, k: int, tables: list[str] =
     return [f"({step})" for step in steps]
 
 
-def _neighbors_sql(tables: list[str] = KEYED) -> str:
-    first = " UNION ALL ".join(_steps_sql(1, "seeds", "customer", FANOUT[0], tables))
+def _neighbors_sql(uniform: bool = False) -> str:
+    first = " UNION ALL ".join(_steps_sql(1, "seeds", "customer", FANOUT[0], uniform))
     second = []
     for table in ("nation", "orders", "events"):
         frontier = (
             f"(SELECT DISTINCT seed_id, seed_time, node_id AS node FROM first_hop WHERE node_type = '{table}')"
         )
-        second += _steps_sql(2, frontier, table, FANOUT[1], tables)
+        second += _steps_sql(2, frontier, table, FANOUT[1], uniform)
     return f"""
-WITH seeds AS (SELECT o_custkey AS seed_id, MAX(o_orderdate) AS seed_time, o_custkey AS node FROM orders GROUP BY ALL),
+WITH {KEYED_LINES},
+seeds AS (SELECT o_custkey AS seed_id, MAX(o_orderdate) AS seed_time, o_custkey AS node FROM orders GROUP BY ALL),
 first_hop AS ({first}),
 found AS (SELECT * FROM first_hop UNION ALL {' UNION ALL '.join(second)})
 SELECT CAST(seed_id AS VARCHAR) AS seed_id, seed_time, CAST(hop AS BIGINT) AS hop, edge_type, from_type,
@@ -147,15 +143,17 @@ SELECT CAST(seed_id AS VARCHAR) AS seed_id, seed_time, CAST(hop AS BIGINT) AS ho
 
 
 ORACLES = {
-    "graph_nodes": _nodes_sql(),
-    "graph_edges": _edges_sql(),
+    "graph_nodes": f"WITH {KEYED_LINES}\n{_nodes_sql()}",
+    "graph_edges": f"WITH {KEYED_LINES}\n{_edges_sql()}",
     "graph_node_features": """SELECT CAST(o_orderkey AS VARCHAR) AS node_id, o_orderdate AS time, o_orderstatus,
         CAST(ROUND(o_totalprice * 100) AS BIGINT) AS o_cents, o_orderpriority FROM orders""",
-    "temporal_neighbors": _neighbors_sql(),
-    "graph_nodes_keyless": f"WITH {KEYED_LINES}\n{_nodes_sql(SHOP)}",
-    "graph_edges_keyless": f"WITH {KEYED_LINES}\n{_edges_sql(SHOP)}",
     "graph_node_features_keyless": f"""WITH {KEYED_LINES}
 SELECT row_key AS node_id, l_shipdate AS time, l_linenumber, l_quantity, l_cents, l_discount_pct, l_tax_pct, l_returnflag, l_linestatus
 FROM keyed_lines""",
-    "temporal_neighbors_keyless": _neighbors_sql(SHOP).replace("WITH seeds", f"WITH {KEYED_LINES},\nseeds", 1),
+    "temporal_neighbors": _neighbors_sql(),
+    "temporal_neighbors_uniform": _neighbors_sql(uniform=True),
 }
+
+# Earlier names of the queries over all eight tables.
+for _name in ("graph_nodes", "graph_edges", "temporal_neighbors"):
+    QUERIES[f"{_name}_keyless"], ORACLES[f"{_name}_keyless"] = QUERIES[_name], ORACLES[_name]

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from relpredict.functions.states import State, has_hot_group, running_merge
-from relpredict.functions.times import ntz, seconds
-from relpredict.operators.cutoffs import ALWAYS, HOT_ROWS
+from relpredict.functions.storage import written
+from relpredict.functions.times import ntz, ntz_sql, seconds
+from relpredict.operators.cutoffs import ALWAYS
 from relpredict.operators.features import surrogate_key, union_all
-from relpredict.schema import Database, Hop
+from relpredict.schema import Database, Link
 
 NO_TIME = "timestamp_ntz"
 
@@ -43,29 +44,30 @@ def graph_nodes(db: Database) -> DataFrame:
 
 
 def graph_edges(db: Database) -> DataFrame:
-    """``(edge_type, from_type, from_id, to_type, to_id)``: each known foreign key, both ways."""
+    """``(edge_type, from_type, from_id, to_type, to_id)``: each known foreign key, both ways.
+
+    Each child table is read once for all of its links.
+    """
     parts = []
-    for link in db.graph.links:
-        rows, key = _keyed(db, link.child)
-        child = F.col(key).cast("string")
-        parent = F.col(link.child_column).cast("string")
-        known = rows.where(F.col(link.child_column).isNotNull())
-        both = F.array(
-            F.struct(
-                F.lit(f"{link.child}.{link.child_column}").alias("edge_type"),
-                F.lit(link.child).alias("from_type"), child.alias("from_id"),
-                F.lit(link.parent).alias("to_type"), parent.alias("to_id"),
-            ),
-            F.struct(
-                F.lit(f"rev_{link.child}.{link.child_column}").alias("edge_type"),
-                F.lit(link.parent).alias("from_type"), parent.alias("from_id"),
-                F.lit(link.child).alias("to_type"), child.alias("to_id"),
-            ),
-        )
-        parts.append(known.select(F.explode(both).alias("_edge")).select("_edge.*"))
+    for table, links in _links_by_child(db.graph.links).items():
+        rows, key = _keyed(db, table)
+        child = f"CAST(`{key}` AS STRING)"
+        both = []
+        for link in links:
+            name, parent = f"{table}.{link.child_column}", f"CAST(`{link.child_column}` AS STRING)"
+            both.append(f"named_struct('edge_type', '{name}', 'from_type', '{table}', 'from_id', {child}, 'to_type', '{link.parent}', 'to_id', {parent})")
+            both.append(f"named_struct('edge_type', 'rev_{name}', 'from_type', '{link.parent}', 'from_id', {parent}, 'to_type', '{table}', 'to_id', {child})")
+        parts.append(rows.selectExpr(f"inline(array({', '.join(both)}))").where("from_id IS NOT NULL AND to_id IS NOT NULL"))
     return union_all(parts)
 
 
+def _links_by_child(links: Iterable[Link]) -> dict[str, list[Link]]:
+    found: dict[str, list[Link]] = {}
+    for link in links:
+        found.setdefault(link.child, []).append(link)
+    return found
+
+
 def node_features(db: Database, table: str) -> DataFrame:
     """Key, time and the numeric and categorical columns of a node type; text is left out."""
     spec = db.spec(table)
@@ -83,7 +85,6 @@ def temporal_neighbors(
     fanout: Sequence[int] = (64, 64),
     mode: str = "recent",
     random_seed: int = 0,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Up to ``fanout[h]`` neighbours per edge type, hop by hop, none later than the seed's time.
 
@@ -92,113 +93,117 @@ def temporal_neighbors(
 
     ``recent`` takes the latest rows (larger key first among equals); ``uniform`` takes one seeded
     draw from each of k equal parts of the visible past. Either way a node's children are numbered
-    once in time order, each request learns how many of them it can see, and then asks for k
-    numbers by an equi-join. No request is ever paired with all children of a node.
+    in time order, each request learns how many of them it can see, and then asks for k numbers by
+    an equi-join. No request is ever paired with all children of a node.
+
+    All links are one table of adjacent rows, written once, and a hop is one pass over it: what the hop
+    finds is written and is the next one's frontier, so the plan grows with hops and not with paths.
     """
     if mode not in ("recent", "uniform"):
         raise ValueError(f"unknown mode {mode!r}")
-    seeds = seeds.select("entity_id", F.col("seed_time").cast("timestamp_ntz")).distinct()
-    pk_type = dict(db.rows(entity).dtypes)[db.spec(entity).primary_key]
-    frontier = {
-        entity: seeds.select(
-            F.col("entity_id").cast("string").alias("seed_id"), "seed_time",
-            F.col("entity_id").cast(pk_type).alias("_node"),
-        )
-    }
+    seeds = seeds.select(F.col("entity_id").cast("string").alias("seed_id"), F.col("seed_time").cast("timestamp_ntz")).distinct()
+    frontier = seeds.select("seed_id", "seed_time", F.lit(entity).alias("node_type"), F.col("seed_id").alias("node_id"))
+    tables, used = [{entity}], set()
+    for _ in fanout:
+        steps = [k for k in db.graph.links if tables[-1] & {k.parent, k.child}]
+        used |= set(steps)
+        tables.append({k.child for k in steps if k.parent in tables[-1]} | {k.parent for k in steps if k.child in tables[-1]})
+    links = [k for k in db.graph.links if k in used]
+    adjacent = written(_adjacent(db, links, mode, random_seed), "adjacent")
     found = []
     for hop, k in enumerate(fanout, start=1):
-        reached: dict[str, list[DataFrame]] = {}
-        for table, asked in frontier.items():
-            steps = [Hop(link, down=True) for link in db.graph.children(table)]
-            steps += [Hop(link, down=False) for link in db.graph.parents(table)]
-            for step in steps:
-                if step.down:
-                    edges = _sample_children(db, asked, step, k, mode, random_seed + hop, hot_rows)
-                else:
-                    edges = _parents(db, asked, step)
-                link = step.link
-                name = f"{link.child}.{link.child_column}"
-                age = seconds(F.col("seed_time")) - seconds(F.col("time"))
-                found.append(
-                    edges.select(
-                        "seed_id", "seed_time", F.lit(hop).alias("hop"),
-                        F.lit(f"rev_{name}" if step.down else name).alias("edge_type"),
-                        F.lit(table).alias("from_type"), F.col("_node").cast("string").alias("from_id"),
-                        F.lit(step.table).alias("node_type"), F.col("_next").cast("string").alias("node_id"),
-                        "time", age.alias("age_seconds"),
-                    )
-                )
-                if hop < len(fanout) and (db.graph.children(step.table) or db.graph.parents(step.table)):
-                    reached.setdefault(step.table, []).append(
-                        edges.select("seed_id", "seed_time", F.col("_next").alias("_node"))
-                    )
-        frontier = {table: union_all(parts).distinct() for table, parts in reached.items()}
+        edges = _children(adjacent, frontier, k, mode, random_seed + hop).unionByName(_parents(db, adjacent, frontier, links))
+        edges = edges.select(
+            "seed_id", "seed_time", F.lit(hop).alias("hop"), "edge_type", "from_type", "from_id", "node_type", "node_id",
+            "time", (seconds(F.col("seed_time")) - seconds(F.col("time"))).alias("age_seconds"),
+        )
+        found.append(written(edges, f"hop-{hop}"))
+        frontier = found[-1].select("seed_id", "seed_time", "node_type", "node_id").distinct()
     return union_all(found)
 
 
-def _parents(db: Database, asked: DataFrame, step: Hop) -> DataFrame:
-    link = step.link
-    child, key = _keyed(db, link.child)
-    parent = db.rows(link.parent).select(
-        F.col(link.parent_column).alias("_next"), _time_of(db, link.parent).alias("time")
-    )
-    timeless = db.spec(link.parent).time_index is None
-    pairs = child.select(F.col(key).alias("_node"), F.col(link.child_column).alias("_fk"))
-    out = asked.join(pairs, "_node", "inner").join(parent, F.col("_fk") == F.col("_next"), "inner")
-    return out if timeless else out.where(F.col("time") <= F.col("seed_time"))
+def _rising(key: str, data_type: T.DataType) -> str:
+    """SQL for a text that sorts as the key does."""
+    if isinstance(data_type, T.IntegralType):
+        return f"lpad(CAST(CAST(`{key}` AS DECIMAL(20,0)) + {1 << 63}BD AS STRING), 20, '0')"
+    return f"CAST(`{key}` AS STRING)"
 
 
-def _sample_children(
-    db: Database, asked: DataFrame, step: Hop, k: int, mode: str, random_seed: int, hot_rows: int
-) -> DataFrame:
-    link = step.link
-    rows, key = _keyed(db, link.child)
-    timeless = db.spec(link.child).time_index is None
-    children = rows.select(
-        F.col(link.child_column).alias("_node"),
-        (ntz(ALWAYS) if timeless else _time_of(db, link.child)).alias("_at"),
-        F.col(key).alias("_next"),
-    ).where(F.col("_node").isNotNull() & F.col("_at").isNotNull())
-    if timeless:
-        return _sample_timeless(asked, children, k, mode, random_seed)
-    needed = asked.select("_node", F.col("seed_time").alias("_at")).distinct()
-    # number the children of the nodes in question; requests sort behind the children they can see
-    mine = children.join(needed.select("_node").distinct(), "_node", "left_semi")
-    limit = None
-    if has_hot_group(mine.select("_node").unionAll(needed.select("_node")), "_node", hot_rows):
-        limit = hot_rows
-        if mode == "recent":
-            # no request takes more than k rows of one moment, so a crowded moment needs only those
-            moment = Window.partitionBy("_node", "_at").orderBy(F.desc("_next"))
-            mine = mine.withColumn("_place", F.row_number().over(moment)).where(F.col("_place") <= k).drop("_place")
-    events = mine.withColumns({"_ask": F.lit(0), "_count": F.lit(1)}).unionByName(
-        needed.withColumns({"_ask": F.lit(1), "_count": F.lit(0)}), allowMissingColumns=True
-    )
-    numbered = running_merge(events, [State("add", "_count")], "_node", ["_at", "_ask", "_next"], "_at", limit)
-    ranked = numbered.where("_ask = 0").select(
-        "_node", F.col("_count").alias("_number"), "_next", F.col("_at").alias("time")
-    )
-    seen = numbered.where("_ask = 1 AND _count > 0").select(
-        "_node", F.col("_at").alias("seed_time"), F.col("_count").alias("_seen")
-    )
-    requests = asked.join(seen, ["_node", "seed_time"], "inner")
-    wanted = _recent_numbers(k) if mode == "recent" else _drawn_numbers(k, random_seed, link.child_column)
-    picked = requests.withColumn("_number", F.explode(wanted)).join(ranked, ["_node", "_number"], "inner")
-    return picked.select("seed_id", "seed_time", "_node", "_next", "time")
+def _adjacent(db: Database, links: Sequence[Link], mode: str, random_seed: int) -> DataFrame:
+    """``(link, parent_type, parent_id, child_type, child_id, at, tie)`` of every known link.
+
+    ``at`` is null where the child has a time that is unknown, and a moment before all others where its
+    table has none; ``tie`` orders children of one moment. Each child table is read once.
+    """
+    parts = []
+    for table, own in _links_by_child(links).items():
+        rows, key = _keyed(db, table)
+        spec = db.spec(table)
+        tie = _rising(key, rows.schema[key].dataType)
+        if spec.time_index is None and mode == "uniform":  # all requests see all of them, in one seeded order
+            tie = f"concat(md5(concat_ws('|', CAST(`{key}` AS STRING), '{random_seed}')), {tie})"
+        ends = [f"named_struct('link', '{table}.{k.child_column}', 'parent_type', '{k.parent}', 'parent_id', CAST(`{k.child_column}` AS STRING))" for k in own]
+        at = ntz_sql(ALWAYS) if spec.time_index is None else f"`{spec.time_index}`"
+        kept = rows.selectExpr(f"inline(array({', '.join(ends)}))", f"'{table}' AS child_type", f"CAST(`{key}` AS STRING) AS child_id", f"{at} AS at", f"{tie} AS tie")
+        parts.append(kept.where("parent_id IS NOT NULL"))
+    return union_all(parts)
 
 
-def _sample_timeless(
-    asked: DataFrame, children: DataFrame, k: int, mode: str, random_seed: int
-) -> DataFrame:
-    """Every request of a node sees the same children, so k of them are picked once per node.
+def _numbered(events: DataFrame) -> DataFrame:
+    """Adds ``_count``: the children of the node up to each row, in the order of ``at``, ``ask`` and ``tie``.
 
-    The rank limit is applied on the map side as well, so a crowded node sends k rows per task.
+    Rows are sorted into ranges, cut at sampled places and so in the middle of a crowded node or
+    moment too; each range counts for itself and takes over the totals of the node's ranges before it.
     """
-    order = F.desc("_next") if mode == "recent" else F.xxhash64("_next", F.lit(random_seed))
-    place = F.row_number().over(Window.partitionBy("_node").orderBy(order, "_next"))
-    picked = children.withColumn("_place", place).where(F.col("_place") <= k).select("_node", "_next")
-    return asked.join(picked, "_node", "inner").select(
-        "seed_id", "seed_time", "_node", "_next", F.lit(None).cast(NO_TIME).alias("time")
+    ranges = events.repartitionByRange("link", "parent_id", "at", "ask", "tie").withColumn("_part", F.spark_partition_id())
+    ranges = written(ranges, "numbered")
+    node = ["link", "parent_id"]
+    totals = ranges.groupBy(*node, "_part").agg(F.sum(1 - F.col("ask")).alias("_n"))
+    earlier = Window.partitionBy(*node).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").drop("_n")
+    here = Window.partitionBy(*node, "_part").orderBy("at", "ask", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranges.withColumn("_here", F.sum(1 - F.col("ask")).over(here)).join(totals, [*node, "_part"], "left")
+    return inside.withColumn("_count", F.col("_here") + F.coalesce("_before", F.lit(0))).drop("_part", "_here", "_before")
+
+
+def _children(adjacent: DataFrame, frontier: DataFrame, k: int, mode: str, random_seed: int) -> DataFrame:
+    """The sampled children of all nodes of a hop, over all links at once."""
+    known = adjacent.where("at IS NOT NULL")
+    nodes = frontier.select(F.col("node_type").alias("parent_type"), F.col("node_id").alias("parent_id")).distinct()
+    mine = known.join(nodes, ["parent_type", "parent_id"], "left_semi").select("link", "parent_id", "at", F.lit(0).alias("ask"), "tie", "child_type", "child_id")
+    # a moment to ask about for each request and link of its node
+    links = known.select("link", "parent_type", "child_type").distinct()
+    moments = frontier.select(F.col("node_type").alias("parent_type"), F.col("node_id").alias("parent_id"), F.col("seed_time").alias("at")).distinct()
+    asked = moments.join(links, "parent_type").select("link", "parent_id", "at", F.lit(1).alias("ask"), F.lit(None).cast("string").alias("tie"), "child_type", F.lit(None).cast("string").alias("child_id"))
+    counted = written(_numbered(mine.union(asked)), "counted")
+    ranked = counted.where("ask = 0").select("link", "parent_id", F.col("_count").alias("_number"), "child_id", "at")
+    seen = counted.where("ask = 1 AND _count > 0").select("link", "child_type", "parent_id", F.col("at").alias("seed_time"), F.col("_count").alias("_seen"))
+    types = links.select("link", "parent_type")
+    requests = frontier.withColumnsRenamed({"node_type": "parent_type", "node_id": "parent_id"}).join(types, "parent_type").join(seen, ["link", "parent_id", "seed_time"])
+    wanted = _recent_numbers(k) if mode == "recent" else _drawn_numbers(k, random_seed)
+    picked = requests.withColumn("_timeless", F.lit(None).cast("boolean")) if mode == "recent" else requests
+    if mode == "uniform":
+        picked = requests.join(known.where(F.col("at") == ntz(ALWAYS)).select("link", F.lit(True).alias("_timeless")).distinct(), "link", "left")
+    picked = picked.withColumn("_number", F.explode(wanted)).join(ranked, ["link", "parent_id", "_number"])
+    return picked.select(
+        "seed_id", "seed_time", F.concat(F.lit("rev_"), "link").alias("edge_type"), F.col("parent_type").alias("from_type"), F.col("parent_id").alias("from_id"),
+        F.col("child_type").alias("node_type"), F.col("child_id").alias("node_id"), F.when(F.col("at") != ntz(ALWAYS), F.col("at")).alias("time"),
+    )
+
+
+def _parents(db: Database, adjacent: DataFrame, frontier: DataFrame, links: Sequence[Link]) -> DataFrame:
+    """The parents of all nodes of a hop that exist and are visible, over all links at once."""
+    nodes = []
+    for name in dict.fromkeys(k.parent for k in links):
+        rows, key = _keyed(db, name)
+        timeless = db.spec(name).time_index is None
+        nodes.append(rows.select(F.lit(name).alias("parent_type"), F.col(key).cast("string").alias("parent_id"), _time_of(db, name).alias("time"), F.lit(timeless).alias("_timeless")))
+    asked = frontier.withColumnsRenamed({"node_type": "child_type", "node_id": "child_id"})
+    met = asked.join(adjacent.select("link", "parent_type", "parent_id", "child_type", "child_id"), ["child_type", "child_id"])
+    known = met.join(union_all(nodes), ["parent_type", "parent_id"]).where("_timeless OR time <= seed_time")
+    return known.select(
+        "seed_id", "seed_time", F.col("link").alias("edge_type"), F.col("child_type").alias("from_type"), F.col("child_id").alias("from_id"),
+        F.col("parent_type").alias("node_type"), F.col("parent_id").alias("node_id"), "time",
     )
 
 
@@ -207,15 +212,20 @@ def _recent_numbers(k: int) -> Column:
     return F.sequence(F.greatest(seen - (k - 1), F.lit(1).cast("bigint")), seen)
 
 
-def _drawn_numbers(k: int, random_seed: int, salt: str) -> Column:
-    """All numbers when at most k are visible, else one draw from each of k equal parts."""
+def _drawn_numbers(k: int, random_seed: int) -> Column:
+    """All numbers when at most k are visible, else one draw from each of k equal parts.
+
+    Draws come from a digest of seed, time, node, part and link. Timeless children stand in a seeded
+    order already, the same for all requests, so their first k are the draw.
+    """
     seen = F.col("_seen").cast("bigint")
     everything = F.sequence(F.lit(1).cast("bigint"), F.least(seen, F.lit(k).cast("bigint")))
 
     def draw(part: Column) -> Column:
         first = F.floor((part - 1) * seen / k)
         size = F.floor(part * seen / k) - first
-        chance = F.xxhash64("seed_id", "seed_time", "_node", part, F.lit(salt), F.lit(random_seed))
+        text = F.concat_ws("|", "seed_id", seconds(F.col("seed_time")).cast("string"), "parent_id", part.cast("string"), "link", F.lit(str(random_seed)))
+        chance = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
         return (first + F.pmod(chance, size) + 1).cast("bigint")
 
-    return F.when(seen <= k, everything).otherwise(F.transform(everything, draw))
+    return F.when((seen <= k) | F.col("_timeless"), everything).otherwise(F.transform(everything, draw))
