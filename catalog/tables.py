@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from catalog.common import SHOP, TABLES, raw, shop
 from relpredict.operators import profile as P
-from relpredict.sources.tables import row_counts, run_query
+from relpredict.sources.tables import describe_source, load_source, row_counts, run_query
 
 ID_PATTERN = "(key|_id)$"
 PREFIX_PATTERN = "^[a-z]_"
@@ -118,6 +119,9 @@ QUERIES = {
         " WHERE o_orderstatus = :status AND o_totalprice > :least GROUP BY c_mktsegment",
         {"status": "F", "least": 1000.0},
     ),
+    "list_source": lambda spark, sf: describe_source(load_source(spark, sf)).select(
+        "table_name", F.col("position").cast("bigint").alias("position"), "column_name", "n_rows"
+    ),
     "column_profile": _profiled,
     "primary_keys": lambda spark, sf: P.primary_keys(_profiled_ids(spark, sf), ID_PATTERN),
     "foreign_keys": lambda spark, sf: P.foreign_keys(_profiled_ids(spark, sf), ID_PATTERN, PREFIX_PATTERN),
@@ -136,6 +140,10 @@ ORACLES = {
     ),
     "parameterised_query": "SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey"
     " WHERE o_orderstatus = 'F' AND o_totalprice > 1000 GROUP BY c_mktsegment",
+    "list_source": "SELECT c.table_name, CAST(c.ordinal_position - 1 AS BIGINT) AS position, c.column_name, n.n_rows"
+    " FROM information_schema.columns AS c JOIN ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in sorted(TABLES))
+    + ") AS n ON n.table_name = c.table_name",
     "column_profile": PROFILE_SQL,
     "primary_keys": f"WITH {KEYS_CTE} SELECT * FROM pks",
     "primary_keys_shortlist": f"WITH {KEYS_CTE} SELECT * FROM pks",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ JDBC_DRIVERS = {
     "jdbc:postgresql:": "org.postgresql.Driver",
     "jdbc:mysql:": "com.mysql.cj.jdbc.Driver",
 }
+ROWS_PER_SLICE = 1_000_000  # rows that one task reads from a database
 FILE_FORMATS = {".parquet": "parquet", ".csv": "csv", ".orc": "orc", ".json": "json"}
 
 
@@ -68,6 +69,13 @@ class JdbcSource:
         return opts
 
 
+    def listing_options(self) -> dict[str, str]:
+        """Options that read the list of columns of the source's schema."""
+        opts = replace(self, partition_column=None).options()
+        del opts["dbtable"]
+        return opts | {"query": columns_query(self)}
+
+
 Source = str | JdbcSource | DataFrame
 
 
@@ -91,6 +99,71 @@ def load_tables(spark: SparkSession, sources: Mapping[str, Source]) -> dict[str,
     return {name: normalise(read_table(spark, sources[name])) for name in sorted(sources)}
 
 
+# -- what a source holds -----------------------------------------------------------------------
+
+
+def folder_tables(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Table name to path of every readable file or directory of a folder, in name order.
+
+    The folder is listed through Spark's own file systems, so it may be anywhere that Spark reads.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [PurePosixPath(entry.getPath().getName()) for entry in listed]
+    return {n.stem: f"{folder.rstrip('/')}/{n}" for n in sorted(names, key=lambda n: n.stem) if n.suffix.lower() in FILE_FORMATS}
+
+
+def catalog_tables(spark: SparkSession, database: str) -> dict[str, str]:
+    """Table name to qualified name of every table of a catalog database, in name order."""
+    return {t.name: f"`{database}`.`{t.name}`" for t in sorted(spark.catalog.listTables(database), key=lambda t: t.name) if not t.isTemporary}
+
+
+def columns_query(source: JdbcSource) -> str:
+    """The SQL that lists a database schema: tables by name, columns by position."""
+    schema = "DATABASE()" if source.schema is None and source.url.startswith("jdbc:mysql:") else f"'{source.schema or 'public'}'"
+    return (
+        "SELECT table_name AS table_name, ordinal_position AS position, column_name AS column_name, data_type AS type"
+        f" FROM information_schema.columns WHERE table_schema = {schema}"
+    )
+
+
+def jdbc_tables(spark: SparkSession, source: JdbcSource) -> dict[str, JdbcSource]:
+    """Every table of the schema that ``source`` points into, in name order, read as ``source`` is."""
+    options = source.listing_options()
+    names = spark.read.format("jdbc").options(**options).load().select("table_name").distinct().orderBy("table_name").collect()
+    return {r["table_name"]: replace(source, table=r["table_name"], partition_column=None) for r in names}
+
+
+def load_source(spark: SparkSession, source: str | JdbcSource) -> dict[str, DataFrame]:
+    """All tables of a folder, a catalog database or a database schema. Nothing but its listing is read yet."""
+    if isinstance(source, JdbcSource):
+        return load_tables(spark, jdbc_tables(spark, source))
+    return load_tables(spark, folder_tables(spark, source) if "/" in source else catalog_tables(spark, source))
+
+
+def describe_source(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``(table_name, position, column_name, type, n_rows)``: columns by position, from 0, of tables by name."""
+    session = next(iter(tables.values())).sparkSession
+    facts = [(name, i, f.name, f.dataType.simpleString()) for name in sorted(tables) for i, f in enumerate(tables[name].schema.fields)]
+    listed = session.createDataFrame(facts, "table_name string, position int, column_name string, type string")
+    return listed.join(row_counts(tables), "table_name")
+
+
+def sliced(source: JdbcSource, lower: int, upper: int, rows: int, per_slice: int = ROWS_PER_SLICE) -> JdbcSource:
+    """``source`` read in slices of about ``per_slice`` rows between measured bounds."""
+    partitions = max(1, -(-rows // per_slice))
+    return replace(source, lower=lower, upper=max(upper, lower) + 1, partitions=partitions)
+
+
+def with_measured_bounds(spark: SparkSession, source: JdbcSource, column: str, per_slice: int = ROWS_PER_SLICE) -> JdbcSource:
+    """``source`` cut into slices of ``column``, whose least and greatest value the database is asked for."""
+    whole = replace(source, partition_column=None)
+    options = whole.options()
+    options["query"] = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi, COUNT(*) AS n FROM {options.pop('dbtable')}"
+    r = spark.read.format("jdbc").options(**options).load().first()
+    return whole if r["lo"] is None else sliced(replace(whole, partition_column=column), int(r["lo"]), int(r["hi"]), int(r["n"]), per_slice)
+
+
 def load_folder(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     return load_tables(spark, {n: f"{folder.rstrip('/')}/{n}.parquet" for n in names})
 

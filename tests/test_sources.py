@@ -68,3 +68,32 @@ def test_prediction_sink(spark, tmp_path, frame):
     S.write_predictions(scores, str(tmp_path / "c"), fmt="csv")
     back = spark.read.option("header", True).csv(str(tmp_path / "c")).select(F.col("score").cast("double"))
     assert sorted(r.score for r in back.collect()) == [0.25, 0.5]
+
+
+def test_a_folder_and_a_database_are_listed_and_loaded(spark, tmp_path, frame):
+    frame("b int, a string", (1, "x"), (2, None)).write.parquet(str(tmp_path / "zoo.parquet"))
+    frame("v int", (5,)).write.option("header", True).csv(str(tmp_path / "ape.csv"))
+    (tmp_path / "notes.txt").write_text("no table")
+    found = S.load_source(spark, str(tmp_path))
+    assert list(found) == ["ape", "zoo"]
+    listed = [(r.table_name, r.position, r.column_name, r.type, r.n_rows) for r in S.describe_source(found).orderBy("table_name", "position").collect()]
+    assert listed == [("ape", 0, "v", "string", 1), ("zoo", 0, "b", "int", 2), ("zoo", 1, "a", "string", 2)]
+    spark.sql("CREATE DATABASE listed_here")
+    try:
+        frame("k int", (1,)).write.saveAsTable("listed_here.two")
+        frame("k int", (1,)).write.saveAsTable("listed_here.one")
+        assert list(S.load_source(spark, "listed_here")) == ["one", "two"]
+    finally:
+        spark.sql("DROP DATABASE listed_here CASCADE")
+
+
+@pytest.mark.parametrize(("url", "schema"), [("jdbc:postgresql://h/s", "'public'"), ("jdbc:mysql://h/s", "DATABASE()")])
+def test_listing_and_slices_of_a_database(url, schema):
+    source = S.JdbcSource(url, "", partition_column="id", lower=0, upper=1)
+    listing = source.listing_options()
+    assert listing["query"].endswith(f"table_schema = {schema}") and "ordinal_position" in listing["query"]
+    assert "dbtable" not in listing and "partitionColumn" not in listing
+    cut = S.sliced(S.JdbcSource(url, "t", partition_column="id"), -5, 10_000_004, 9_500_000)
+    opts = cut.options()
+    assert (opts["lowerBound"], opts["upperBound"], opts["numPartitions"]) == ("-5", "10000005", "10")
+    assert S.sliced(cut, 7, 7, 0).options()["numPartitions"] == "1"
