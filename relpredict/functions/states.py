@@ -13,8 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relpredict.functions.times import seconds
-
 
 @dataclass(frozen=True)
 class State:
@@ -109,60 +107,28 @@ def merge_pair(states: Sequence[State], left: str, right: str) -> list[str]:
     return out
 
 
-def running_merge(
-    frame: DataFrame, states: Sequence[State], group: str, order: Sequence[str], time: str, hot_rows: int | None
-) -> DataFrame:
+def running_merge(frame: DataFrame, states: Sequence[State], group: str, order: Sequence[str], time: str | None) -> DataFrame:
     """Replace every state by its merge over all earlier rows of the same group, inclusive.
 
-    Without hot groups this is one window. A group with more than ``hot_rows`` rows is cut into
-    contiguous time blocks that different tasks handle; each block then takes over the merged
-    state of the blocks before it. Rows of equal ``order`` must already be merged by the caller.
-    ``hot_rows=None`` says the caller knows that no group is hot.
+    A prefix scan in two levels, the same for every group: rows are merged within the days of their
+    ``time``, the days' totals are merged per group, and each day takes over what was merged before it.
+    No task orders more than a day of a group, or a row per day of it, however crowded a group is.
+    ``time=None`` says that a group has few rows by construction; it is then one window.
+    Rows of equal ``order`` must already be merged by the caller.
     """
     sorting = ", ".join(quoted(order))
-    if hot_rows is None:
+    if time is None:
         return merge_over(frame, states, f"PARTITION BY `{group}` ORDER BY {sorting}")
-
     names = columns_of(states)
-    ordered = f"PARTITION BY `{group}`, _block, _hot ORDER BY {sorting}"
-    blocked = time_blocks(frame, group, time, hot_rows)
-    blocked = blocked.selectExpr("*", f"lead(1) OVER ({ordered}) IS NULL AS _last")
-    inside = merge_over(blocked, states, ordered)
-    totals = inside.where("_hot AND _last").selectExpr(f"`{group}`", "_block", *quoted(names))
-    carry = merge_over(totals, states, f"PARTITION BY `{group}` ORDER BY _block", last="1 PRECEDING").selectExpr(
-        f"`{group}` AS _carry_group", "_block AS _carry_block", *[f"`{c}` AS `_carry_{c}`" for c in names]
+    ordered = f"PARTITION BY `{group}`, _day ORDER BY {sorting}"
+    days = frame.selectExpr("*", f"to_date(`{time}`) AS _day")
+    inside = merge_over(days.selectExpr("*", f"lead(1) OVER ({ordered}) IS NULL AS _last"), states, ordered)
+    totals = inside.where("_last").selectExpr(f"`{group}`", "_day", *quoted(names))
+    carry = merge_over(totals, states, f"PARTITION BY `{group}` ORDER BY _day", last="1 PRECEDING").selectExpr(
+        f"`{group}` AS _carry_group", "_day AS _carry_day", *[f"`{c}` AS `_carry_{c}`" for c in names]
     )
     joined = inside.withColumnsRenamed({c: f"_here_{c}" for c in names}).join(
-        carry,
-        (F.col(group) == F.col("_carry_group")) & (F.col("_block") == F.col("_carry_block")),
-        "left",
+        carry, (F.col(group) == F.col("_carry_group")) & (F.col("_day") == F.col("_carry_day")), "inner"
     )
     keep = quoted(c for c in frame.columns if c not in names)
     return joined.selectExpr(*keep, *merge_pair(states, "_carry_", "_here_"))
-
-
-def time_blocks(frame: DataFrame, group: str, time: str, hot_rows: int) -> DataFrame:
-    """Adds ``_hot`` and ``_block``: 0 for ordinary groups, a time slice number for hot ones.
-
-    There are at most ``rows / hot_rows`` hot groups, so their list stays small; it is joined
-    without a hint and left to adaptive execution to broadcast by its measured size. Sixteen
-    slices per ``hot_rows`` rows leave room for uneven density.
-    """
-    second = seconds(F.col(time))
-    hot = (
-        frame.groupBy(F.col(group).alias("_hot_group"))
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(second).alias("_from"), F.max(second).alias("_to"))
-        .where(F.col("_rows") > hot_rows)
-        .selectExpr("_hot_group", "_from", f"(_to - _from + 1) / (ceil(_rows / {hot_rows}) * 16) AS _width")
-    )
-    joined = frame.withColumn("_second", second).join(hot, F.col(group) == F.col("_hot_group"), "left")
-    return joined.selectExpr(
-        *quoted(frame.columns),
-        "_from IS NOT NULL AS _hot",
-        "coalesce(floor((_second - _from) / _width), 0L) AS _block",
-    )
-
-
-def has_hot_group(frame: DataFrame, group: str, hot_rows: int) -> bool:
-    """Whether some group has more than ``hot_rows`` rows; one narrow counting job."""
-    return not frame.groupBy(group).count().where(F.col("count") > hot_rows).isEmpty()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +37,23 @@ def shift_column(moment: Column, amount: int, unit: str) -> Column:
     return moment + F.make_interval(**{unit: F.lit(amount)})
 
 
+def moments_sql(moments: Sequence[dt.datetime]) -> str:
+    return f"array({', '.join(map(ntz_sql, moments))})"
+
+
+def moments_before(time: str, moments: Sequence[dt.datetime]) -> str:
+    """SQL for how many of the sorted ``moments`` lie before a time (null for an unknown one).
+
+    A binary search in a constant array: its steps grow with the logarithm of the list, and the
+    expression has one size for any list.
+    """
+    middle = "shiftright(s.lo + s.hi, 1)"
+    right, left = f"named_struct('lo', {middle} + 1, 'hi', s.hi)", f"named_struct('lo', s.lo, 'hi', {middle})"
+    step = f"IF(s.lo < s.hi, IF(element_at({moments_sql(moments)}, {middle} + 1) < {time}, {right}, {left}), s)"
+    found = f"aggregate(sequence(1, {len(moments).bit_length()}), named_struct('lo', 0, 'hi', {len(moments)}), (s, i) -> {step}, s -> s.lo)"
+    return f"IF({time} IS NULL, NULL, {found})" if moments else f"IF({time} IS NULL, NULL, 0)"
+
+
 def seconds(moment: Column) -> Column:
     """Seconds since 1970 of a zone-less time, without a detour through the session's zone."""
     days = F.unix_date(F.to_date(moment)).cast("bigint")

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from relpredict.functions.states import (
     State,
     columns_of,
-    has_hot_group,
     merge_over,
     moments_of,
     quoted,
@@ -31,7 +30,7 @@ from relpredict.functions.states import (
     stddev_of,
 )
 from relpredict.functions.storage import written
-from relpredict.functions.times import ntz, ntz_sql
+from relpredict.functions.times import moments_before, moments_sql, ntz, ntz_sql
 from relpredict.operators.features import (
     ZERO_WHEN_ABSENT,
     by_links,
@@ -52,13 +51,11 @@ from relpredict.plans.feature_plan import (
 from relpredict.schema import Database, Link, SchemaError
 
 ALWAYS = dt.datetime(1, 1, 1)  # position of rows that every cutoff can see
-HOT_ROWS = 2_000_000  # rows of one key that a single task may order
-ANCHOR_LIMIT = 256  # longest anchor list that is compared inline
 
 
 @dataclass(frozen=True)
 class Cutoffs:
-    """The requested ``(entity_id, cutoff)`` rows, the last cutoff and, if short, the anchor list.
+    """The requested ``(entity_id, cutoff)`` rows, the last cutoff and, if they come from a list, its anchors.
 
     ``everyone`` says that the rows are all entities at all anchors. Nothing after ``latest`` can
     be seen, so every scan is limited to it.
@@ -67,19 +64,19 @@ class Cutoffs:
     rows: DataFrame
     anchors: tuple[dt.datetime, ...] | None
     latest: dt.datetime | None
-    hot_rows: int
     everyone: bool = False
 
     def position(self, time: str) -> str:
         """SQL for the first anchor at or after a time (null if none), or the time itself."""
-        if self.anchors is None:
-            return time
-        cases = " ".join(f"WHEN {time} <= {ntz_sql(a)} THEN {ntz_sql(a)}" for a in self.anchors)
-        return f"CASE {cases} END"
+        return time if self.anchors is None else f"get({moments_sql(self.anchors)}, {self.slot(time)})"
 
     def slot(self, time: str) -> str:
         """SQL for how many anchors lie before a time."""
-        return " + ".join(f"CAST({time} > {ntz_sql(a)} AS INT)" for a in self.anchors)
+        return moments_before(time, self.anchors)
+
+    def scan_time(self, time: str) -> str | None:
+        """What a running merge is cut by: a list of anchors bounds each group by itself."""
+        return time if self.anchors is None else None
 
 
 def synthesize_many(
@@ -88,7 +85,6 @@ def synthesize_many(
     cutoffs: DataFrame | Sequence[dt.datetime],
     features: Sequence[Feature] | None = None,
     max_depth: int = 2,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``(entity_id, cutoff, feature...)`` for each requested cutoff of a visible entity.
 
@@ -103,15 +99,14 @@ def synthesize_many(
     if isinstance(cutoffs, DataFrame):
         asked = cutoffs.select("entity_id", F.col("cutoff").cast("timestamp_ntz")).distinct()
         latest = asked.agg(F.max("cutoff")).first()[0]
-        request = Cutoffs(asked, None, latest, hot_rows)
+        request = Cutoffs(asked, None, latest)
     else:
         anchors = tuple(sorted(set(cutoffs)))
         asked = db.rows(entity).select(
             F.col(spec.primary_key).alias("entity_id"),
-            F.explode(F.array(*[ntz(a) for a in anchors])).alias("cutoff"),
+            F.explode(F.expr(moments_sql(anchors))).alias("cutoff"),
         )
-        inline = anchors if len(anchors) <= ANCHOR_LIMIT else None
-        request = Cutoffs(asked, inline, anchors[-1], hot_rows, everyone=inline is not None)
+        request = Cutoffs(asked, anchors, anchors[-1], everyone=True)
     return _features_of(db, entity, request, features).select(
         "entity_id", "cutoff", *[f.name for f in features]
     )
@@ -195,7 +190,7 @@ def _fixed_values(db: Database, entity: str, request: Cutoffs, fixed: Sequence[F
     rows = feature_frame(db, entity, [*fixed, *(c for n, c in clocks.items())], None, keep)
     rows = rows.withColumnRenamed(key_name(spec.primary_key), "entity_id")
     if request.everyone:
-        out = rows.withColumn("cutoff", F.explode(F.array(*[ntz(a) for a in request.anchors])))
+        out = rows.withColumn("cutoff", F.explode(F.expr(moments_sql(request.anchors))))
     else:
         out = request.rows.join(rows, "entity_id", "inner")
     if spec.time_index:
@@ -216,7 +211,7 @@ def _parent_values(db: Database, request: Cutoffs, link: Link, members: Sequence
     asked = request.rows.join(child.where(F.col("_parent").isNotNull()), "entity_id", "inner")
     parents = asked.select(F.col("_parent").alias("entity_id"), "cutoff").distinct()
     values = _features_of(
-        db, link.parent, Cutoffs(parents, request.anchors, request.latest, request.hot_rows), distinct_bases(members)
+        db, link.parent, Cutoffs(parents, request.anchors, request.latest), distinct_bases(members)
     )
     values = values.selectExpr(
         "entity_id AS _parent", "cutoff", *[f"`{f.base.name}` AS `{f.name}`" for f in members]
@@ -403,32 +398,20 @@ def _path_values(
     partial, states = _partial_states(rows, members, ["_group"], "_at", needs_join(links, members))
     asked = request.rows.selectExpr("entity_id AS _group", "cutoff AS _at", "1 AS _ask")
     events = partial.withColumn("_ask", F.lit(0)).unionByName(asked, allowMissingColumns=True)
-    running = running_merge(events, states, "_group", ["_at", "_ask"], "_at", _hot_limit(db, request, links))
+    running = running_merge(events, states, "_group", ["_at", "_ask"], request.scan_time("_at"))
     return running.where("_ask = 1").selectExpr("_group AS entity_id", "_at AS cutoff", *_finished(members))
 
 
-def _hot_limit(db: Database, request: Cutoffs, links: Sequence[Link]) -> int | None:
-    """``hot_rows`` when some key needs time blocks. Inline anchors bound every group already."""
-    if request.anchors is not None:
-        return None
-    keys = _timed_rows(db, request, links, (), ()).select("_group")
-    asked = request.rows.select(F.col("entity_id").alias("_group"))
-    return request.hot_rows if has_hot_group(keys.unionAll(asked), "_group", request.hot_rows) else None
-
-
 # -- aggregates of aggregates -----------------------------------------------------------------
 
 
-def _slots(db: Database, request: Cutoffs, rows: DataFrame, links: Sequence[Link]) -> DataFrame:
+def _slots(request: Cutoffs, rows: DataFrame) -> DataFrame:
     """Adds ``_slot``: how many of the group's cutoffs lie before the row's ``_seen``."""
     if request.anchors is not None:
         return rows.selectExpr("*", f"{request.slot('_seen')} AS _slot")
     positions = rows.select("_group", "_seen").distinct().selectExpr("*", "0 AS _ask", "0L AS _slot")
     asked = request.rows.selectExpr("entity_id AS _group", "cutoff AS _seen", "1 AS _ask", "1L AS _slot")
-    counted = running_merge(
-        positions.unionByName(asked), [State("add", "_slot")], "_group", ["_seen", "_ask"], "_seen",
-        _hot_limit(db, request, links),
-    )
+    counted = running_merge(positions.unionByName(asked), [State("add", "_slot")], "_group", ["_seen", "_ask"], "_seen")
     found = counted.where("_ask = 0").selectExpr("_group", "_seen", "CAST(_slot AS INT) AS _slot")
     return rows.join(found, ["_group", "_seen"], "inner")
 
@@ -440,8 +423,7 @@ def _asked_slots(request: Cutoffs) -> tuple[DataFrame, int]:
         return slots, len(request.anchors).bit_length()
     asked = request.rows.selectExpr("*", "entity_id AS _group", "1L AS _one")
     most = asked.groupBy("_group").count().agg(F.max("count")).first()[0] or 1
-    hot = request.hot_rows if most > request.hot_rows else None
-    counted = running_merge(asked, [State("add", "_one")], "_group", ["cutoff"], "cutoff", hot)
+    counted = running_merge(asked, [State("add", "_one")], "_group", ["cutoff"], "cutoff")
     return counted.selectExpr("entity_id", "cutoff", "CAST(_one - 1 AS INT) AS _slot"), int(most).bit_length()
 
 
@@ -531,7 +513,7 @@ def _steps_of_rows(
     grand = _timed_rows(db, request, chain.paths[-1], chain.clocks, distinct_bases(members)).withColumnRenamed("_group", "_up")
     values = quoted(b.name for b in distinct_bases(members))
     grand = _under(grand, owners, values).withColumnRenamed("_up", "_child")
-    grand = _slots(db, request, grand, chain.links)
+    grand = _slots(request, grand)
     # one row per (child, slot) in which the child appears or changes, the appearance first
     partial, states = _partial_states(grand, members, ["_child", "_group"], "_slot", joined=True)
     steps = partial.withColumn("_tie", F.lit(1)).unionByName(born.withColumn("_tie", F.lit(0)), allowMissingColumns=True)
@@ -561,7 +543,7 @@ def _steps_of_lookups(
     rows = rows.where("_parent IS NOT NULL").join(asked.selectExpr("entity_id AS _group", "cutoff", "_slot"), "_group", "inner")
     rows = rows.where("_seen <= cutoff").select("_up", "_group", "_parent", "cutoff", "_slot")
     parents = written(rows.selectExpr("_parent AS entity_id", "cutoff").distinct(), "asked-parents")
-    wanted = Cutoffs(parents, request.anchors, request.latest, request.hot_rows)
+    wanted = Cutoffs(parents, request.anchors, request.latest)
     values = _features_of(db, link.parent, wanted, distinct_bases(bases))
     values = values.selectExpr("entity_id AS _parent", "cutoff", *[f"CAST(`{b.base.name}` AS DOUBLE) AS `{b.name}`" for b in bases])
     found = rows.join(values, ["_parent", "cutoff"], "left")
@@ -573,10 +555,7 @@ def _stacked_values(db: Database, request: Cutoffs, chain: Chain, members: Seque
     below = _members_below(members, len(chain.paths))
     asked, levels = _asked_slots(request)
     owners = _owners(db, request, chain.paths[:-1])
-    born = [
-        _slots(db, request, rows, [link for path in chain.paths[: i + 1] for link in path]).select("_child", "_up", "_group", "_slot")
-        for i, rows in enumerate(owners)
-    ]
+    born = [_slots(request, rows).select("_child", "_up", "_group", "_slot") for rows in owners]
     if chain.asked:
         steps = _steps_of_lookups(db, request, chain, below[-1], asked, owners[-1] if owners else None)
         open_ = len(owners)

@@ -8,12 +8,13 @@ before it is shuffled, and no join ever carries raw target rows past the first h
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relpredict.functions.times import ntz, shift_column
+from relpredict.functions.times import moments_before, ntz, ntz_sql, shift_column
 from relpredict.schema import Database
 from relpredict.task import PredictiveTask, TaskError, as_predicate
 
@@ -225,23 +226,22 @@ def build_labels_many(
     anchors = sorted(set(anchors))
     bounds = [task.window.bounds(a) for a in anchors]
     edges = sorted({edge for pair in bounds for edge in pair})
-    time = F.col(db.spec(task.table).time_index)
-    events = _events(db, task, edges[0], edges[-1])
-    # pane i = (edges[i], edges[i + 1]]
-    pane = sum((time > ntz(edge)).cast("int") for edge in edges[1:])
-    covering = [
-        [k for k, (lo, hi) in enumerate(bounds) if lo <= edges[i] and edges[i + 1] <= hi]
-        for i in range(len(edges) - 1)
-    ]
-    if not all(covering):
-        events = events.where(pane.isin([i for i, ks in enumerate(covering) if ks]))
-    panes = _entity_states(db, task, events.withColumn("_pane", pane), ["_pane"])
-    anchors_of = F.array(*[F.array(*map(F.lit, ks)).cast("array<int>") for ks in covering])
-    copied = panes.withColumn("_anchor", F.explode(F.element_at(anchors_of, F.col("_pane") + 1)))
+    # pane i = (edges[i], edges[i + 1]]; windows of sorted anchors begin and end in order, so the anchors
+    # that cover a pane follow each other, from first[i] up to last[i]
+    starts, ends = [lo for lo, _ in bounds], [hi for _, hi in bounds]
+    first = [bisect_left(ends, edge) for edge in edges[1:]]
+    last = [bisect_right(starts, edge) - 1 for edge in edges[:-1]]
+    pane = moments_before(f"`{db.spec(task.table).time_index}`", edges[1:])
+    events = _events(db, task, edges[0], edges[-1]).withColumn("_pane", F.expr(pane))
+    begin, end = (f"element_at(array({', '.join(map(str, places))}), _pane + 1)" for places in (first, last))
+    if any(a > b for a, b in zip(first, last, strict=True)):
+        events = events.where(f"{begin} <= {end}")
+    panes = _entity_states(db, task, events, ["_pane"])
+    copied = panes.withColumn("_anchor", F.expr(f"explode(sequence({begin}, {end}))"))
     states = copied.groupBy("_key", "_anchor").agg(*_merged_states(task))
 
-    anchor_list = F.array(*[F.struct(F.lit(k).alias("k"), ntz(a).alias("at")) for k, a in enumerate(anchors)])
-    universe = _universe_with_time(db, task).withColumn("_a", F.explode(anchor_list))
+    listed = ", ".join(f"named_struct('k', {k}, 'at', {ntz_sql(a)})" for k, a in enumerate(anchors))
+    universe = _universe_with_time(db, task).withColumn("_a", F.expr(f"explode(array({listed}))"))
     universe = universe.where(F.coalesce(F.col("_born") <= F.col("_a.at"), F.col("_timeless")))
     joined = universe.select("entity_id", F.col("_a.k").alias("_anchor"), F.col("_a.at").alias("cutoff")).join(
         _values(task, states, "_anchor"), ["entity_id", "_anchor"], "left"

@@ -1,12 +1,16 @@
+import datetime as dt
+
 import pytest
 from conftest import assert_same, at, rows_of
 from pyspark.sql import functions as F
 
 from relpredict.functions.times import ntz
 from relpredict.operators import features as X
+from relpredict.operators import labels as L
 from relpredict.operators.cutoffs import ancestors, cover, synthesize_many
 from relpredict.plans import feature_plan as plan
-from relpredict.schema import SchemaError, declare
+from relpredict.schema import declare
+from relpredict.task import FutureWindow, PredictiveTask
 
 ANCHOR = at("2024-03-01")
 
@@ -120,8 +124,7 @@ def test_strategies_agree_on_edge_rows(small):
     asked = X.union_all(
         [small.rows("customers").select(F.col("customer_id").alias("entity_id"), ntz(c).alias("cutoff")) for c in CUTS]
     )
-    for hot_rows in (2_000_000, 2):
-        assert_same(synthesize_many(small, "customers", asked, features, hot_rows=hot_rows), expected)
+    assert_same(synthesize_many(small, "customers", asked, features), expected)
 
 
 def test_strategies_agree_on_provided_tables(db):
@@ -137,7 +140,7 @@ def test_strategies_agree_on_provided_tables(db):
     expected = X.union_all([X.synthesize_at(db, "customer", c, features) for c in cuts]).cache()
     assert_same(synthesize_many(db, "customer", cuts, features), expected)
     asked = expected.select("entity_id", "cutoff")
-    assert_same(synthesize_many(db, "customer", asked, features, hot_rows=15), expected)
+    assert_same(synthesize_many(db, "customer", asked, features), expected)
 
 
 def test_uneven_cutoffs_per_row(db):
@@ -176,9 +179,42 @@ def test_large_mean_keeps_its_spread(frame):
     )
     features = only(db, "box", "std__item__weight")
     expected = X.union_all([X.synthesize_at(db, "box", c, features) for c in times])
-    for hot_rows in (1000, 2):
-        asked = frame("entity_id int, cutoff timestamp_ntz", *[(1, t) for t in times])
-        assert_same(synthesize_many(db, "box", asked, features, hot_rows=hot_rows), expected)
+    asked = frame("entity_id int, cutoff timestamp_ntz", *[(1, t) for t in times])
+    assert_same(synthesize_many(db, "box", asked, features), expected)
+
+
+@pytest.mark.parametrize("n", [1, 2, 256, 257, 5000])
+def test_any_number_of_anchors(frame, n):
+    start = at("2024-01-01")
+    anchors = [start + dt.timedelta(hours=7 * i) for i in range(n)]
+    times = [start + dt.timedelta(hours=h) for h in (-3, 0, 0, 1, 7 * (n // 2), 7 * (n - 1), 7 * n)]
+    db = declare(
+        {"box": frame("box_id int", (1,), (2,)), "item": frame("item_id int, box_id int, seen timestamp_ntz, weight int", *[(i, 1, t, 1 << i) for i, t in enumerate(times)], (99, 1, None, 1 << 20))},
+        {"box": "box_id", "item": "item_id"},
+        [("item", "box_id", "box")],
+    )
+    found = {(r.entity_id, r.cutoff): (r[2], r[3]) for r in synthesize_many(db, "box", anchors, only(db, "box", "count__item", "sum__item__weight")).collect()}
+    assert len(found) == 2 * n
+    for a in anchors:
+        seen = [1 << i for i, t in enumerate(times) if t <= a]
+        assert found[1, a] == (len(seen), sum(seen)) and found[2, a] == (0, 0)
+    task = PredictiveTask("box", "SUM", "item", FutureWindow(0, 10, "days"), "weight")
+    labels = {(r.entity_id, r.cutoff): r.target_value for r in L.build_labels_many(db, task, anchors).collect()}
+    for a in anchors:
+        assert labels[1, a] == sum(1 << i for i, t in enumerate(times) if a < t <= a + dt.timedelta(days=10))
+
+
+def test_no_size_is_probed_before_a_scan(db, spark):
+    """Building the plan of flat features with a cutoff per row runs no job but the one for the last cutoff."""
+    asked = db.rows("orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("cutoff"))
+    features = only(db, "customer", "count__orders", "std__orders__o_cents", "sum__orders_lineitem__l_quantity")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        synthesize_many(db, "customer", asked, features)
+        assert len(tracker.getJobIdsForGroup("planning")) <= 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_interval_cover(frame, spark):
