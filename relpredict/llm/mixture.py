@@ -159,8 +159,19 @@ def shards(taken: DataFrame, levels: int, salt: str) -> DataFrame:
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` as often as the mix takes them, all columns as they are."""
-    at, times, copy = (fresh(documents, name) for name in ("place", "copies", "copy"))
-    copies = mixture(documents, **options).where("copies > 0").groupBy(F.col("place").alias(at)).agg(F.max("copies").alias(times))
-    taken = documents.withColumn(at, place(options.get("salt", ""))).join(stored(copies, "copies"), at)
-    return taken.withColumn(copy, F.explode(F.expr(f"sequence(1, {times})"))).select(documents.columns)
+    """The rows of ``documents`` as often as the mix takes them, all columns as they are.
+
+    Copies of a row are told by source and text, so equal rows of two sources follow their own source.
+    Every partition holds its copies shard by shard, each shard in a seeded random order, so a
+    reader of one shard meets sources and texts mixed.
+    """
+    salt = options.get("salt", "")
+    at, dealt, copy, shard, turn = (fresh(documents, name) for name in ("place", "shards", "copy", "shard", "turn"))
+    named = fresh(documents, "named")
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+    taken = mixture(documents, **options).where("copies > 0").withColumn(named, source)
+    taken = taken.groupBy(named, F.col("place").alias(at)).agg(F.max(F.struct("copies", "shards"))["shards"].alias(dealt))
+    rows = documents.withColumn(at, place(salt)).withColumn(named, source).join(stored(taken, "copies"), [named, at])
+    rows = rows.select(*documents.columns, at, F.posexplode(dealt).alias(copy, shard))
+    order = drawn(F.lit(f"{salt}/turn"), F.col(at), F.col(copy).cast("string"))
+    return rows.withColumn(turn, order).sortWithinPartitions(shard, turn).select(documents.columns)

@@ -64,6 +64,23 @@ def test_mixed_rows_follow_the_copies_in_every_run(frame, mix):
     assert collections.Counter(r["doc_id"] for r in again.collect()) == copies
 
 
+def test_equal_rows_follow_their_own_source(docs):
+    texts = [f"word{i} and more" for i in range(40)] * 2
+    frame = docs(*texts, ids=list(range(40)) * 2, sources=["a"] * 40 + [None] * 40)  # a is taken more often than its twin
+    copies = collections.Counter()
+    for r in mixture(frame, weights=(5, 1), levels=1).collect():
+        copies[r["source"], r["doc_id"]] += r["copies"]
+    found = collections.Counter((r["source"], r["doc_id"]) for r in mixed(frame, weights=(5, 1), levels=1).collect())
+    assert found == +copies and len({n for (s, _), n in copies.items() if s == "a"} | {n for (s, _), n in copies.items() if s is None}) > 1
+
+
+def test_rows_of_a_shard_are_shuffled_locally(frame, spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    rows = [r["doc_id"] for r in mixed(frame, levels=2).coalesce(1).collect()]
+    assert rows == [r["doc_id"] for r in mixed(frame, levels=2).coalesce(1).collect()]
+    assert rows != sorted(rows) and sorted(rows) == sorted(r["doc_id"] for r in mixed(frame.repartition(5), levels=2).collect())
+
+
 def test_tree_splits_blocks_evenly(mix):
     rows = [r for r in mix if r["copies"]]
     assert all(len(r["shards"]) == r["copies"] and all(0 <= s < 4 for s in r["shards"]) for r in rows)

@@ -44,3 +44,23 @@ def test_last_stage_equals_the_library(spark, corpus):
     for r in C.encode_bpe(spark, frame, "").collect():
         ids = library.encode(texts[r["doc_id"] - 1] or "", add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids"] == b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def test_run_chains_all_stages(spark, corpus, tmp_path):
+    frame, _, _ = corpus
+    frame.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/some/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        staged = stage(spark, rows, "")
+        assert staged.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        rows = staged
+    expected = C.STAGES[-1][1](spark, rows, "")
+    found = C.run(spark, f"{tmp_path}/some")
+    same = lambda f: sorted(tuple(r) for r in f.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    assert same(found) == same(expected) and found.count() > 20
+
+
+def test_run_over_an_empty_table(spark, corpus, tmp_path):
+    frame, _, _ = corpus
+    frame.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert C.run(spark, f"{tmp_path}/none").count() == 0
