@@ -1,7 +1,11 @@
 import difflib
 import random
+from html.parser import HTMLParser
 
+import duckdb
 import pytest
+from conftest import TESTDATA
+from relpredict.llm import queries
 from relpredict.llm.html_text import blocks, extract, shared_lines
 
 
@@ -99,3 +103,53 @@ def test_differencing_reaches_articles_and_crowded_templates(spark):
     assert out[4].startswith("Follow us") and out[6].startswith("Follow us")  # one neighbour is not several
     assert all(out[i].startswith("the same long story") for i in (7, 8, 9))
     assert all(out[i] == out[10] != "" for i in (11, 12))
+
+
+class Reader(HTMLParser):
+    """The article of a page by the platform's own parser: text between its tags, a break at every block."""
+
+    BREAKS = {"p", "h1", "h2", "h3", "br", "li", "ul", "ol", "div", "tr", "td", "blockquote", "pre", "article"}
+    SKIPPED = {"script", "style", "nav", "aside", "footer", "form", "header"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.inside, self.skipped = [], False, []
+
+    def handle_starttag(self, tag, attrs):
+        classes = (dict(attrs).get("class") or "").split()
+        if self.skipped or tag in self.SKIPPED or {"ad", "comments", "cookie", "share", "related"} & set(classes):
+            if tag != "br":
+                self.skipped.append(tag)
+        elif tag == "article":
+            self.inside = True
+        if tag in self.BREAKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.skipped:
+            while self.skipped.pop() != tag:
+                pass
+        elif tag == "article":
+            self.inside = False
+        if tag in self.BREAKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.parts.append(data)
+
+
+def test_query_against_the_platforms_parser(spark):
+    """Every page of the smallest table; none of their lines is shared with a neighbour's article."""
+    expected = {}
+    for page_id, html in duckdb.connect().execute(f"SELECT page_id, html FROM '{TESTDATA}/pages.parquet'").fetchall():
+        reader = Reader()
+        reader.feed(html or "")
+        reader.close()
+        blocks_of = ["".join(p) for p in "".join(reader.parts).split("\n")]
+        expected[page_id] = " ".join(b for b in (" ".join(x.split()) for x in blocks_of) if b)
+    found = {r["page_id"]: r for r in queries.op4_html_text(spark, TESTDATA).collect()}
+    assert set(found) == set(expected)
+    different = {i: (found[i]["text"], expected[i]) for i in expected if found[i]["text"] != expected[i]}
+    assert not different, (len(different), next(iter(different.items())))
+    assert all(r["n_chars"] == len(r["text"]) for r in found.values())
