@@ -22,7 +22,7 @@ FIRST = 2_000
 SCALE = 1_000_000
 #: Bytes of text that a shard transducer covers. Fewer than 2**21 words, so three word numbers fit 63 bits.
 SHARD = 1 << 22
-#: Characters of all texts that fall to one prefix range.
+#: Bytes of all texts that fall to one prefix range.
 RANGE = 8_000_000
 #: Parts into which the candidates of a language are dealt before they are ordered.
 SALTS = 64
@@ -265,7 +265,7 @@ def _scored(counts: pa.Table, answers: pa.Table) -> pa.Table:
     kept.sort(key=lambda k: (-k[4], -k[1], k[0]))
     del kept[FIRST:]
     columns = list(zip(*kept, strict=True)) or [()] * 5
-    text = [p.decode("utf-8") for p in columns[0]]
+    text = [p.decode("utf-8", "replace") for p in columns[0]]
     return pa.table([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], schema=_FOUND_ARROW)
 
 

@@ -20,7 +20,7 @@ LENGTHS = (4, 3, 2, 1)
 #: Words whose evidence a score counts in full; beyond them the mean counts.
 FULL_WORDS = 12
 #: Rows of a worker's memo; it is emptied when full.
-MEMO_ROWS = 200_000
+MEMO_ROWS = 100_000
 #: Rows that a worker hands on at a time.
 HAND_ON = 500
 UNKNOWN = "und"
@@ -28,14 +28,42 @@ UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def hashes(items: list[str]) -> np.ndarray:
+    """64-bit numbers by which items are told apart."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter((xxh3_64_intdigest(i.encode("utf-8", "replace")) for i in items), np.uint64, len(items))
+
+
+@dataclass(frozen=True)
+class Table:
+    """Items by their sorted hashes, each with its log frequencies per language: a few bytes an item in every worker."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[str], logs: np.ndarray) -> Table:
+        keys = hashes(items)
+        order = np.argsort(keys)
+        return cls(keys[order], logs[order])
+
+    def rows(self, items: list[str]) -> np.ndarray:
+        """The log frequencies of those ``items`` that are known."""
+        if not len(self.keys):
+            return self.logs
+        asked = hashes(items)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return self.logs[at[self.keys[at] == asked]]
+
+
 @dataclass(frozen=True)
 class Model:
-    """Rows of ``logs``, log frequencies per language, of words and of n-grams."""
+    """Log frequencies per language, of words and of n-grams."""
 
     languages: tuple[str, ...]
-    words: dict[str, int]
-    grams: dict[str, int]
-    logs: np.ndarray
+    words: Table
+    grams: Table
 
 
 def fit(labelled: DataFrame, per_language: int = FIT_DOCUMENTS, kept_words: int = KEPT_WORDS, kept_grams: int = KEPT_GRAMS) -> Model:
@@ -65,19 +93,17 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCUMENTS, kept_words: int
 
     languages = tuple(sorted(found["lang"].unique()))
     column = {x: i for i, x in enumerate(languages)}
-    index: dict[bool, dict[str, int]] = {True: {}, False: {}}
-    logs: list[np.ndarray] = [np.zeros((0, len(languages)))]
-    met = 0
+    items: dict[bool, list[str]] = {True: [], False: []}
+    logs: dict[bool, list[np.ndarray]] = {w: [np.zeros((0, len(languages)))] for w in (True, False)}
     for length, part in found.groupby("length"):
         totals = np.zeros(len(languages))
         np.add.at(totals, part["lang"].map(column), part["n"])
-        items, place = np.unique(part["item"], return_inverse=True)
-        values = np.full((len(items), len(languages)), 0.5)
+        own, place = np.unique(part["item"], return_inverse=True)
+        values = np.full((len(own), len(languages)), 0.5)
         values[place, part["lang"].map(column)] += part["n"]
-        logs.append(np.log(values) - np.log(totals + 0.5 * len(items)))
-        index[length == 0].update(zip(items, range(met, met + len(items)), strict=True))
-        met += len(items)
-    return Model(languages, index[True], index[False], np.concatenate(logs))
+        logs[length == 0].append(np.log(values) - np.log(totals + 0.5 * len(own)))
+        items[length == 0].extend(own)
+    return Model(languages, *(Table.of(items[w], np.concatenate(logs[w])) for w in (True, False)))
 
 
 class _Scores(dict):
@@ -95,14 +121,14 @@ class _Scores(dict):
         return row
 
     def score(self, word: str) -> np.ndarray:
-        known = self.model.words.get(word)
-        if known is not None:
-            return self.model.logs[known]
+        known = self.model.words.rows([word])
+        if len(known):
+            return known[0]
         padded = f"^{word}$"
         for k in LENGTHS:
-            found = [g for i in range(len(padded) - k + 1) if (g := self.model.grams.get(padded[i : i + k])) is not None]
-            if found:
-                return self.model.logs[found].mean(axis=0)
+            found = self.model.grams.rows([padded[i : i + k] for i in range(len(padded) - k + 1)])
+            if len(found):
+                return found.mean(axis=0)
         return np.zeros(len(self.model.languages))
 
     def total(self, words: list[str]) -> np.ndarray:

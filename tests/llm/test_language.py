@@ -29,8 +29,9 @@ def model(spark):
 def test_words_first_then_shorter_grams(model):
     scores = L._Scores(model)
     assert model.languages == ("de", "en")
-    assert (scores.score("house") == model.logs[model.words["house"]]).all()
-    assert "houses" not in model.words and scores.score("houses").argmax() == 1  # by 4-grams
+    assert (scores.score("house") == model.words.rows(["house"])[0]).all()
+    assert not len(model.words.rows(["houses"])) and scores.score("houses").argmax() == 1  # by 4-grams
+    assert (model.words.rows(["tree", "nothing", "house"]) == np.concatenate([model.words.rows([w]) for w in ("tree", "house")])).all()
     assert scores.score("bau").argmax() == 0
     one = scores.score("uq")
     assert np.isfinite(one).all() and len(one) == 2
@@ -59,3 +60,10 @@ def test_memo_may_overflow(model, monkeypatch):
     words = ["haus", "und", "der", "x", "y", "z", "q", "v", "baum", "haus"] * 3
     plain = sum(scores.score(w) for w in words)
     assert np.allclose(scores.total(words), plain)
+
+
+def test_equal_evidence_goes_to_the_smaller_name(docs, spark):
+    same = [("the house and the tree", lang) for lang in ("xx", "aa", "mm")]
+    tied = L.fit(spark.createDataFrame(same, "text string, lang string"))
+    out = L.identify(docs("the house", "unseen words"), tied).collect()
+    assert {r["lang_pred"] for r in out} == {"aa"} and all(abs(r["score"] - 1 / 3) < 1e-9 for r in out)
