@@ -48,13 +48,13 @@ class Table:
         order = np.argsort(keys)
         return cls(keys[order], logs[order])
 
-    def rows(self, items: list[str]) -> np.ndarray:
-        """The log frequencies of those ``items`` that are known."""
-        if not len(self.keys):
-            return self.logs
+    def places(self, items: list[str]) -> np.ndarray:
+        """The row of each item, -1 for an unknown one."""
         asked = hashes(items)
+        if not len(self.keys):
+            return np.full(len(asked), -1)
         at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-        return self.logs[at[self.keys[at] == asked]]
+        return np.where(self.keys[at] == asked, at, -1)
 
 
 @dataclass(frozen=True)
@@ -107,36 +107,47 @@ def fit(labelled: DataFrame, per_language: int = FIT_DOCUMENTS, kept_words: int
 
 
 class _Scores(dict):
-    """Word to row of a table of per-language scores; unseen words are scored once and remembered."""
+    """Word to row of a table of per-language scores; the unseen words of a block are scored at once and remembered."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
         self.table = np.zeros((MEMO_ROWS, len(model.languages)))
 
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        self.table[row] = self.score(word)
-        self[word] = row
-        return row
-
-    def score(self, word: str) -> np.ndarray:
-        known = self.model.words.rows([word])
-        if len(known):
-            return known[0]
-        padded = f"^{word}$"
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own, or the mean of those of its longest known n-grams."""
+        model = self.model
+        out = np.zeros((len(words), len(model.languages)))
+        at = model.words.places(words)
+        out[at >= 0] = model.words.logs[at[at >= 0]]
+        rest = np.flatnonzero(at < 0)
         for k in LENGTHS:
-            found = self.model.grams.rows([padded[i : i + k] for i in range(len(padded) - k + 1)])
-            if len(found):
-                return found.mean(axis=0)
-        return np.zeros(len(self.model.languages))
+            if not len(rest):
+                break
+            padded = [f"^{words[i]}$" for i in rest]
+            fan = np.maximum(np.array([len(p) for p in padded]) - k + 1, 0)
+            at = model.grams.places([p[i : i + k] for p in padded for i in range(len(p) - k + 1)])
+            owner = np.repeat(np.arange(len(rest)), fan)[at >= 0]
+            found = model.grams.logs[at[at >= 0]]
+            count = np.bincount(owner, minlength=len(rest))
+            sums = np.stack([np.bincount(owner, weights=column, minlength=len(rest)) for column in found.T], 1)
+            met = count > 0
+            out[rest[met]] = sums[met] / count[met, None]
+            rest = rest[~met]
+        return out
 
     def total(self, words: list[str]) -> np.ndarray:
         total = np.zeros(len(self.model.languages))
         for i in range(0, len(words), MEMO_ROWS // 4):
             block = words[i : i + MEMO_ROWS // 4]
-            if len(self) + len(block) > MEMO_ROWS:
+            new = [w for w in dict.fromkeys(block) if w not in self]
+            if len(self) + len(new) > MEMO_ROWS:
                 self.clear()
+                new = list(dict.fromkeys(block))
+            if new:
+                start = len(self)
+                self.table[start : start + len(new)] = self.scores(new)
+                self.update(zip(new, range(start, start + len(new)), strict=True))
             rows = np.fromiter(map(self.__getitem__, block), np.int64, len(block))
             total += self.table[rows].sum(axis=0)
         return total

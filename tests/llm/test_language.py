@@ -27,15 +27,17 @@ def model(spark):
 
 
 def test_words_first_then_shorter_grams(model):
-    scores = L._Scores(model)
+    score = lambda word: L._Scores(model).scores([word])[0]
+    own = lambda word: model.words.logs[model.words.places([word])[0]]
     assert model.languages == ("de", "en")
-    assert (scores.score("house") == model.words.rows(["house"])[0]).all()
-    assert not len(model.words.rows(["houses"])) and scores.score("houses").argmax() == 1  # by 4-grams
-    assert (model.words.rows(["tree", "nothing", "house"]) == np.concatenate([model.words.rows([w]) for w in ("tree", "house")])).all()
-    assert scores.score("bau").argmax() == 0
-    one = scores.score("uq")
+    assert (score("house") == own("house")).all()
+    assert model.words.places(["houses"]) == [-1] and score("houses").argmax() == 1  # by 4-grams
+    assert score("bau").argmax() == 0
+    one = score("uq")
     assert np.isfinite(one).all() and len(one) == 2
-    assert (scores.score("qqqq") == scores.score("jjjj")).all()  # nothing but the padding is known
+    assert (score("qqqq") == score("jjjj")).all()  # nothing but the padding is known
+    words = ["tree", "houses", "uq", "haus", "qqqq", "bau"]
+    assert np.allclose(L._Scores(model).scores(words), [score(w) for w in words])  # in one go as one by one
 
 
 def test_odd_texts_and_rows(docs, model):
@@ -58,7 +60,7 @@ def test_memo_may_overflow(model, monkeypatch):
     monkeypatch.setattr(L, "MEMO_ROWS", 8)
     scores = L._Scores(model)
     words = ["haus", "und", "der", "x", "y", "z", "q", "v", "baum", "haus"] * 3
-    plain = sum(scores.score(w) for w in words)
+    plain = sum(L._Scores(model).scores(words))
     assert np.allclose(scores.total(words), plain)
 
 
