@@ -4,7 +4,10 @@ import pytest
 from conftest import assert_same, at, rows_of
 from pyspark.sql import functions as F
 
+from catalog.features import Pick
+from relpredict.functions.states import State, running_merge
 from relpredict.functions.times import ntz
+from relpredict.operators import cutoffs
 from relpredict.operators import features as X
 from relpredict.operators import labels as L
 from relpredict.operators.cutoffs import ancestors, cover, synthesize_many
@@ -364,3 +367,31 @@ def test_surrogate_key_tells_equal_rows_apart(spark, monkeypatch):
     for again in (rows.repartition(2), rows.orderBy("b", "a"), rows.repartition(11, "a")):
         assert sorted((r.row_key, r.a, r.b) for r in X.surrogate_key(again).collect()) == found
     assert X.surrogate_key(rows.limit(0)).count() == 0
+
+
+def test_running_merge_shuffles_its_rows_once(spark):
+    rows = spark.range(1000).selectExpr("id % 7 AS g", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS at", "id AS n", "id % 2 AS ask")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        merged = running_merge(rows, [State("add", "n")], "g", ["at", "ask"], "at")
+        plan_text = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "ReusedExchange" in plan_text
+    found = {(r.g, r.at): r.n for r in merged.collect()}
+    assert found == {
+        (i % 7, at("2024-01-01") + dt.timedelta(hours=i)): sum(range(i % 7, i + 1, 7)) for i in range(1000)
+    }
+
+
+def test_chains_over_the_same_lookup_ask_the_parent_once(db, monkeypatch):
+    pick = Pick(db)
+    sold = pick.lookup(pick.part, pick.agg("COUNT", [pick.part]))
+    features = [pick.agg("SUM", [pick.orders, pick.lines], sold), pick.agg("MAX", [pick.orders], pick.agg("SUM", [pick.lines], sold))]
+    asked = db.rows("orders").selectExpr("o_custkey AS entity_id", "o_orderdate AS cutoff")
+    names, real = [], cutoffs.written
+    monkeypatch.setattr(cutoffs, "written", lambda frame, name: names.append(name) or real(frame, name))
+    both = synthesize_many(db, "customer", asked, features)
+    assert names.count("asked-parents") == 1
+    for f in features:
+        assert_same(synthesize_many(db, "customer", asked, [f]), both.select("entity_id", "cutoff", f.name))
