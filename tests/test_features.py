@@ -395,3 +395,12 @@ def test_chains_over_the_same_lookup_ask_the_parent_once(db, monkeypatch):
     assert names.count("asked-parents") == 1
     for f in features:
         assert_same(synthesize_many(db, "customer", asked, [f]), both.select("entity_id", "cutoff", f.name))
+
+
+def test_surrogate_key_regroups_only_rows_with_an_equal(spark, monkeypatch):
+    rows = spark.range(0, 200, 1, 4).selectExpr("IF(id < 190, id, 7) AS a")
+    counted, real = [], X.written
+    monkeypatch.setattr(X, "written", lambda frame, name: counted.append((name, real(frame, name))) or counted[-1][1])
+    keys = [r.row_key for r in X.surrogate_key(rows).collect()]
+    assert len(set(keys)) == 200 and sum(k.endswith("-1") for k in keys) == 190
+    assert [(n, f.count()) for n, f in counted] == [("shared-hashes", 1), ("row-counts", 1)]
