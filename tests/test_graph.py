@@ -119,3 +119,19 @@ def test_all_tables_are_in_the_graph_and_checked():
 
     assert set(graph.QUERIES) == set(graph.ORACLES)
     assert all(f"'{t}' AS node_type" in graph.ORACLES["graph_nodes"] for t in SHOP)
+
+
+def test_packed_ids_are_short_and_sort_as_keys_do(db, frame):
+    ids = G.PackedIds(db, "recent")
+    numbers = frame("id bigint", *[(n,) for n in (-(1 << 63), -5, -1, 0, 7, 10, 1 << 40, (1 << 63) - 1)])
+    packed = numbers.selectExpr("id", f"{ids.packed('orders', 'CAST(id AS STRING)', 0)} AS b", "'orders' AS t")
+    found = packed.orderBy("b").selectExpr("id", f"{ids.text('t', 'b')} AS text", "length(b) AS n").collect()
+    assert [r.id for r in found] == sorted(r.id for r in found) and all(r.text == str(r.id) and r.n == 8 for r in found)
+    links = [k for k in db.graph.links if k.child_column == "l_orderkey"]
+    for mode in ("recent", "uniform"):
+        adjacent = G._adjacent(db, links, mode, 3)
+        assert adjacent.columns == ["link", "parent_type", "parent_id", "child_type", "child", "at"]
+        assert adjacent.agg(F.max(F.length("child"))).first()[0] <= 32 + len("-10") + 16
+        keyed, key = G._keyed(db, "lineitem")
+        text = G.PackedIds(db, mode).text("child_type", "child")
+        assert rows_of(adjacent.selectExpr(f"{text} AS id"), "id") == rows_of(keyed.select(key), key)
