@@ -404,3 +404,15 @@ def test_surrogate_key_regroups_only_rows_with_an_equal(spark, monkeypatch):
     keys = [r.row_key for r in X.surrogate_key(rows).collect()]
     assert len(set(keys)) == 200 and sum(k.endswith("-1") for k in keys) == 190
     assert [(n, f.count()) for n, f in counted] == [("shared-hashes", 1), ("row-counts", 1)]
+
+
+def test_categories_are_no_wide_entries(db):
+    """The entry of a category carries no numbers, also behind a join and below a stack."""
+    anchors = [at("1999-01-01"), at("2000-01-01")]
+    names = ("num_unique__orders_lineitem__l_returnflag", "sum__orders_lineitem__l_quantity", "std__orders__num_unique__lineitem__l_returnflag", "max__orders__sum__lineitem__l_quantity")
+    features = deep(db, "customer", 2, *names)
+    assert len(features) == 4
+    made = synthesize_many(db, "customer", anchors, features)
+    generated = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in line and "which" in line]
+    assert generated and not any("-1" in line for line in generated)  # no entry for the numbers
+    same_in_all_forms(db, "customer", features, anchors)
