@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_fixtures import docs  # noqa: F401
 from relpredict.llm import repeats as R
@@ -103,3 +104,25 @@ def test_text_stays_valid(docs):
 def test_merged_spans():
     assert R.merged(np.array([[5, 9], [0, 3], [3, 4], [8, 12]])).tolist() == [[0, 4], [5, 12]]
     assert R.merged(np.zeros((0, 2), int)).tolist() == []
+
+
+def test_workers_hand_on_in_pieces_however_many_blocks_and_spans_a_batch_has():
+    text = "".join(random.Random(5).choice("abcdef ") for _ in range(2000))
+    n = 3_000
+    wanted = [{"place": 100 + 300 * k, "first": 300 * k, "last": 300 * k + 99, "weight": 1} for k in range(5)]
+    fields = [("tid", pa.int64()), ("n_bytes", pa.int64())]
+    anchor = pa.struct([(k, pa.int64()) for k in ("place", "first", "last", "weight")])
+    batch = pa.record_batch([list(range(n)), [2000] * n, [wanted] * n, [text] * n], pa.schema([*fields, ("wanted", pa.list_(anchor)), ("text", pa.string())]))
+    pieces = list(R._blocked(iter([batch])))
+    assert max(p.num_rows for p in pieces) < 1 << 17 and len({r for p in pieces for r in p.column(3).to_pylist()}) == n
+    one = pa.concat_tables([pa.Table.from_batches(R._blocked(iter([batch.slice(i, 1)]))) for i in (0, n - 1)])
+    assert pa.Table.from_batches(pieces).filter(pa.compute.is_in(pa.chunked_array([p.column(3) for p in pieces]), pa.array([0, n - 1]))).equals(one)
+
+    spans = [[{"start": i, "end": i + 400} for i in range(100 + k % 7, 300)] for k in range(n)]
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    batch = pa.record_batch([list(range(n)), [2000] * n, spans, [text] * n], pa.schema([*fields, ("spans", pa.list_(span)), ("text", pa.string())]))
+    cut = list(R._cut(iter([batch.slice(1)])))
+    assert max(p.num_rows for p in cut) <= R.HELD // 2000 + 1
+    cut = pa.Table.from_batches(cut).to_pylist()
+    assert [r["tid"] for r in cut] == list(range(1, n))
+    assert all(r["spans"] == [{"start": 100 + r["tid"] % 7, "end": 699}] and r["rest"] == text[: 100 + r["tid"] % 7] + text[699:] for r in cut)
