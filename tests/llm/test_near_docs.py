@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -95,3 +96,22 @@ def test_a_crowded_bucket_costs_a_pair_a_row(docs, words, spark):
     texts = [" ".join(edited(base, 2, i)) for i in range(120)]
     got = N.near_duplicates(docs(*texts)).collect()
     assert {r["component_id"] for r in got} == {1}
+
+
+def test_sketches_of_a_batch_take_little_memory_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(250)) for _ in range(2_500)] + [None, ""]
+    batch = pa.record_batch([list(range(len(texts))), texts], ["doc_id", "text"])
+    tracemalloc.start()
+    pieces = list(N._sketched(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # it was over 150 MB, in each of an executor's workers
+    rows = pa.Table.from_batches(pieces).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(len(texts))) and rows[-1]["n_shingles"] == 0
+    alone = pa.Table.from_batches(N._sketched(iter([batch.slice(1_234, 1)]))).to_pylist()
+    assert alone == [rows[1_234]]
