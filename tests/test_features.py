@@ -5,8 +5,8 @@ from conftest import assert_same, at, rows_of
 from pyspark.sql import functions as F
 
 from catalog.features import Pick
-from relpredict.functions.states import State, running_merge
-from relpredict.functions.times import ntz
+from relpredict.functions.states import State, moments_of, running_merge
+from relpredict.functions.times import moments_before, ntz
 from relpredict.operators import cutoffs
 from relpredict.operators import features as X
 from relpredict.operators import labels as L
@@ -416,3 +416,21 @@ def test_categories_are_no_wide_entries(db):
     generated = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in line and "which" in line]
     assert generated and not any("-1" in line for line in generated)  # no entry for the numbers
     same_in_all_forms(db, "customer", features, anchors)
+
+
+def test_deviations_share_the_sum_and_count_of_other_functions(frame):
+    rows = frame("k int, v double", (1, 1e9), (1, 1e9 + 2), (2, None))
+    made = rows.groupBy("k").agg(*[F.expr(s) for s in ("sum(v) AS s", "count(v) AS n", *moments_of("v", "m"))])
+    plan_text = made._jdf.queryExecution().executedPlan().toString()
+    assert "avg(" not in plan_text and plan_text.count("partial_sum(") == plan_text.count("partial_count(") == 1
+    assert {tuple(r) for r in made.select("k", "m_n", "m_mu", "m_m2").collect()} == {(1, 2, 1e9 + 1, 2.0), (2, 0, None, None)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 8, 9])
+def test_moments_before_few_and_many(frame, n):
+    moments = [at(f"2024-01-{d:02d}") for d in range(1, n + 1)]
+    times = [None, dt.datetime(2023, 12, 31), *moments, at("2024-01-01") + dt.timedelta(hours=5), at("2024-02-01")]
+    sql = moments_before("t", moments)
+    assert ("aggregate(" in sql) == (n > 8)  # a lambda for each row only where the list is long
+    found = frame("i int, t timestamp_ntz", *enumerate(times)).selectExpr("i", f"{sql} AS n").collect()
+    assert {r.i: r.n for r in found} == {i: None if t is None else sum(m < t for m in moments) for i, t in enumerate(times)}
