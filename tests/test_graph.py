@@ -135,3 +135,21 @@ def test_packed_ids_are_short_and_sort_as_keys_do(db, frame):
         keyed, key = G._keyed(db, "lineitem")
         text = G.PackedIds(db, mode).text("child_type", "child")
         assert rows_of(adjacent.selectExpr(f"{text} AS id"), "id") == rows_of(keyed.select(key), key)
+
+
+def test_registered_neighbors_are_not_cut(monkeypatch, spark, frame):
+    """Six orders of a customer and five lines of the last one: all are there, hop by hop."""
+    from catalog import graph as queries
+    from relpredict.schema import declare
+
+    tables = {
+        "customer": frame("c_custkey long", (1,), (2,)),
+        "orders": frame("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz", *[(i, 1 + i // 7, at(f"2024-01-0{i}")) for i in range(1, 8)]),
+        "lineitem": frame("row_key long, l_orderkey long, l_shipdate timestamp_ntz", *[(i, 6, at("2024-01-02")) for i in range(5)]),
+    }
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "row_key"}
+    own = declare(tables, keys, [("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders")])
+    monkeypatch.setattr(queries, "shop", lambda spark, sf: own)
+    found = queries.QUERIES["temporal_neighbors"](spark, "").where("seed_id = '1'").groupBy("hop", "edge_type").count().collect()
+    found = {(r["hop"], r["edge_type"]): r["count"] for r in found}
+    assert found == {(1, "rev_orders.o_custkey"): 6, (2, "rev_lineitem.l_orderkey"): 5, (2, "orders.o_custkey"): 6}
