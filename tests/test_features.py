@@ -434,3 +434,39 @@ def test_moments_before_few_and_many(frame, n):
     assert ("aggregate(" in sql) == (n > 8)  # a lambda for each row only where the list is long
     found = frame("i int, t timestamp_ntz", *enumerate(times)).selectExpr("i", f"{sql} AS n").collect()
     assert {r.i: r.n for r in found} == {i: None if t is None else sum(m < t for m in moments) for i, t in enumerate(times)}
+
+
+def test_features_at_cutoffs_leave_no_scratch_but_their_values(small, spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    asked = small.rows("customers").selectExpr("customer_id AS entity_id", "timestamp_ntz'2024-03-01' AS cutoff")
+    found = synthesize_many(small, "customers", asked, max_depth=3)
+    made = sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before if p.is_dir())
+    assert found.count() > 0 and set(made) == {"values"}
+
+
+def test_written_tables_give_their_shuffles_back(spark):
+    import time
+
+    from relpredict.functions.storage import cleared, keep, release, written
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName() for f in (disk.getAllFiles().apply(i) for i in range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with cleared(spark) as kept:
+        inner = written(spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").count(), "inner")
+        kept.append(written(inner.groupBy(F.col("count").alias("size")).count(), "outer"))
+    for _ in range(100):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and kept[0].count() == 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    from pathlib import Path
+
+    assert not Path(inner._written_to).exists()
+    again = keep(kept[0])
+    release(again)
+    assert not Path(again._written_to).exists()
